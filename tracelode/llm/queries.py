@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .secrets import OP3_SQL, op3_secrets
 from .simhash import op10_simhash
 
 QUERIES = {
+    "op3_secrets": op3_secrets,
     "op10_simhash": op10_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_secrets": OP3_SQL}
