@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from .secrets import OP3_SQL, op3_secrets
 from .simhash import op10_simhash
+from .suffix import op2_suffix
 
 QUERIES = {
+    "op2_suffix": op2_suffix,
     "op3_secrets": op3_secrets,
     "op10_simhash": op10_simhash,
 }
