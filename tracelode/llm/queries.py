@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from .pii import op9_pii
 from .secrets import OP3_SQL, op3_secrets
 from .simhash import op10_simhash
 from .suffix import op2_suffix
+from .toxicity import op4_toxicity
 
 QUERIES = {
     "op2_suffix": op2_suffix,
     "op3_secrets": op3_secrets,
+    "op4_toxicity": op4_toxicity,
+    "op9_pii": op9_pii,
     "op10_simhash": op10_simhash,
 }
 
