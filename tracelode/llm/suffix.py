@@ -248,7 +248,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     runs = stash(rows.select("k1", "k2", "text").mapInPandas(_runs(depth, gram), "k1 long, k2 long, gram array<long>, run array<long>, at array<long>"), "runs")
     each = runs.select("k1", "k2", F.inline(F.arrays_zip("gram", "run", "at")))
     common = runs.select(F.explode("gram").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    shared = stash(each.join(common, "gram"), "shared")
+    # Written first, so that the join has a plain exchange on either side and hot grams can be split.
+    shared = stash(each.join(stash(common, "common"), "gram"), "shared")
     known = stash(shared.groupBy("gram", "run").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "at")).alias("first")), "known")
     several = known.groupBy("gram").agg(F.count("*").alias("different")).where("different > 1")
     unsure = known.join(several, "gram").select("gram", "run", F.col("n").eqNullSafe(1).alias("single"), "different", "first.*")
