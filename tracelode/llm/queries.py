@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op1_ann
 from .pii import op9_pii
 from .secrets import OP3_SQL, op3_secrets
 from .simhash import op10_simhash
@@ -9,6 +10,7 @@ from .suffix import op2_suffix
 from .toxicity import op4_toxicity
 
 QUERIES = {
+    "op1_ann": op1_ann,
     "op2_suffix": op2_suffix,
     "op3_secrets": op3_secrets,
     "op4_toxicity": op4_toxicity,
