@@ -5,15 +5,19 @@ from __future__ import annotations
 from .ann import op1_ann
 from .pii import op9_pii
 from .secrets import OP3_SQL, op3_secrets
+from .sharding import op8_sharding
 from .simhash import op10_simhash
 from .suffix import op2_suffix
 from .toxicity import op4_toxicity
+from .urls import op5_urls
 
 QUERIES = {
     "op1_ann": op1_ann,
     "op2_suffix": op2_suffix,
     "op3_secrets": op3_secrets,
     "op4_toxicity": op4_toxicity,
+    "op5_urls": op5_urls,
+    "op8_sharding": op8_sharding,
     "op9_pii": op9_pii,
     "op10_simhash": op10_simhash,
 }
