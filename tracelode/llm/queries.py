@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .ann import op1_ann
+from .decontam import op7_decontam
+from .packing import op6_packing
 from .pii import op9_pii
 from .secrets import OP3_SQL, op3_secrets
 from .sharding import op8_sharding
@@ -17,6 +19,8 @@ QUERIES = {
     "op3_secrets": op3_secrets,
     "op4_toxicity": op4_toxicity,
     "op5_urls": op5_urls,
+    "op6_packing": op6_packing,
+    "op7_decontam": op7_decontam,
     "op8_sharding": op8_sharding,
     "op9_pii": op9_pii,
     "op10_simhash": op10_simhash,
