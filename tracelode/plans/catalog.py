@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import stats
+from . import stats, usage
 
-_PARTS = (stats,)
+_PARTS = (stats, usage)
 
 QUERIES: dict = {k: f for part in _PARTS for k, f in part.QUERIES.items()}
 ORACLES: dict[str, str] = {k: sql for part in _PARTS for k, sql in part.ORACLES.items()}
