@@ -68,21 +68,22 @@ def clipped(text: Column, size: int, mark: str = "…") -> Column:
     return F.when(F.length(text) > size, F.concat(F.substring(text, 1, size), F.lit(mark))).otherwise(text)
 
 
-def _scaled(n: Column, step: float, units: tuple[str, ...], plain: Column) -> Column:
-    out = plain
-    for k, unit in enumerate(units, 1):
-        out = F.when(n >= step**k, F.concat(F.format_string("%.1f", F.round(n / step**k, 1)), F.lit(unit))).otherwise(out)
-    return out
-
-
 def human_bytes(n: Column) -> Column:
-    """1023 B, 1.0 KB, 1.5 MB and so on."""
-    return _scaled(n.cast("double"), 1024.0, (" KB", " MB", " GB", " TB"), F.concat(n.cast("string"), F.lit(" B")))
+    """0 B, 1023 B, 1.5 KB, 150 MB: one decimal below a hundred of a unit above bytes."""
+    v = n.cast("double")
+    out = F.concat(F.format_string("%.0f", v), F.lit(" B"))
+    for k, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
+        x = v / 1024.0**k
+        out = F.when(x >= 1, F.concat(F.when(x >= 100, F.format_string("%.0f", x)).otherwise(F.format_string("%.1f", x)), F.lit(f" {unit}"))).otherwise(out)
+    return F.when(v > 0, out).otherwise("0 B")
 
 
 def human_tokens(n: Column) -> Column:
-    """999, 1.2K, 3.4M and so on."""
-    return _scaled(n.cast("double"), 1000.0, ("K", "M", "B"), n.cast("string"))
+    """999, 1.2K, 3.4M, 5.6B."""
+    out = n.cast("string")
+    for k, unit in enumerate("KMB", 1):
+        out = F.when(n >= 1000**k, F.concat(F.format_string("%.1f", n.cast("double") / 1000.0**k), F.lit(unit))).otherwise(out)
+    return out
 
 
 def identity_path(path: Column, windows: bool = False) -> Column:
