@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import sessions, stats, usage
+from . import sessions, stats, timeline, usage
 
-_PARTS = (stats, usage, sessions)
+_PARTS = (stats, usage, sessions, timeline)
 
 QUERIES: dict = {k: f for part in _PARTS for k, f in part.QUERIES.items()}
 ORACLES: dict[str, str] = {k: sql for part in _PARTS for k, sql in part.ORACLES.items()}
