@@ -117,3 +117,26 @@ def test_given_table_against_all_pairs(spark):
         label = after
     got = {r[0]: r[2] for r in S.near_duplicates(docs).collect()}
     assert got == {r.doc_id: int(c) for r, c in zip(rows, label, strict=True)}
+
+
+def test_copies_at_four_fifths_against_all_pairs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(150)
+    rng = random.Random(3)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    for k, (_, text) in enumerate(rows[:40]):
+        w = (text or "").split()
+        if len(w) > 60:
+            w[len(w) // 2] = "changed"
+            rows.append((10_000 + k, " ".join(w)))
+    rows += [(20_000, None), (20_001, ""), (20_002, "  "), (20_003, "two words"), (20_004, "TWO words"), (20_005, rng.random().hex())]
+    sets = [set(S.shingle_set(t).tolist()) for _, t in rows]
+    label = np.array([i for i, _ in rows])
+    near = np.array([[a == b or 5 * len(a & b) >= 4 * len(a | b) for b in sets] for a in sets])
+    while (after := np.where(near, label[None, :], 1 << 60).min(axis=1)).tolist() != label.tolist():
+        label = after
+    got = dict(S.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == {i: int(c) for (i, _), c in zip(rows, label, strict=True)}
+
+
+def test_copies_of_an_empty_table(spark):
+    assert S.near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -10,6 +10,12 @@ fingerprints are verified by their exact distance.
 principle two words within 4 bits have a half within 2, so each half emits its
 ball of radius 1, 66 variants in all. Both lose no link; the second moves 3 %
 of the rows. Only the other half is left to the verification.
+
+Texts that share four fifths of their shingles differ in about nine bits of 64,
+beyond what a ball of half that radius can reach. ``near_copies`` therefore
+takes several short fingerprints of five-word shingles: each emits its ball of
+radius 1, so any one of them within two bits brings a pair together, and the
+pair is verified by the share of its shingles.
 """
 
 from __future__ import annotations
@@ -30,32 +36,85 @@ from .components import components
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Shingles whose bits are counted at once, so a very long text needs no more memory.
 BLOCK = 1 << 15
+#: near_copies: words of a shingle, and the fraction of common shingles from which texts are copies.
+COPY_SHINGLE, SIMILAR = 5, (4, 5)
+#: Short fingerprints of near_copies and their bits; more bits keep balls apart on a larger corpus, more words find more.
+SHORTS, SHORT_BITS = 12, 28
+#: Bits of 64 beyond which a colliding pair isn't verified: 3.5 deviations above what texts at the fraction have.
+FAR = 20
+#: Up to so many colliding fingerprints are compared pair by pair; beyond, by a spanning forest.
+FEW = 16
 
 
-def fingerprint_of(text: str | None, shingle: int = SHINGLE) -> int:
-    """The signed 64-bit SimHash of one text; 0 without words.
+def shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 of every shingle, repeats included, in blocks.
 
     A-Z become lower case and words end at ASCII white space, which is what
     bytes.lower() and bytes.split() do. Fewer words than a shingle make one.
     """
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, len(words)) + 1
     end = np.cumsum(size) - 1
     start = end + 1 - size
     last = min(shingle, len(words)) - 1
     total, digest = len(words) - last, xxhash.xxh64_intdigest
-    ones = np.zeros(64, np.int64)
     for i in range(0, total, BLOCK):
         j = min(total, i + BLOCK)
         pairs = zip(start[i:j].tolist(), end[i + last : j + last].tolist(), strict=True)
-        hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in pairs), np.uint64, j - i)
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+        yield np.fromiter((digest(joined[a:b], SEED) for a, b in pairs), np.uint64, j - i)
+
+
+def _bits(words: np.ndarray) -> np.ndarray:
+    """How many rows have each bit, least bit of the first column first."""
+    return np.unpackbits(words.view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def fingerprint_of(text: str | None, shingle: int = SHINGLE) -> int:
+    """The signed 64-bit SimHash of one text; 0 without words."""
+    ones, total = np.zeros(64, np.int64), 0
+    for hashes in shingle_hashes(text, shingle):
+        ones += _bits(hashes)
+        total += len(hashes)
     return int(np.packbits(2 * ones > total, bitorder="little").view(np.int64)[0])
 
 
+def shingle_set(text: str | None, shingle: int = COPY_SHINGLE) -> np.ndarray:
+    """The different shingles of a text, as sorted hashes."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, shingle)]))
+
+
+_ODD = np.random.default_rng(64).integers(1 << 62, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
+
+
+def short_fingerprints(text: str | None, shorts: int = SHORTS, bits: int = SHORT_BITS) -> list[int]:
+    """A 64-bit SimHash of the different five-word shingles and so many short ones, all independent; zeros without words."""
+    lanes = -(-shorts * bits // 64) + 1
+    found = shingle_set(text)
+    ones = np.zeros(lanes * 64, np.int64)
+    for at in range(0, len(found), BLOCK // 8):
+        mixed = found[at : at + BLOCK // 8, None] * _ODD[None, :lanes]
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+        ones += _bits(mixed)
+    over = 2 * ones > len(found)
+    whole = int(np.packbits(over[:64], bitorder="little").view(np.int64)[0])
+    return [whole, *(over[64 : 64 + shorts * bits].reshape(shorts, bits) @ (1 << np.arange(bits))).tolist()]
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _shorts(texts: pd.Series) -> pd.Series:
+    return pd.Series([short_fingerprints(t) for t in texts])
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _shingles(texts: pd.Series) -> pd.Series:
+    return pd.Series([shingle_set(t).view(np.int64) for t in texts])
+
+
 @F.pandas_udf(T.LongType())
 def simhash(texts: pd.Series) -> pd.Series:
     return pd.Series([fingerprint_of(t) for t in texts], dtype="int64")
@@ -159,13 +218,90 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(names, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+def _short_variants(bits: int):
+    """A mapInPandas function: (fp, shorts) to (key, fp) for every word in the ball of radius 1 around each short fingerprint."""
+    ball = masks(bits, 1).astype(np.int64)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 1_000):
+                some = batch.iloc[at : at + 1_000]
+                words = np.array(some["shorts"].tolist(), np.int64)
+                keys = (np.arange(words.shape[1]) << bits | words)[:, :, None] ^ ball
+                yield pd.DataFrame({"key": keys.ravel(), "fp": np.repeat(some["fp"].to_numpy(np.int64), words.shape[1] * len(ball))})
+
+    return run
+
+
+def _meet(far: int):
+    """A mapInPandas function over rows sorted by key: pairs (a, b), a > b, that collide and lie within so many bits."""
+
+    def pairs(key: np.ndarray, fp: np.ndarray) -> pd.DataFrame:
+        edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+        size = np.diff(edge)
+        few = np.repeat(size <= FEW, size)
+        found = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64))]
+        for lag in range(1, min(FEW, int(size.max()))):
+            x, y = fp[:-lag], fp[lag:]
+            near = (key[:-lag] == key[lag:]) & few[lag:]
+            near[near] = np.bitwise_count(x[near] ^ y[near]) <= far
+            found.append((x[near], y[near]))
+        for at, n in zip(edge[:-1][size > FEW].tolist(), size[size > FEW].tolist(), strict=True):
+            found += _spanning(fp[at : at + n], far)
+        a, b = (np.concatenate(x).view(np.int64) for x in zip(*found, strict=True))
+        return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)}).drop_duplicates()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        for batch in batches:
+            key = np.concatenate([key, batch["key"].to_numpy(np.int64)])
+            fp = np.concatenate([fp, batch["fp"].to_numpy(np.int64).view(np.uint64)])
+            cut = int(np.searchsorted(key, key[-1])) if len(key) else 0
+            if cut:
+                yield pairs(key[:cut], fp[:cut])
+                key, fp = key[cut:], fp[cut:]
+        if len(key):
+            yield pairs(key, fp)
+
+    return run
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shorts: int = SHORTS, bits: int = SHORT_BITS) -> DataFrame:
+    """(id, component_id) for every row of docs, linked at four fifths or more of common five-word shingles.
+
+    A link is found if one of the short fingerprints differs by two bits at
+    most, and stands if the shingles do: their share is counted exactly. Texts
+    with equal 64-bit SimHashes are one point. component_id is the least id
+    reachable; nulls, repeats and empty tables are treated as near_duplicates
+    treats them. Texts without words are copies of each other.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
+    prints = stash(rows.withColumn("all", _shorts("text")).select("id", F.xxhash64("text").alias("copy"), F.col("all")[0].alias("fp"), F.slice("all", 2, shorts).alias("shorts")), "prints")
+    # Copies first, so that a group of any size is one row of the join for texts.
+    distinct = stash(prints.groupBy("fp").agg(F.min(F.struct("copy", "shorts")).alias("one"), F.min("id").alias("least")).select("fp", "one.*", "least"), "distinct")
+    variants = distinct.select("fp", "shorts").mapInPandas(_short_variants(bits), "key long, fp long")
+    met = stash(variants.repartition("key").sortWithinPartitions("key").mapInPandas(_meet(FAR), "a long, b long").distinct(), "met")
+    asked = met.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(distinct.select("fp", "copy"), "fp")
+    texts = rows.withColumn("copy", F.xxhash64("text")).join(asked.select("copy"), "copy", "left_semi").groupBy("copy").agg(F.min("text").alias("text"))
+    sets = stash(asked.join(texts, "copy").select("fp", _shingles("text").alias("set")), "sets")
+    both = met.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("set").alias("y")), "b")
+    common, total = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
+    links = both.where(common * (SIMILAR[0] + SIMILAR[1]) >= total * SIMILAR[0]).select("a", "b")
+    roots = components(links)
+    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    names = stash(rooted.join(least, "root").select("fp", "component_id"), "components")
+    return prints.join(names, "fp").select(F.col("id").alias(id_col), "component_id")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without near copies: of each component the row with the least id stays.
+    """docs without near copies (see near_copies): of each component the row with the least id stays.
 
     Columns and their order stay. Where ids repeat among the rows that stay,
     one row of each such id does, so that every component keeps one row.
     """
-    found = stash(near_duplicates(docs, id_col, text_col), "found")
+    found = stash(near_copies(docs, id_col, text_col), "found")
     kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).cast("long").alias("_kept_id"))
     total, different = kept.agg(F.count("*"), F.countDistinct(F.struct("_kept_id"))).first()
     out = docs.join(kept.distinct(), docs[id_col].cast("long").eqNullSafe(kept["_kept_id"]), "left_semi")
