@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import graphs, searches, sessions, stats, timeline, usage
+from . import diagnosis, graphs, searches, sessions, stats, timeline, usage
 
-_PARTS = (stats, usage, sessions, timeline, searches, graphs)
+_PARTS = (stats, usage, sessions, timeline, searches, graphs, diagnosis)
 
 QUERIES: dict = {k: f for part in _PARTS for k, f in part.QUERIES.items()}
 ORACLES: dict[str, str] = {k: sql for part in _PARTS for k, sql in part.ORACLES.items()}
