@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import BinaryType, DoubleType, LongType, StructType
+from pyspark.sql.window import Window as W
 
-from .jsonl import seconds_at, text_at
+from .jsonl import text_at
 
 ROWS = 50_000
 
@@ -119,8 +120,6 @@ def hermes_events(spark: SparkSession, path: str) -> DataFrame:
 
 def zcode_events(spark: SparkSession, path: str) -> DataFrame:
     """(session, place, role, kind, text): messages joined to their parts, by sequence, then time; null sequences last."""
-    from pyspark.sql.window import Window as W
-
     m = sqlite(spark, path, "message", "id string, session_id string, time_created long, data string, sequence long, rowid long")
     p = sqlite(spark, path, "part", "id string, message_id string, session_id string, time_created long, data string, sequence long")
     both = m.alias("m").join(p.alias("p"), (F.col("m.id") == F.col("p.message_id")) & (F.col("m.session_id") == F.col("p.session_id")))
@@ -157,5 +156,3 @@ def cursor_sessions(spark: SparkSession, path: str) -> DataFrame:
     rows = h.where(F.coalesce("isSubagent", F.lit(0)) == 0).withColumn("title", title).withColumn("cwd", cwd).where("coalesce(trim(title), '') <> '' or coalesce(trim(cwd), '') <> ''")
     return rows.join(bubbles.where("bubbles > 0"), "composerId").select(F.col("composerId").alias("id"), "title", "cwd", F.floor(F.col("createdAt") / 1000).alias("created_at"), F.floor(F.coalesce("lastUpdatedAt", "createdAt") / 1000).alias("updated_at"), F.coalesce(F.col("isArchived") != 0, F.lit(False)).alias("archived"), "bubbles")
 
-
-__all__ = ["SqliteSource", "codex_threads", "cursor_sessions", "hermes_events", "opencode_sessions", "seconds_at", "sqlite", "zcode_events"]
