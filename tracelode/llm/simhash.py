@@ -234,22 +234,26 @@ def _short_variants(bits: int):
 
 
 def _meet(far: int):
-    """A mapInPandas function over rows sorted by key: pairs (a, b), a > b, that collide and lie within so many bits."""
+    """A mapInPandas function over rows sorted by key and fp: pairs (a, b, spare), a > b, that collide and lie within so many bits.
+
+    Pairs with the first of a group are no spares: they alone join most groups.
+    """
 
     def pairs(key: np.ndarray, fp: np.ndarray) -> pd.DataFrame:
         edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
         size = np.diff(edge)
-        few = np.repeat(size <= FEW, size)
-        found = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64))]
+        few, inside = np.repeat(size <= FEW, size), np.arange(len(key)) - np.repeat(edge[:-1], size)
+        found = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool))]
         for lag in range(1, min(FEW, int(size.max()))):
             x, y = fp[:-lag], fp[lag:]
             near = (key[:-lag] == key[lag:]) & few[lag:]
             near[near] = np.bitwise_count(x[near] ^ y[near]) <= far
-            found.append((x[near], y[near]))
+            found.append((x[near], y[near], inside[:-lag][near] > 0))
         for at, n in zip(edge[:-1][size > FEW].tolist(), size[size > FEW].tolist(), strict=True):
-            found += _spanning(fp[at : at + n], far)
-        a, b = (np.concatenate(x).view(np.int64) for x in zip(*found, strict=True))
-        return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)}).drop_duplicates()
+            found += [(x, y, np.zeros(len(x), bool)) for x, y in _spanning(fp[at : at + n], far)]
+        a, b, spare = (np.concatenate(x) for x in zip(*found, strict=True))
+        a, b = a.view(np.int64), b.view(np.int64)
+        return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b), "spare": spare}).sort_values("spare").drop_duplicates(["a", "b"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -266,11 +270,20 @@ def _meet(far: int):
     return run
 
 
+def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose shingles, by the table (fp, set), are common to four fifths."""
+    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("set").alias("y")), "b")
+    common, total = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
+    return both.where(common * (SIMILAR[0] + SIMILAR[1]) >= total * SIMILAR[0]).select("a", "b")
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shorts: int = SHORTS, bits: int = SHORT_BITS) -> DataFrame:
     """(id, component_id) for every row of docs, linked at four fifths or more of common five-word shingles.
 
     A link is found if one of the short fingerprints differs by two bits at
-    most, and stands if the shingles do: their share is counted exactly. Texts
+    most, and stands if the shingles do: their share is counted exactly. Pairs
+    are looked at in two steps, those that join groups and then, of the others,
+    those between groups; the components are the same as in one step. Texts
     with equal 64-bit SimHashes are one point. component_id is the least id
     reachable; nulls, repeats and empty tables are treated as near_duplicates
     treats them. Texts without words are copies of each other.
@@ -281,14 +294,16 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Copies first, so that a group of any size is one row of the join for texts.
     distinct = stash(prints.groupBy("fp").agg(F.min(F.struct("copy", "shorts")).alias("one"), F.min("id").alias("least")).select("fp", "one.*", "least"), "distinct")
     variants = distinct.select("fp", "shorts").mapInPandas(_short_variants(bits), "key long, fp long")
-    met = stash(variants.repartition("key").sortWithinPartitions("key").mapInPandas(_meet(FAR), "a long, b long").distinct(), "met")
+    met = variants.repartition("key").sortWithinPartitions("key", "fp").mapInPandas(_meet(FAR), "a long, b long, spare boolean")
+    met = stash(met.groupBy("a", "b").agg(F.min("spare").alias("spare")), "met")
     asked = met.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(distinct.select("fp", "copy"), "fp")
     texts = rows.withColumn("copy", F.xxhash64("text")).join(asked.select("copy"), "copy", "left_semi").groupBy("copy").agg(F.min("text").alias("text"))
     sets = stash(asked.join(texts, "copy").select("fp", _shingles("text").alias("set")), "sets")
-    both = met.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("set").alias("y")), "b")
-    common, total = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
-    links = both.where(common * (SIMILAR[0] + SIMILAR[1]) >= total * SIMILAR[0]).select("a", "b")
-    roots = components(links)
+    first = stash(components(_alike(met.where("not spare").select("a", "b"), sets)), "first")
+    # A spare pair can only matter if its ends aren't joined yet, so all others need no look at their texts.
+    end = lambda c: first.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    apart = met.where("spare").join(end("a"), "a", "left").join(end("b"), "b", "left").where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
+    roots = components(_alike(apart, sets).unionByName(first.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     names = stash(rooted.join(least, "root").select("fp", "component_id"), "components")
