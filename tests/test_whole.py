@@ -23,3 +23,14 @@ def test_counter_fold_has_every_user(spark):
     got = {r.path: (r.input, r.output) for r in catalog.QUERIES["counter_fold"](spark, d).collect()}
     assert max(map(int, got)) >= 40
     assert got == {u: (n, 2 * n) for u, n in want.items() if n}
+
+
+def test_prefix_compare_reads_conversations_to_the_end(spark, tmp_path):
+    turn = lambda n: "user" if n % 2 == 0 else "assistant"
+    rows = [(c, n, turn(n) if (c, n) != (1, 12) else "system", "t") for c, size in ((0, 20), (1, 20), (2, 15), (3, 18)) for n in range(size)]
+    spark.createDataFrame(rows, spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").schema).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.pair: (r.common, r.state, r.ahead) for r in catalog.QUERIES["prefix_compare"](spark, str(tmp_path)).collect()}
+    assert len(got) == 2
+    assert sorted(v[1] for v in got.values()) == ["branch_ahead", "diverged"]
+    assert min(v[0] for v in got.values()) > 8
+    assert sorted(v[2] for v in got.values()) == [0, 3]

@@ -31,8 +31,8 @@ _NEW = "select *, coalesce((role <> lag(role) over (partition by session order b
 
 
 def _pairs(spark, d):
-    """Conversation 2n against 2n + 1, roles only, cut to nine lines."""
-    t = transcript(spark, d).where("idx < 9").select(F.floor(F.col("session") / 2).alias("pair"), (F.col("session") % 2).alias("side"), F.col("idx").alias("line"), "role")
+    """Conversation 2n against 2n + 1, roles only."""
+    t = transcript(spark, d).select(F.floor(F.col("session") / 2).alias("pair"), (F.col("session") % 2).alias("side"), F.col("idx").alias("line"), "role")
     a = t.where("side = 0").select("pair", "line", F.col("role").alias("active"))
     b = t.where("side = 1").select("pair", "line", F.col("role").alias("branch"))
     return a.join(b, ["pair", "line"], "full_outer")
