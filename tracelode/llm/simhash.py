@@ -11,11 +11,12 @@ principle two words within 4 bits have a half within 2, so each half emits its
 ball of radius 1, 66 variants in all. Both lose no link; the second moves 3 %
 of the rows. Only the other half is left to the verification.
 
-Texts that share four fifths of their shingles differ in about nine bits of 64,
-beyond what a ball of half that radius can reach. ``near_copies`` therefore
-takes several short fingerprints of five-word shingles: each emits its ball of
-radius 1, so any one of them within two bits brings a pair together, and the
-pair is verified by the share of its shingles.
+``near_copies`` links texts by the share of their five-word shingles instead and
+loses no link either. All shingles have one order, those that a sample finds
+common last. By the prefix principle two texts with four fifths in common share
+one of the first shingles of each, a fifth of its set and one more; a shuffle
+brings equal ones together, counts of shingles by bucket bound what a pair can
+have in common, and what is left is verified by exact counts.
 """
 
 from __future__ import annotations
@@ -38,12 +39,16 @@ SHINGLE, SEED, RADIUS = 4, 42, 4
 BLOCK = 1 << 15
 #: near_copies: words of a shingle, and the fraction of common shingles from which texts are copies.
 COPY_SHINGLE, SIMILAR = 5, (4, 5)
-#: Short fingerprints of near_copies and their bits; more bits keep balls apart on a larger corpus, more words find more.
-SHORTS, SHORT_BITS = 12, 28
-#: Bits of 64 beyond which a colliding pair isn't verified: 3.5 deviations above what texts at the fraction have.
-FAR = 20
-#: Up to so many colliding fingerprints are compared pair by pair; beyond, by a spanning forest.
+#: One text in so many is looked at for common shingles: those that it has so often, and so many of them at most, come last. They order shingles only, so no link depends on them.
+SAMPLED, COMMON, MOST_COMMON = 16, 3, 200_000
+#: Buckets of a text's counts of shingles, a power of two.
+BUCKETS = 128
+#: Up to so many texts with a shingle are compared pair by pair at once; beyond, with one of them first, and then where groups are still apart.
 FEW = 16
+#: Times that a larger group is compared with one more of its texts before all pairs still apart are.
+ROUNDS = 1
+#: Pairs given on at once.
+CHUNK = 200_000
 
 
 def shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
@@ -86,28 +91,28 @@ def shingle_set(text: str | None, shingle: int = COPY_SHINGLE) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, shingle)]))
 
 
-_ODD = np.random.default_rng(64).integers(1 << 62, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
+def _points(common: pd.DataFrame):
+    """A function of texts: hash and size of the set of shingles, its first ones in the order (count in the sample, hash), and its counts by bucket."""
+    common = common.assign(hash=common["hash"].to_numpy(np.int64).view(np.uint64)).sort_values("hash")
+    known, often = common["hash"].to_numpy(np.uint64), common["often"].to_numpy(np.int64)
+    shift = np.uint64(64 - BUCKETS.bit_length() + 1)
 
+    def point(text: str | None) -> tuple:
+        found = shingle_set(text)
+        size, first = len(found), found
+        if len(known):
+            at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+            first = found[np.argsort(np.where(known[at] == found, often[at], 0), kind="stable")]
+        # A partner has -(-size * 4 // 5) of the shingles at least, so not all of so many are missing.
+        first = first[: size + 1 - -(-size * SIMILAR[0] // SIMILAR[1])]
+        counts = np.bincount((found >> shift).astype(np.int64), minlength=BUCKETS).astype("<u4")
+        return xxhash.xxh64_intdigest(found.tobytes()) - (1 << 63), size, first.view(np.int64), counts.tobytes()
 
-def short_fingerprints(text: str | None, shorts: int = SHORTS, bits: int = SHORT_BITS) -> list[int]:
-    """A 64-bit SimHash of the different five-word shingles and so many short ones, all independent; zeros without words."""
-    lanes = -(-shorts * bits // 64) + 1
-    found = shingle_set(text)
-    ones = np.zeros(lanes * 64, np.int64)
-    for at in range(0, len(found), BLOCK // 8):
-        mixed = found[at : at + BLOCK // 8, None] * _ODD[None, :lanes]
-        mixed ^= mixed >> np.uint64(32)
-        mixed *= np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(29)
-        ones += _bits(mixed)
-    over = 2 * ones > len(found)
-    whole = int(np.packbits(over[:64], bitorder="little").view(np.int64)[0])
-    return [whole, *(over[64 : 64 + shorts * bits].reshape(shorts, bits) @ (1 << np.arange(bits))).tolist()]
+    @F.pandas_udf("fp long, size int, first array<long>, counts binary")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([point(t) for t in texts], columns=["fp", "size", "first", "counts"])
 
-
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _shorts(texts: pd.Series) -> pd.Series:
-    return pd.Series([short_fingerprints(t) for t in texts])
+    return run
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -218,58 +223,112 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(names, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def _short_variants(bits: int):
-    """A mapInPandas function: (fp, shorts) to (key, fp) for every word in the ball of radius 1 around each short fingerprint."""
-    ball = masks(bits, 1).astype(np.int64)
+def _whole_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by key in frames that end where a key does."""
+    held = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        key = held["key"].to_numpy(np.int64)
+        cut = int(np.searchsorted(key, key[-1]))
+        if cut:
+            yield held.iloc[:cut]
+            held = held.iloc[cut:]
+    if held is not None:
+        yield held
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), 1_000):
-                some = batch.iloc[at : at + 1_000]
-                words = np.array(some["shorts"].tolist(), np.int64)
-                keys = (np.arange(words.shape[1]) << bits | words)[:, :, None] ^ ball
-                yield pd.DataFrame({"key": keys.ravel(), "fp": np.repeat(some["fp"].to_numpy(np.int64), words.shape[1] * len(ball))})
 
-    return run
+def _may(size: np.ndarray, at: np.ndarray, size2: np.ndarray, at2: np.ndarray) -> np.ndarray:
+    """Whether sets whose first common shingle is at these places can have four fifths in common."""
+    return np.minimum(size - at, size2 - at2) * (SIMILAR[0] + SIMILAR[1]) >= (size + size2) * SIMILAR[0]
 
 
-def _meet(far: int):
-    """A mapInPandas function over rows sorted by key and fp: pairs (a, b, spare), a > b, that collide and lie within so many bits.
+def _pairs(x: np.ndarray, y: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"a": np.maximum(x, y), "b": np.minimum(x, y)}).drop_duplicates()
 
-    Pairs with the first of a group are no spares: they alone join most groups.
-    """
 
-    def pairs(key: np.ndarray, fp: np.ndarray) -> pd.DataFrame:
+def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (key, fp, size, at) sorted by key and fp to pairs (a, b), a > b, that may be alike.
+
+    Of a key with more than FEW rows the pairs with its first row, and its rows
+    themselves as well, with many set and fp in a.
+    """
+    for some in _whole_keys(batches):
+        key, fp, size, at = (some[c].to_numpy(np.int64) for c in ("key", "fp", "size", "at"))
         edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
-        size = np.diff(edge)
-        few, inside = np.repeat(size <= FEW, size), np.arange(len(key)) - np.repeat(edge[:-1], size)
-        found = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool))]
-        for lag in range(1, min(FEW, int(size.max()))):
-            x, y = fp[:-lag], fp[lag:]
-            near = (key[:-lag] == key[lag:]) & few[lag:]
-            near[near] = np.bitwise_count(x[near] ^ y[near]) <= far
-            found.append((x[near], y[near], inside[:-lag][near] > 0))
-        for at, n in zip(edge[:-1][size > FEW].tolist(), size[size > FEW].tolist(), strict=True):
-            found += [(x, y, np.zeros(len(x), bool)) for x, y in _spanning(fp[at : at + n], far)]
-        a, b, spare = (np.concatenate(x) for x in zip(*found, strict=True))
-        a, b = a.view(np.int64), b.view(np.int64)
-        return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b), "spare": spare}).sort_values("spare").drop_duplicates(["a", "b"])
+        n = np.diff(edge)
+        few = np.repeat(n <= FEW, n)
+        found = []
+        for lag in range(1, min(FEW, int(n.max()))):
+            i = np.flatnonzero((key[:-lag] == key[lag:]) & few[lag:])
+            i = i[_may(size[i], at[i], size[i + lag], at[i + lag])]
+            found.append((fp[i], fp[i + lag]))
+        j, hub = np.flatnonzero(~few), np.repeat(edge[:-1], n)
+        near = j[(j != hub[j]) & _may(size[j], at[j], size[hub[j]], at[hub[j]])]
+        found.append((fp[near], fp[hub[near]]))
+        yield _pairs(*(np.concatenate(x) for x in zip(*found, strict=True))).assign(many=False, key=0, size=0, at=0)
+        yield pd.DataFrame({"a": fp[j], "b": 0, "many": True, "key": key[j], "size": size[j], "at": at[j]})
+
+
+def _across(turn: int | None):
+    """A mapInPandas function: (key, fp, size, at, root) sorted by key to pairs (a, b), a > b, of different roots that may be alike.
+
+    Of each key those with one row, another each turn; without a turn all.
+    """
+    seed = np.uint64(0x9E3779B97F4A7C15 + 2 * (turn or 0))
+
+    def found(fp: np.ndarray, size: np.ndarray, at: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        roots, which, n = np.unique(root, return_inverse=True, return_counts=True)
+        if len(roots) < 2:
+            return
+        hubs = [int(np.argmin(fp.view(np.uint64) * seed))] if turn is not None else np.flatnonzero(which != n.argmax()).tolist()
+        open_ = np.ones(len(fp), bool)
+        for hub in hubs:
+            open_[hub] = False
+            j = np.flatnonzero(open_ & (root != root[hub]))
+            j = j[_may(size[j], at[j], size[hub], at[hub])]
+            if len(j):
+                yield fp[j], np.full(len(j), fp[hub])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        for batch in batches:
-            key = np.concatenate([key, batch["key"].to_numpy(np.int64)])
-            fp = np.concatenate([fp, batch["fp"].to_numpy(np.int64).view(np.uint64)])
-            cut = int(np.searchsorted(key, key[-1])) if len(key) else 0
-            if cut:
-                yield pairs(key[:cut], fp[:cut])
-                key, fp = key[cut:], fp[cut:]
-        if len(key):
-            yield pairs(key, fp)
+        for some in _whole_keys(batches):
+            key, *rest = (some[c].to_numpy(np.int64) for c in ("key", "fp", "size", "at", "root"))
+            edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True]).tolist()
+            held, count = [], 0
+            for i, j in zip(edge, edge[1:]):
+                for pair in found(*(np.ascontiguousarray(x[i:j]) for x in rest)):
+                    held.append(pair)
+                    count += len(pair[0])
+                    if count > CHUNK:
+                        yield _pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                        held, count = [], 0
+            if held:
+                yield _pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return run
 
 
+@F.pandas_udf(T.BooleanType())
+def _enough(x: pd.Series, y: pd.Series) -> pd.Series:
+    """Whether counts by bucket leave room for four fifths in common."""
+    x, y = (np.frombuffer(b"".join(c), "<u4").reshape(len(c), BUCKETS) for c in (x, y))
+    total = x.sum(axis=1, dtype=np.int64) + y.sum(axis=1, dtype=np.int64)
+    return pd.Series(np.minimum(x, y).sum(axis=1, dtype=np.int64) * (SIMILAR[0] + SIMILAR[1]) >= total * SIMILAR[0])
+
+
+def _possible(pairs: DataFrame, counts: DataFrame) -> DataFrame:
+    """The different pairs (a, b) that counts by bucket, by the table (fp, counts), don't rule out."""
+    both = pairs.distinct().join(counts.select(F.col("fp").alias("a"), F.col("counts").alias("x")), "a").join(counts.select(F.col("fp").alias("b"), F.col("counts").alias("y")), "b")
+    return both.where(_enough("x", "y")).select("a", "b")
+
+
+def _common(rows: DataFrame) -> pd.DataFrame:
+    """(hash, often): shingles that a sample of the texts finds common."""
+    drawn = rows.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).select(F.explode(_shingles("text")).alias("hash"))
+    return drawn.groupBy("hash").agg(F.count("*").alias("often")).where(F.col("often") >= COMMON).orderBy(F.desc("often"), "hash").limit(MOST_COMMON).toPandas()
+
+
 def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose shingles, by the table (fp, set), are common to four fifths."""
     both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("set").alias("y")), "b")
@@ -277,33 +336,36 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(common * (SIMILAR[0] + SIMILAR[1]) >= total * SIMILAR[0]).select("a", "b")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shorts: int = SHORTS, bits: int = SHORT_BITS) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component_id) for every row of docs, linked at four fifths or more of common five-word shingles.
 
-    A link is found if one of the short fingerprints differs by two bits at
-    most, and stands if the shingles do: their share is counted exactly. Pairs
-    are looked at in two steps, those that join groups and then, of the others,
-    those between groups; the components are the same as in one step. Texts
-    with equal 64-bit SimHashes are one point. component_id is the least id
-    reachable; nulls, repeats and empty tables are treated as near_duplicates
-    treats them. Texts without words are copies of each other.
+    No link is lost, whatever the length of a text, and each stands by the exact
+    share of common shingles. Texts with equal sets of shingles are one point.
+    Where many texts have a shingle they are compared with one of them first,
+    then with another, then in all pairs that are still in different
+    components. component_id is the least id reachable; nulls, repeats and
+    empty tables are treated as near_duplicates treats them. Texts without
+    words are copies of each other.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
-    prints = stash(rows.withColumn("all", _shorts("text")).select("id", F.xxhash64("text").alias("copy"), F.col("all")[0].alias("fp"), F.slice("all", 2, shorts).alias("shorts")), "prints")
+    prints = stash(rows.select("id", F.xxhash64("text").alias("copy"), _points(_common(rows))("text").alias("point")).select("id", "copy", "point.*"), "prints")
     # Copies first, so that a group of any size is one row of the join for texts.
-    distinct = stash(prints.groupBy("fp").agg(F.min(F.struct("copy", "shorts")).alias("one"), F.min("id").alias("least")).select("fp", "one.*", "least"), "distinct")
-    variants = distinct.select("fp", "shorts").mapInPandas(_short_variants(bits), "key long, fp long")
-    met = variants.repartition("key").sortWithinPartitions("key", "fp").mapInPandas(_meet(FAR), "a long, b long, spare boolean")
-    met = stash(met.groupBy("a", "b").agg(F.min("spare").alias("spare")), "met")
-    asked = met.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(distinct.select("fp", "copy"), "fp")
+    distinct = stash(prints.groupBy("fp").agg(F.min(F.struct("copy", "size", "first", "counts")).alias("one"), F.min("id").alias("least")).select("fp", "one.*", "least"), "distinct")
+    keyed = distinct.select("fp", "size", F.posexplode("first").alias("at", "key"))
+    met = stash(keyed.repartition("key").sortWithinPartitions("key", "fp").mapInPandas(_meet, "a long, b long, many boolean, key long, size int, at int"), "met")
+    many = met.where("many").select("key", F.col("a").alias("fp"), "size", "at")
+    pairs = stash(_possible(met.where("not many").select("a", "b"), distinct), "pairs")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("fp")).unionByName(many.select("fp")).distinct().join(distinct.select("fp", "copy"), "fp")
     texts = rows.withColumn("copy", F.xxhash64("text")).join(asked.select("copy"), "copy", "left_semi").groupBy("copy").agg(F.min("text").alias("text"))
     sets = stash(asked.join(texts, "copy").select("fp", _shingles("text").alias("set")), "sets")
-    first = stash(components(_alike(met.where("not spare").select("a", "b"), sets)), "first")
-    # A spare pair can only matter if its ends aren't joined yet, so all others need no look at their texts.
-    end = lambda c: first.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    apart = met.where("spare").join(end("a"), "a", "left").join(end("b"), "b", "left").where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
-    roots = components(_alike(apart, sets).unionByName(first.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    roots = stash(components(_alike(pairs, sets)), "roots")
+    for turn in [*range(ROUNDS), None]:
+        now = many.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        apart = now.repartition("key").sortWithinPartitions("key", "fp").mapInPandas(_across(turn), "a long, b long")
+        pairs = stash(_possible(apart, distinct), "pairs")
+        if not pairs.isEmpty():
+            roots = stash(components(_alike(pairs, sets).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "roots")
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     names = stash(rooted.join(least, "root").select("fp", "component_id"), "components")
