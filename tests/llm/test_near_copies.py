@@ -50,3 +50,17 @@ def test_a_family_of_hundreds_of_different_copies(spark, words, edits):
     want, near = all_pairs(rows)
     assert 1 < len(set(want.values())) and near.sum() > len(rows)
     assert found(spark, rows) == want
+
+
+def test_pairs_just_at_four_fifths_of_texts_of_any_length(spark):
+    rng, rows = random.Random(5), []
+    word = lambda: f"v{rng.randrange(10**9)}"
+    for n in [*range(8, 31)] * 12 + [60, 120, 184, 400] * 12:
+        base = [word() for _ in range(n)]
+        shingles = n - 4
+        # So many words more that the share is 0.80 to 0.86.
+        for more in {round(shingles / share) - shingles for share in (0.8, 0.83, 0.86)}:
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(base + [word() for _ in range(more)]))]
+    want, near = all_pairs(rows)
+    assert (near.sum() - len(rows)) > 600
+    assert found(spark, rows) == want
