@@ -54,9 +54,10 @@ def test_long_text_is_counted_in_blocks(monkeypatch):
     assert S.fingerprint_of(text) == whole
 
 
-@pytest.mark.parametrize("words", [1, 2])
-def test_balls_lose_no_link(spark, words):
-    rng = random.Random(words)
+@pytest.mark.parametrize("bits, at_once", [(4, 1 << 21), (11, 1 << 21), (6, 3_000), (None, 1 << 21)])
+def test_balls_lose_no_link(spark, monkeypatch, bits, at_once):
+    monkeypatch.setattr(S, "AT_ONCE", at_once)
+    rng = random.Random(at_once + (bits or 0))
     points = [rng.getrandbits(64) for _ in range(12)]
     for p in list(points):
         for _ in range(6):
@@ -64,7 +65,7 @@ def test_balls_lose_no_link(spark, words):
                 p ^= 1 << b
             points.append(p)
     signed = [int(np.uint64(p).view(np.int64)) for p in set(points)]
-    links = S.ball_links(spark.createDataFrame([(p,) for p in signed], "fp long"), words=words).collect()
+    links = S.ball_links(spark.createDataFrame([(p,) for p in signed], "fp long"), bits=bits).collect()
     assert all(bin((r.a ^ r.b) % 2**64).count("1") <= 4 for r in links)
     root = {p: p for p in signed}
 
@@ -81,6 +82,34 @@ def test_balls_lose_no_link(spark, words):
                 assert find(x) == find(y)
 
 
+def test_variants_of_a_class_are_taken_apart_without_loss(monkeypatch):
+    rng = random.Random(2)
+    base = rng.getrandbits(64)
+    fp = [base]
+    for _ in range(60):
+        p = rng.choice(fp)
+        for b in rng.sample(range(64), rng.randint(1, 4)):
+            p ^= 1 << b
+        fp.append(p)
+    fp = np.unique(np.array(fp, np.uint64))
+    monkeypatch.setattr(S, "AT_ONCE", 5_000)
+    root = list(range(len(fp)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in S._variants_met(fp, np.zeros(len(fp), np.int64), 64, 2):
+        assert (np.bitwise_count(fp[a] ^ fp[b]) <= 4).all()
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            root[find(x)] = find(y)
+    for x in range(len(fp)):
+        for y in range(x):
+            if int(fp[x] ^ fp[y]).bit_count() <= 4:
+                assert find(x) == find(y)
+
+
 def test_rows_nulls_repeats_and_clashing_columns(spark):
     base = " ".join(f"w{i}" for i in range(400))
     near = base.replace("w200", "zz")

@@ -1,15 +1,15 @@
 """SimHash near-duplicates found by meet-in-the-middle ball hashing.
 
 Two fingerprints within ``radius`` bits have a point in the middle: the balls
-of half the radius around them meet. Every distinct fingerprint emits the
-members of its ball, a shuffle brings equal members together, and colliding
-fingerprints are verified by their exact distance.
+of half the radius around them meet. Every distinct fingerprint emits all
+variants of its 64 bits within half the radius, 2,081 of them at radius 4, a
+shuffle brings equal variants together, and colliding pairs are verified.
 
-``words=1`` does this on the whole 64-bit word: 2,081 variants at radius 4.
-``words=2`` (the default) does it on both 32-bit halves: by the pigeonhole
-principle two words within 4 bits have a half within 2, so each half emits its
-ball of radius 1, 66 variants in all. Both lose no link; the second moves 3 %
-of the rows. Only the other half is left to the verification.
+Variants that agree in their first bits travel together: all that a fingerprint
+has in such a class follow from the fingerprint, so one row stands for them and
+they are written out only where the class is read. A fingerprint has variants in
+1 + b + b (b - 1) / 2 classes of b bits, 56 at ten bits instead of 2,081 rows; b
+grows with the number of fingerprints, so that a class keeps its size.
 
 ``near_copies`` links texts by the share of their five-word shingles instead and
 loses no link either. All shingles have one order, those that a sample finds
@@ -22,6 +22,7 @@ have in common, and what is left is verified by exact counts.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -35,6 +36,8 @@ from .common import documents, stash
 from .components import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
+#: Variants of a class on the average, by which the bits of classes are chosen, and so many at most that a task sorts together.
+VARIANTS, AT_ONCE = 1 << 19, 1 << 21
 #: Shingles whose bits are counted at once, so a very long text needs no more memory.
 BLOCK = 1 << 15
 #: near_copies: words of a shingle, and the fraction of common shingles from which texts are copies.
@@ -125,60 +128,67 @@ def simhash(texts: pd.Series) -> pd.Series:
     return pd.Series([fingerprint_of(t) for t in texts], dtype="int64")
 
 
+@lru_cache(maxsize=256)
 def masks(bits: int, flips: int) -> np.ndarray:
     """Every word of so many bits with at most so many ones."""
     return np.array([sum(1 << b for b in c) for n in range(flips + 1) for c in combinations(range(bits), n)], np.uint64)
 
 
-def _variants(radius: int, words: int):
-    """A mapInPandas function: (fp) to (key, fp), key being a ball member."""
-    bits = 64 // words
-    balls = masks(bits, (radius // words + 1) // 2)
+def _equal(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Owners of equal keys, each with the owner of the first of them."""
+    order = np.argsort(keys)
+    keys, owner = keys[order], owner[order]
+    new = np.r_[True, keys[1:] != keys[:-1]]
+    first = owner[np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))]
+    return owner[~new], first[~new]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            whole = batch["fp"].to_numpy(np.int64).view(np.uint64)
-            for part in np.array_split(whole, max(1, len(whole) * len(balls) // 500_000)):
-                for w in range(words):
-                    half = part if words == 1 else (part >> np.uint64(bits * w)) & np.uint64((1 << bits) - 1)
-                    keys = half[:, None] ^ balls[None, :]
-                    if words > 1:
-                        keys |= np.uint64(w << bits)
-                    yield pd.DataFrame({"key": keys.ravel().view(np.int64), "fp": np.repeat(part.view(np.int64), len(balls))})
-
-    return run
 
+def _variants_met(fp: np.ndarray, flips: np.ndarray, left: int, half: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of fingerprints with a variant in common, among variants of one class.
 
-def _spanning(members: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links that join the members within radius as all their pairs would, at most one per member."""
-    left = np.unique(members)
-    while len(left) > 1:
-        front, left = left[:1], left[1:]
-        while len(front) and len(left):
-            near = np.bitwise_count(left ^ front[0]) <= radius
-            found = left[near]
-            if len(found):
-                yield np.full(len(found), front[0]), found
-            front, left = np.concatenate([front[1:], found]), left[~near]
+    ``flips`` bits of a fingerprint are changed already to be in the class, and
+    its variants differ from it in the last ``left`` bits, half in all at most.
+    Too many variants are taken apart by four bits more.
+    """
+    balls = [masks(left, n) for n in range(half + 1)]
+    some = [np.flatnonzero(flips == n) for n in range(half + 1)]
+    total = sum(len(x) * len(balls[half - n]) for n, x in enumerate(some))
+    if total > AT_ONCE and left > 4:
+        top = (fp >> np.uint64(left - 4)) & np.uint64(15)
+        for value in range(16):
+            now = flips + np.bitwise_count(top ^ np.uint64(value))
+            at = np.flatnonzero(now <= half)
+            if len(at) > 1:
+                for a, b in _variants_met(fp[at], now[at], left - 4, half):
+                    yield at[a], at[b]
+        return
+    low = fp & np.uint64((1 << left) - 1)
+    keys = np.concatenate([(low[x][:, None] ^ balls[half - n][None, :]).ravel() for n, x in enumerate(some)])
+    yield _equal(keys, np.concatenate([np.repeat(x, len(balls[half - n])) for n, x in enumerate(some)]))
 
 
-def _collide(radius: int):
-    """A mapInPandas function over rows sorted by key: verified links (a, b).
+def _collide(radius: int, bits: int):
+    """A mapInPandas function over rows (class, fp) sorted by class: verified links (a, b).
 
-    A group is joined by a spanning forest of its verified links, never by all
-    its pairs. The last group of a batch waits for the next batch.
+    All fingerprints with one variant are within the radius of each other, so
+    each is linked with the first of them, never with all. The last class of a
+    batch waits for the next batch.
     """
-
-    def links(key: np.ndarray, fp: np.ndarray) -> pd.DataFrame:
-        edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
-        size = np.diff(edge)
-        two = edge[:-1][size == 2]
-        near = np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius
-        pairs = [(fp[two][near], fp[two + 1][near])]
-        for at, n in zip(edge[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            pairs += _spanning(fp[at : at + n], radius)
-        a, b = (np.concatenate(x).view(np.int64) for x in zip(*pairs, strict=True))
-        return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)}).drop_duplicates()
+    half = radius // 2
+
+    def links(key: np.ndarray, fp: np.ndarray) -> Iterator[pd.DataFrame]:
+        edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True]).tolist()
+        out = [np.zeros((0, 2), np.int64)]
+        for i, j in zip(edge, edge[1:]):
+            some = fp[i:j]
+            flips = np.bitwise_count((some >> np.uint64(64 - bits)) ^ np.uint64(key[i])).astype(np.int64)
+            for a, b in _variants_met(some, flips, 64 - bits, half):
+                pair = np.unique(np.maximum(a, b) * len(some) + np.minimum(a, b))
+                a, b = some[pair // len(some)], some[pair % len(some)]
+                near = (np.bitwise_count(a ^ b) <= radius) & (a != b)
+                out.append(np.column_stack([a[near].view(np.int64), b[near].view(np.int64)]))
+        a, b = np.concatenate(out).T
+        yield pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)}).drop_duplicates()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -187,21 +197,34 @@ def _collide(radius: int):
             fp = np.concatenate([fp, batch["fp"].to_numpy(np.int64).view(np.uint64)])
             cut = int(np.searchsorted(key, key[-1])) if len(key) else 0
             if cut:
-                yield links(key[:cut], fp[:cut])
+                yield from links(key[:cut], fp[:cut])
                 key, fp = key[cut:], fp[cut:]
         if len(key):
-            yield links(key, fp)
+            yield from links(key, fp)
 
     return run
 
 
-def ball_links(fingerprints: DataFrame, radius: int = RADIUS, words: int = 2) -> DataFrame:
-    """Verified links (a, b), a > b, that connect the distinct fingerprints (fp) within radius bits."""
-    variants = fingerprints.mapInPandas(_variants(radius, words), "key long, fp long")
-    return variants.repartition("key").sortWithinPartitions("key").mapInPandas(_collide(radius), "a long, b long").distinct()
+def class_bits(fingerprints: int, radius: int = RADIUS) -> int:
+    """First bits by which so many fingerprints are dealt into classes of about VARIANTS variants."""
+    return min(24, max(4, (fingerprints * len(masks(64, radius // 2)) // VARIANTS).bit_length()))
+
+
+def ball_links(fingerprints: DataFrame, radius: int = RADIUS, bits: int | None = None) -> DataFrame:
+    """Verified links (a, b), a > b, that connect the distinct fingerprints (fp) within radius bits, an even number.
+
+    ``bits`` is how many first bits of a variant name its class; it changes how
+    the work is dealt out and not what is found.
+    """
+    if radius % 2:
+        raise ValueError("balls meet in the middle of an even radius only")
+    bits = class_bits(fingerprints.count(), radius) if bits is None else bits
+    flips = F.explode(F.array(*[F.lit(int(m)).cast("long") for m in masks(bits, radius // 2)]))
+    rows = fingerprints.select("fp", flips.alias("flip")).select(F.shiftrightunsigned("fp", 64 - bits).bitwiseXOR(F.col("flip")).alias("key"), "fp")
+    return rows.repartition("key").sortWithinPartitions("key").mapInPandas(_collide(radius, bits), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, words: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """(id, fp, component_id) for every row of docs.
 
     component_id is the least id among all rows reachable over links of at most
@@ -216,7 +239,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prints = stash(docs.select(F.col(id_col).cast("long").alias("id"), simhash(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("fp")), "prints")
     distinct = stash(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    roots = components(ball_links(distinct.select("fp"), radius, words))
+    roots = components(ball_links(distinct.select("fp"), radius))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     names = stash(rooted.join(least, "root").select("fp", "component_id"), "components")
