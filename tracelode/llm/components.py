@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import forget, stash
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -40,7 +40,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now = stash(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     mark = _mark(now)
     for _ in range(rounds):
-        now = stash(_star(_star(now, True), False), "stars")
+        before, now = now, stash(_star(_star(now, True), False), "stars")
+        forget(before)
         was, mark = mark, _mark(now)
         if mark == was:
             nodes = now.select(F.col("a").alias("node"), F.col("b").alias("root"))

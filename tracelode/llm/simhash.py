@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, stash
+from .common import among, documents, forget, stash
 from .components import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -108,7 +108,8 @@ def _points(common: pd.DataFrame):
             first = found[np.argsort(np.where(known[at] == found, often[at], 0), kind="stable")]
         # A partner has -(-size * 4 // 5) of the shingles at least, so not all of so many are missing.
         first = first[: size + 1 - -(-size * SIMILAR[0] // SIMILAR[1])]
-        counts = np.bincount((found >> shift).astype(np.int64), minlength=BUCKETS).astype("<u4")
+        counts = np.bincount((found >> shift).astype(np.int64), minlength=BUCKETS)
+        counts = counts.astype("<u1" if counts.max() < 256 else "<u4")  # told apart by their length
         return xxhash.xxh64_intdigest(found.tobytes()) - (1 << 63), size, first.view(np.int64), counts.tobytes()
 
     @F.pandas_udf("fp long, size int, first array<long>, counts binary")
@@ -335,9 +336,9 @@ def _across(turn: int | None):
 @F.pandas_udf(T.BooleanType())
 def _enough(x: pd.Series, y: pd.Series) -> pd.Series:
     """Whether counts by bucket leave room for four fifths in common."""
-    x, y = (np.frombuffer(b"".join(c), "<u4").reshape(len(c), BUCKETS) for c in (x, y))
-    total = x.sum(axis=1, dtype=np.int64) + y.sum(axis=1, dtype=np.int64)
-    return pd.Series(np.minimum(x, y).sum(axis=1, dtype=np.int64) * (SIMILAR[0] + SIMILAR[1]) >= total * SIMILAR[0])
+    wide = lambda c: np.frombuffer(c, "<u1" if len(c) == BUCKETS else "<u4")
+    x, y = (np.array([wide(c) for c in side], np.int64).reshape(-1, BUCKETS) for side in (x, y))
+    return pd.Series(np.minimum(x, y).sum(axis=1) * (SIMILAR[0] + SIMILAR[1]) >= (x.sum(axis=1) + y.sum(axis=1)) * SIMILAR[0])
 
 
 def _possible(pairs: DataFrame, counts: DataFrame) -> DataFrame:
@@ -359,6 +360,45 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(common * (SIMILAR[0] + SIMILAR[1]) >= total * SIMILAR[0]).select("a", "b")
 
 
+def _roots(rows: DataFrame, ids: list[str]) -> DataFrame:
+    """(*ids, copy, root) for every row of (*ids, text): a digest of its text, and the component of its set of shingles."""
+    prints = stash(rows.select(*ids, F.xxhash64("text").alias("copy"), _points(_common(rows))("text").alias("point")).select(*ids, "copy", "point.*"), "prints")
+    # Copies first, so that a group of any size is one row of the join for texts.
+    distinct = stash(prints.groupBy("fp").agg(F.min(F.struct("copy", "size", "first", "counts")).alias("one")).select("fp", "one.*"), "distinct")
+    named = stash(prints.select(*ids, "copy", "fp"), "named")
+    forget(prints)
+    keyed = distinct.select("fp", "size", F.posexplode("first").alias("at", "key"))
+    met = stash(keyed.repartition("key").sortWithinPartitions("key", "fp").mapInPandas(_meet, "a long, b long, many boolean, key long, size int, at int"), "met")
+    many = met.where("many").select("key", F.col("a").alias("fp"), "size", "at")
+    sets: list[DataFrame] = []
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs that have four fifths in common; shingles are only read for texts of a pair."""
+        asked = stash(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "asked")
+        new = asked
+        for known in sets:
+            new = new.join(known.select("fp"), "fp", "left_anti")
+        new = stash(among(distinct.select("fp", "copy"), new, "fp"), "new")
+        texts = among(rows.withColumn("copy", F.xxhash64("text")), new.select("copy"), "copy").groupBy("copy").agg(F.min("text").alias("text"))
+        sets.append(stash(new.join(texts, "copy").select("fp", _shingles("text").alias("set")), "sets"))
+        held = sets[0]
+        for more in sets[1:]:
+            held = held.unionByName(more)
+        return stash(_alike(pairs, among(held, asked, "fp")), "alike")
+
+    pairs = stash(_possible(met.where("not many").select("a", "b"), distinct), "pairs")
+    roots = stash(components(alike(pairs)), "roots")
+    for turn in [*range(ROUNDS), None]:
+        now = many.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        apart = now.repartition("key").sortWithinPartitions("key", "fp").mapInPandas(_across(turn), "a long, b long")
+        pairs = stash(_possible(apart, distinct), "pairs")
+        if not pairs.isEmpty():
+            roots = stash(components(alike(pairs).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "roots")
+    found = stash(named.join(roots, named["fp"] == roots["node"], "left").select(*ids, "copy", F.coalesce("root", "fp").alias("root")), "found")
+    forget(distinct, met, named, *sets)
+    return found
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component_id) for every row of docs, linked at four fifths or more of common five-word shingles.
 
@@ -370,42 +410,32 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     empty tables are treated as near_duplicates treats them. Texts without
     words are copies of each other.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
-    prints = stash(rows.select("id", F.xxhash64("text").alias("copy"), _points(_common(rows))("text").alias("point")).select("id", "copy", "point.*"), "prints")
-    # Copies first, so that a group of any size is one row of the join for texts.
-    distinct = stash(prints.groupBy("fp").agg(F.min(F.struct("copy", "size", "first", "counts")).alias("one"), F.min("id").alias("least")).select("fp", "one.*", "least"), "distinct")
-    keyed = distinct.select("fp", "size", F.posexplode("first").alias("at", "key"))
-    met = stash(keyed.repartition("key").sortWithinPartitions("key", "fp").mapInPandas(_meet, "a long, b long, many boolean, key long, size int, at int"), "met")
-    many = met.where("many").select("key", F.col("a").alias("fp"), "size", "at")
-    pairs = stash(_possible(met.where("not many").select("a", "b"), distinct), "pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("fp")).unionByName(many.select("fp")).distinct().join(distinct.select("fp", "copy"), "fp")
-    texts = rows.withColumn("copy", F.xxhash64("text")).join(asked.select("copy"), "copy", "left_semi").groupBy("copy").agg(F.min("text").alias("text"))
-    sets = stash(asked.join(texts, "copy").select("fp", _shingles("text").alias("set")), "sets")
-    roots = stash(components(_alike(pairs, sets)), "roots")
-    for turn in [*range(ROUNDS), None]:
-        now = many.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-        apart = now.repartition("key").sortWithinPartitions("key", "fp").mapInPandas(_across(turn), "a long, b long")
-        pairs = stash(_possible(apart, distinct), "pairs")
-        if not pairs.isEmpty():
-            roots = stash(components(_alike(pairs, sets).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "roots")
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = stash(rooted.join(least, "root").select("fp", "component_id"), "components")
-    return prints.join(names, "fp").select(F.col("id").alias(id_col), "component_id")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    found = _roots(rows, ["id"])
+    least = found.groupBy("root").agg(F.min("id").alias("component_id"))
+    return found.join(least, "root").select(F.col("id").alias(id_col), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without near copies (see near_copies): of each component the row with the least id stays.
 
-    Columns and their order stay. Where ids repeat among the rows that stay,
-    one row of each such id does, so that every component keeps one row.
+    Columns and their order stay. A null id comes after all others, and among
+    equal ids the text with the least digest stays. Rows alike in id and text
+    are one row, whatever their other columns hold.
     """
-    found = stash(near_copies(docs, id_col, text_col), "found")
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).cast("long").alias("_kept_id"))
-    total, different = kept.agg(F.count("*"), F.countDistinct(F.struct("_kept_id"))).first()
-    out = docs.join(kept.distinct(), docs[id_col].cast("long").eqNullSafe(kept["_kept_id"]), "left_semi")
-    return out.dropDuplicates([id_col]) if total > different else out
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    found = _roots(docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")), ["id"])
+    row = F.struct(F.col("id").isNull().alias("last"), "id", "copy")
+    ranked = found.groupBy("root").agg(F.min(row).alias("stays"))
+    kept = stash(ranked.select("root", F.col("stays.id").alias("kept_id"), F.col("stays.copy").alias("kept_copy")), "kept")
+    goes = ~(F.col("id").eqNullSafe(F.col("kept_id")) & F.col("copy").eqNullSafe(F.col("kept_copy")))
+    gone = stash(found.join(kept, "root").where(goes).select(F.col("id").alias("_gone_id"), F.col("copy").alias("_gone_copy")).distinct(), "gone")
+    total, different = found.agg(F.count("*"), F.countDistinct(F.struct("id", "copy"))).first()
+    named = docs.withColumn("_copy_of_text", F.xxhash64(text))
+    if total > different:
+        named = named.dropDuplicates([id_col, "_copy_of_text"])
+    same = named[id_col].cast("long").eqNullSafe(gone["_gone_id"]) & (named["_copy_of_text"] == gone["_gone_copy"])
+    return among(named, gone, same, "left_anti").drop("_copy_of_text")
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
