@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -80,6 +81,15 @@ def test_decoder_is_as_good_as_trying_all_readings():
         assert reader.read(noisy) == best[1], noisy
 
 
+def test_long_stretches_and_texts_take_time_in_proportion():
+    reader = X.Restorer(np.log(np.full((X.SYMBOLS,) * 3, 1 / X.SYMBOLS)))
+    text = "1d10t" * 60_000 + " " + "m0r0n " * 60_000
+    began = time.perf_counter()
+    restored = reader.restore(text)
+    assert time.perf_counter() - began < 20
+    assert restored.count(" ") == 60_001 and len(reader.known) == 1
+
+
 def test_clean_text_stays():
     reader = X.Restorer(np.zeros((X.SYMBOLS,) * 3))
     for text in ("plain words, and 17 more!!", "", "3.14 (yes) 50% a b", "Éa Über"):

@@ -31,6 +31,8 @@ SAMPLE = 16_000
 FEATURES = 3_000
 STARTS = (4, 5, 6)
 THRESHOLD = 0.3
+#: Characters of a stretch whose reading is kept for the next time, at most.
+REMEMBERED = 64
 
 # What a sign may stand for.
 STANDS_FOR = {
@@ -54,6 +56,7 @@ _CLASS[[ord(c) for c in STANDS_FOR if ord(c) < 128]] = 2
 _CLASS[[ord(c) for c in ".-_*"]] = 3
 
 _BLANKS = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
+_BLANK = np.frombuffer(b" \n\t\r", np.uint8)
 _SPACED = re.compile(r"(?<!\S)(?:[^\W_][ .\-_*]){3,}[^\W_](?!\S)")
 _TOKEN = re.compile(r"\S+")
 
@@ -89,6 +92,15 @@ def _in_runs(noisy: str) -> list[bool]:
     return [len(m.group()) > 2 for m in re.finditer(r"(.)\1*", noisy, re.DOTALL) for _ in m.group()]
 
 
+def _spelled(word: tuple | None) -> str:
+    """The letters along the pointers back."""
+    letters = []
+    while word is not None:
+        word, letter = word
+        letters.append(letter)
+    return "".join(reversed(letters))
+
+
 class Restorer:
     """Reads noisy stretches as words."""
 
@@ -100,14 +112,15 @@ class Restorer:
         """The likeliest word behind a stretch of letters, stand-ins and separators.
 
         States are the last two symbols and the last letter; each keeps its
-        best reading. A sign may be skipped, a letter written three times or
-        more folded.
+        best reading as a letter and a pointer back, so time and memory are in
+        proportion to the stretch. A sign may be skipped, a letter written three
+        times or more folded.
         """
         if noisy in self.known:
             return self.known[noisy]
-        states: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, ""): (0.0, "")}
+        states: dict[tuple[int, int, str], tuple[float, tuple | None]] = {(0, 0, ""): (0.0, None)}
         for c, folds in zip(noisy, _in_runs(noisy), strict=True):
-            after: dict[tuple[int, int, str], tuple[float, str]] = {}
+            after: dict[tuple[int, int, str], tuple[float, tuple | None]] = {}
             choices = [(c, 0.0)] if c.isalpha() else [(x, _STAND) for x in STANDS_FOR.get(c, "")]
             for (a, b, last), (p, word) in states.items():
                 skip = p + (_NOISE if choices else _SKIP)
@@ -119,10 +132,12 @@ class Restorer:
                         after[a, b, last] = (p + cost + _FOLD, word)
                     q = p + cost + self.log_p[(a * SYMBOLS + b) * SYMBOLS + s]
                     if q > after.get((b, s, x), (-1e300,))[0]:
-                        after[b, s, x] = (q, word + x)
+                        after[b, s, x] = (q, (word, x))
             states = after
-        best = max((p + self.log_p[(a * SYMBOLS + b) * SYMBOLS], word) for (a, b, _), (p, word) in states.items())[1]
-        if len(self.known) < 100_000:
+        ends = [(p + self.log_p[(a * SYMBOLS + b) * SYMBOLS], word) for (a, b, _), (p, word) in states.items()]
+        top = max(p for p, _ in ends)
+        best = max(_spelled(word) for p, word in ends if p == top)
+        if len(noisy) <= REMEMBERED and len(self.known) < 100_000:
             self.known[noisy] = best
         return best
 
@@ -140,14 +155,15 @@ class Restorer:
         thrice = same[:-1] & same[1:] & letter[2:] & (raw[2:] < 128)
         if not (marks.any() or thrice.any()):
             return text
+        blanks = np.flatnonzero(np.isin(raw[2:-2], _BLANK))
         out, done = [], 0
         for at in np.unique(np.r_[np.flatnonzero(marks) - 1, np.flatnonzero(thrice) - 2]).tolist():
             at = max(0, at)
             if at < done:
                 continue
-            left = max(data.rfind(c, 0, at) for c in b" \n\t\r") + 1
-            ends = [e for c in b" \n\t\r" if (e := data.find(c, at)) >= 0]
-            right = min(ends, default=len(data))
+            next_ = int(np.searchsorted(blanks, at))
+            left = int(blanks[next_ - 1]) + 1 if next_ else 0
+            right = int(blanks[next_]) if next_ < len(blanks) else len(data)
             out += [data[done:left].decode(), self._token(data[left:right].decode())]
             done = right
         return "".join([*out, data[done:].decode()])
@@ -251,7 +267,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     At most ``sample`` labelled rows, taken by the order of a hash of their id,
     are learnt from; held-out rows never. Null ids or labels don't take part,
-    of several labels of an id the greatest counts. Without labels of both
+    of several labels of an id the greatest counts, of several texts the least.
+    Without labels of both
     kinds every text gets the share of label 1 among them as its score.
     """
     log_p = language_model(docs, text_col)
@@ -259,7 +276,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = learnt.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     # The sample has a fixed bound, so it may be broadcast at any size of the corpus.
-    drawn = texts.join(F.broadcast(chosen), "_id").dropDuplicates(["_id"]).select("text", "toxic")
+    drawn = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
     total, toxic = drawn.agg(F.count("*"), F.sum("toxic")).first()
     if not total or toxic in (0, total):
         share = (toxic or 0) / total if total else 0.0
@@ -293,8 +310,8 @@ def scored(model: Model, text: Column) -> Column:
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, score, predicted) for every row of docs, repeated ones too.
 
-    Null and empty texts get the score of a text without any known word. An
-    empty table gives an empty result; other columns are not looked at.
+    Null and empty texts get the score of a text without any known word; a text
+    of any length is read to its end. An empty table gives an empty result; other columns are not looked at.
     """
     model = train(docs, labels, id_col, text_col)
     rows = docs.select(F.col(id_col), held_out(id_col).alias("held_out"), scored(model, F.col(text_col)).alias("score"))
