@@ -339,30 +339,35 @@ def field_spans(texts: list[str], field: Field | None = None) -> list[list[tuple
 _NUMBER = re.compile(r"[0-9]")
 
 
-def all_spans(texts: list[str]) -> list[list[tuple[str, int, int]]]:
+def all_spans(texts: list[str], field: Field | None = None) -> list[list[tuple[str, int, int]]]:
     """Base spans, then added ones that touch none of them; by kind and then by start."""
     some = [k for k, t in enumerate(texts) if _ANY.search(t)]
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    for k, added in zip(some, field_spans([texts[k] for k in some]), strict=True):
+    for k, added in zip(some, field_spans([texts[k] for k in some], field), strict=True):
         base = base_spans(texts[k])
         free = [s for s in added if all(s[2] <= a or b <= s[1] for _, a, b in base)]
         out[k] = base + sorted(free, key=lambda s: (list(ADDED.values()).index(s[0]), s[1]))
     return out
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def personal_spans(texts: pd.Series) -> pd.Series:
-    """kind:start:end of everything found, by kind as listed and then by start."""
-    return pd.Series([[f"{k}:{a}:{b}" for k, a, b in found] for found in all_spans(texts.tolist())])
+def personal_spans(field: Field):
+    """A function of a text column: kind:start:end of everything found, by kind as listed and then by start."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def spans(texts: pd.Series) -> pd.Series:
+        return pd.Series([[f"{k}:{a}:{b}" for k, a, b in found] for found in all_spans(texts.tolist(), field)])
+
+    return spans
 
 
 def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, spans) for every row: spans lists kind:start:end in code points.
 
-    A null text is read as an empty one and has no spans. Rows aren't joined or
+    A null text is read as an empty one and has no spans. The field is trained
+    once, on the driver, and its weights go to the tasks. Rows aren't joined or
     grouped, so null and repeated ids and extra columns don't matter.
     """
-    return docs.select(id_col, personal_spans(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("spans"))
+    return docs.select(id_col, personal_spans(trained())(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("spans"))
 
 
 def _of(kinds: tuple[str, ...]) -> Column:
