@@ -70,6 +70,12 @@ def test_against_comparing_all(spark, most):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+def test_short_items_are_found_as_whole_words(spark):
+    items = spark.createDataFrame([(1, "The  cat"), (2, "?"), (3, "x")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "so the cat sat"), (2, "bathe cats"), (3, "the\ncat"), (4, "why?"), (5, "xx"), (6, "an x")], "doc_id long, text string")
+    assert sorted(map(tuple, D.leaks(docs, items).collect())) == [(1, 1, 0, 10), (3, 1, 0, 7), (4, 2, 0, 4), (6, 3, 0, 4)]
+
+
 def test_drop_leaking_and_empty_tables(spark):
     items = spark.createDataFrame([(1, "a passage that is long enough to count here")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "x A passage that is  long enough to count here y", "s"), (2, None, "s"), (3, "clean", "s")], "doc_id long, text string, source string")
