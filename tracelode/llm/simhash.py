@@ -22,7 +22,7 @@ have in common, and what is left is verified by exact counts.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -48,8 +48,8 @@ SAMPLED, COMMON, MOST_COMMON = 16, 3, 200_000
 BUCKETS = 128
 #: Up to so many texts with a shingle are compared pair by pair at once; beyond, with one of them first, and then where groups are still apart.
 FEW = 16
-#: Times that a larger group is compared with one more of its texts before all pairs still apart are.
-ROUNDS = 1
+#: A larger group is compared so many times with so many of its texts, those with the most links so far, before all pairs still apart are.
+ROUNDS, HUBS = 2, 2
 #: Pairs given on at once.
 CHUNK = 200_000
 
@@ -273,10 +273,12 @@ def _pairs(x: np.ndarray, y: np.ndarray) -> pd.DataFrame:
 
 
 def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (key, fp, size, at) sorted by key and fp to pairs (a, b), a > b, that may be alike.
+    """Rows (key, fp, size, at) sorted by key, at and fp to pairs (a, b), a > b, that may be alike.
 
     Of a key with more than FEW rows the pairs with its first row, and its rows
-    themselves as well, with many set and fp in a.
+    themselves as well, with many set and fp in a. The first row has the fewest
+    shingles that are rarer than the key, so in a family of copies it is one of
+    those with the fewest words of its own, and near to the most others.
     """
     for some in _whole_keys(batches):
         key, fp, size, at = (some[c].to_numpy(np.int64) for c in ("key", "fp", "size", "at"))
@@ -296,17 +298,18 @@ def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _across(turn: int | None):
-    """A mapInPandas function: (key, fp, size, at, root) sorted by key to pairs (a, b), a > b, of different roots that may be alike.
+    """A mapInPandas function: (key, fp, size, at, root, degree) sorted by key to pairs (a, b), a > b, of different roots that may be alike.
 
-    Of each key those with one row, another each turn; without a turn all.
+    Of each key those with the HUBS rows that have the most links, the next ones
+    each turn; without a turn all. A text that many are near to is found to be
+    one, and settles its group in a turn.
     """
-    seed = np.uint64(0x9E3779B97F4A7C15 + 2 * (turn or 0))
 
-    def found(fp: np.ndarray, size: np.ndarray, at: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def found(fp: np.ndarray, size: np.ndarray, at: np.ndarray, root: np.ndarray, degree: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         roots, which, n = np.unique(root, return_inverse=True, return_counts=True)
         if len(roots) < 2:
             return
-        hubs = [int(np.argmin(fp.view(np.uint64) * seed))] if turn is not None else np.flatnonzero(which != n.argmax()).tolist()
+        hubs = np.lexsort((fp, at, -degree))[turn * HUBS : (turn + 1) * HUBS].tolist() if turn is not None else np.flatnonzero(which != n.argmax()).tolist()
         open_ = np.ones(len(fp), bool)
         for hub in hubs:
             open_[hub] = False
@@ -317,7 +320,7 @@ def _across(turn: int | None):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for some in _whole_keys(batches):
-            key, *rest = (some[c].to_numpy(np.int64) for c in ("key", "fp", "size", "at", "root"))
+            key, *rest = (some[c].to_numpy(np.int64) for c in ("key", "fp", "size", "at", "root", "degree"))
             edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True]).tolist()
             held, count = [], 0
             for i, j in zip(edge, edge[1:]):
@@ -368,9 +371,10 @@ def _roots(rows: DataFrame, ids: list[str]) -> DataFrame:
     named = stash(prints.select(*ids, "copy", "fp"), "named")
     forget(prints)
     keyed = distinct.select("fp", "size", F.posexplode("first").alias("at", "key"))
-    met = stash(keyed.repartition("key").sortWithinPartitions("key", "fp").mapInPandas(_meet, "a long, b long, many boolean, key long, size int, at int"), "met")
+    met = stash(keyed.repartition("key").sortWithinPartitions("key", "at", "fp").mapInPandas(_meet, "a long, b long, many boolean, key long, size int, at int"), "met")
     many = met.where("many").select("key", F.col("a").alias("fp"), "size", "at")
     sets: list[DataFrame] = []
+    links: list[DataFrame] = []
 
     def alike(pairs: DataFrame) -> DataFrame:
         """Those of the pairs that have four fifths in common; shingles are only read for texts of a pair."""
@@ -381,15 +385,16 @@ def _roots(rows: DataFrame, ids: list[str]) -> DataFrame:
         new = stash(among(distinct.select("fp", "copy"), new, "fp"), "new")
         texts = among(rows.withColumn("copy", F.xxhash64("text")), new.select("copy"), "copy").groupBy("copy").agg(F.min("text").alias("text"))
         sets.append(stash(new.join(texts, "copy").select("fp", _shingles("text").alias("set")), "sets"))
-        held = sets[0]
-        for more in sets[1:]:
-            held = held.unionByName(more)
-        return stash(_alike(pairs, among(held, asked, "fp")), "alike")
+        held = reduce(DataFrame.unionByName, sets)
+        links.append(stash(_alike(pairs, among(held, asked, "fp")), "alike"))
+        return links[-1]
 
     pairs = stash(_possible(met.where("not many").select("a", "b"), distinct), "pairs")
     roots = stash(components(alike(pairs)), "roots")
     for turn in [*range(ROUNDS), None]:
-        now = many.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        ends = reduce(DataFrame.unionByName, links).select(F.explode(F.array("a", "b")).alias("fp"))
+        known = roots.withColumnRenamed("node", "fp").join(ends.groupBy("fp").agg(F.count("*").alias("degree")), "fp", "full")
+        now = many.join(known, "fp", "left").withColumn("root", F.coalesce("root", "fp")).fillna(0, ["degree"])
         apart = now.repartition("key").sortWithinPartitions("key", "fp").mapInPandas(_across(turn), "a long, b long")
         pairs = stash(_possible(apart, distinct), "pairs")
         if not pairs.isEmpty():
@@ -405,7 +410,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     No link is lost, whatever the length of a text, and each stands by the exact
     share of common shingles. Texts with equal sets of shingles are one point.
     Where many texts have a shingle they are compared with one of them first,
-    then with another, then in all pairs that are still in different
+    then with those that have the most links, then in all pairs that are still in different
     components. component_id is the least id reachable; nulls, repeats and
     empty tables are treated as near_duplicates treats them. Texts without
     words are copies of each other.
