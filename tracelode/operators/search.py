@@ -53,6 +53,20 @@ def content_search(rows: DataFrame, query: str, per_session: int = PER_SESSION,
     return top.join(F.broadcast(kept), "session", "left_semi").withColumn("snippet", snippet(F.col("text"), query)).drop("text")
 
 
+def match_ranges(text: Column, query: str) -> Column:
+    """(start, length) of each hit of a query, left to right without overlap, from 0; case of A-Z ignored.
+
+    An empty query has no hits, a null text a null list.
+    """
+    n = len(query)
+    if not n:
+        return F.when(text.isNotNull(), F.array().cast("array<struct<start:int,length:int>>"))
+    gaps = F.transform(F.split(ascii_lower(text), "\\Q" + ascii_fold(query) + "\\E", -1), lambda part: F.length(part))
+    # A hit starts after all gaps before it and as many hits.
+    ends = F.aggregate(F.slice(gaps, F.lit(1), F.size(gaps) - 1), F.array().cast("array<int>"), lambda acc, gap: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)) + n, F.lit(0)) + gap)))
+    return F.when(text.isNotNull(), F.transform(ends, lambda at: F.struct(at.alias("start"), F.lit(n).alias("length"))))
+
+
 def occurrences(text: Column, query: str) -> Column:
     """How often a query occurs without overlap, case of A-Z ignored."""
     folded = ascii_lower(text)
@@ -88,17 +102,29 @@ def newest_hits(rows: DataFrame, limit: int) -> DataFrame:
     return rows.orderBy(F.desc(F.coalesce("updated_at", "created_at", F.lit(0))), "id").limit(limit)
 
 
-def trigram_postings(rows: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(gram, id) of every text's different trigrams, for a table bucketed by gram."""
-    text = ascii_lower(F.col(text_col))
-    grams = F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substr(text, i, F.lit(3)))
-    return rows.where(F.length(text_col) >= 3).select(F.explode(F.array_distinct(grams)).alias("gram"), id_col)
+def grams_of(query: str) -> list[str]:
+    """The different trigrams of a query, A-Z in lower case."""
+    folded = ascii_fold(query)
+    return sorted({folded[i : i + 3] for i in range(len(folded) - 2)})
+
+
+def trigram_postings(rows: DataFrame, id_col: str = "id", text_col: str = "text", only: list[str] | None = None) -> DataFrame:
+    """(gram, id) of every text's different trigrams, for a table bucketed by gram.
+
+    ``only`` names the grams that are asked for; others are left out before any
+    row is made of them. Texts under three characters have none.
+    """
+    folded = rows.select(F.col(id_col), ascii_lower(F.col(text_col)).alias("_folded")).where(F.length("_folded") >= 3)
+    # A look-ahead steps from character to character, so a text is read once.
+    grams = folded.select(id_col, F.array_distinct(F.regexp_extract_all("_folded", F.lit("(?s)(?=(.{3}))"), 1)).alias("_grams"))
+    if only is not None:
+        grams = grams.select(id_col, F.array_intersect("_grams", F.array(*[F.lit(g) for g in only])).alias("_grams"))
+    return grams.select(F.explode("_grams").alias("gram"), id_col)
 
 
 def trigram_search(postings: DataFrame, rows: DataFrame, query: str, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """Rows that hold a query of three characters or more: candidates from postings, then checked."""
-    folded = query.lower() if query.isascii() else query
-    grams = sorted({ascii_fold(folded)[i : i + 3] for i in range(len(folded) - 2)})
+    grams = grams_of(query)
     candidates = postings.where(F.col("gram").isin(grams)).groupBy(id_col).agg(F.count("*").alias("n")).where(F.col("n") == len(grams)).select(id_col)
     return rows.join(candidates, id_col, "left_semi").where(find(F.col(text_col), query) > 0)
 
@@ -123,5 +149,32 @@ def next_hits(rows: DataFrame, hit: Column) -> DataFrame:
 
 
 def highlighted(text: Column, query: str) -> Column:
-    """A text's parts around the hits of an ASCII query; hits stand between them."""
-    return F.split(ascii_lower(text), "(?-i)\\Q" + query.lower() + "\\E")
+    """A text's parts in turn, (part, hit): the letters as they are, hits of the query in any case of A-Z marked.
+
+    Parts joined are the text again. An empty query, or one without a hit,
+    gives the whole text as one part; a null text a null list.
+    """
+    whole = F.array(F.struct(text.alias("part"), F.lit(False).alias("hit")))
+    if not query:
+        return F.when(text.isNotNull(), whole)
+    ranges = match_ranges(text, query)
+    n = len(query)
+    cut = lambda start, length, hit: F.struct(F.substr(text, start + 1, length).alias("part"), F.lit(hit).alias("hit"))
+    pieces = F.flatten(
+        F.transform(
+            ranges,
+            lambda r, i: F.array(
+                cut(F.when(i > 0, F.try_element_at(ranges, i)["start"] + n).otherwise(F.lit(0)), r["start"] - F.when(i > 0, F.try_element_at(ranges, i)["start"] + n).otherwise(F.lit(0)), False),
+                cut(r["start"], F.lit(n), True),
+            ),
+        )
+    )
+    done = F.element_at(ranges, F.lit(-1))["start"] + n
+    parts = F.filter(F.concat(pieces, F.array(cut(done, F.length(text) - done, False))), lambda x: x["part"] != "")
+    return F.when(F.size(ranges) > 0, parts).when(text.isNotNull(), whole)
+
+
+def eligible_indices(rows: DataFrame, kinds: list[str]) -> DataFrame:
+    """The rows that a search may look at, numbered from 0 in each session: kinds that are shown, with some text."""
+    kept = rows.where(F.col("kind").isin(kinds) & (F.trim("text") != ""))
+    return kept.withColumn("nth", F.row_number().over(W.partitionBy("session").orderBy("idx")) - 1)

@@ -135,7 +135,8 @@ ORACLES = {
     "thread_source": "select event_id, cast(user_id as varchar) as parent, event_id % 4 as depth, '/' || event_type as agent_path from events where event_id % 3 <> 0 and event_id % 4 >= 1 and event_id % 5 <> 0",
     "embedded_request": f"with {TRANSCRIPT} select session, idx, role || ' asks' || chr(10) || 'more' as request from transcript",
     "provenance": "select o_orderpriority as provider, o_orderkey as id, case when o_orderkey % 3 = 0 then 'imported' end as conversion_origin from orders",
-    "counter_fold": """with c as (select user_id, event_id, event_id % 50 as step, lag(event_id % 50) over (partition by user_id order by event_id) as was from events where user_id < 40 and event_id % 5 <> 0),
+    "counter_fold": """with d as (select user_id, event_id from events where event_id % 5 <> 0 qualify row_number() over (partition by user_id, date_trunc('second', ts), event_id % 50 order by event_id) = 1),
+      c as (select user_id, event_id, event_id % 50 as step, lag(event_id % 50) over (partition by user_id order by event_id) as was from d),
       s as (select user_id, case when was is null or step < was then step else step - was end as more from c)
       select cast(user_id as varchar) as path, cast(sum(more) as bigint) as input, cast(sum(more) * 2 as bigint) as output from s group by 1 having sum(more) > 0""",
     "revision_fold": """with r as (select user_id, ts, event_id, cast(json_extract(props, '$.k') as bigint) as k, event_type || (event_id % 3) as message from events),

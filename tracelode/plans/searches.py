@@ -40,11 +40,13 @@ QUERIES = {
     "registry_search_marks": _registry("ent ete"),
     "registry_search_literal": _registry("the, a"),
     "search_newest": lambda spark, d: L.newest_hits(sessions(spark, d).where(F.contains("title", F.lit("00001"))), 25).select("id"),
-    "trigram_search": lambda spark, d: L.trigram_search(L.trigram_postings(_docs(spark, d), "idx"), _docs(spark, d), "inthe", "idx").select("idx"),
+    "trigram_search": lambda spark, d: L.trigram_search(L.trigram_postings(_docs(spark, d), "idx", only=L.grams_of("inthe")), _docs(spark, d), "inthe", "idx").select("idx"),
     "match_occurrences": lambda spark, d: _docs(spark, d).select("idx", L.occurrences(F.col("text"), "thth").alias("n")),
     "session_text_filter": lambda spark, d: L.session_filter(transcript(spark, d), "der", "role", "text").select("session", "idx"),
     "nearest_hits": lambda spark, d: L.next_hits(transcript(spark, d), F.contains(F.lower("text"), F.lit("que"))).select("session", "idx", "next_hit", "previous_hit"),
-    "highlight_parts": lambda spark, d: transcript(spark, d).select("session", "idx", F.size(L.highlighted(F.col("text"), "en")).cast("long").alias("parts")),
+    "match_ranges": lambda spark, d: transcript(spark, d).select("session", "idx", F.explode(L.match_ranges(F.col("text"), "En")).alias("r")).select("session", "idx", F.col("r.start").cast("long").alias("start"), F.col("r.length").cast("long").alias("length")),
+    "eligible_indices": lambda spark, d: L.eligible_indices(transcript(spark, d).withColumnRenamed("role", "kind"), ["user", "assistant"]).select("session", "idx", F.col("nth").cast("long").alias("nth")),
+    "highlight_parts": lambda spark, d: transcript(spark, d).select("session", "idx", F.posexplode(L.highlighted(F.col("text"), "En")).alias("place", "p")).select("session", "idx", F.col("place").cast("long").alias("place"), "p.part", "p.hit"),
 }
 
 _WORDS = "' ' || regexp_replace(translate(lower({c}), '" + L.MARKED + "', '" + L.PLAIN + "'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')"
@@ -71,5 +73,14 @@ ORACLES = {
     "nearest_hits": f"""with {TRANSCRIPT}, h as (select session, idx, case when contains(lower(text), 'que') then idx end as hit from transcript)
       select session, idx, coalesce(min(hit) over (partition by session order by idx rows between 1 following and unbounded following), min(hit) over (partition by session)) as next_hit,
         coalesce(max(hit) over (partition by session order by idx rows between unbounded preceding and 1 preceding), max(hit) over (partition by session)) as previous_hit from h""",
-    "highlight_parts": f"with {TRANSCRIPT} select session, idx, len(string_split(translate(text, '{_UP}', '{_LOW}'), 'en')) as parts from transcript",
+    "match_ranges": f"""with {TRANSCRIPT}, s as (select session, idx, unnest(string_split(translate(text, '{_UP}', '{_LOW}'), 'en')) as part, generate_subscripts(string_split(translate(text, '{_UP}', '{_LOW}'), 'en'), 1) as n from transcript),
+      r as (select session, idx, n, max(n) over (partition by session, idx) as parts, sum(length(part)) over (partition by session, idx order by n) + 2 * (n - 1) as start from s)
+      select session, idx, cast(start as bigint) as start, 2::bigint as length from r where n < parts""",
+    "eligible_indices": f"with {TRANSCRIPT} select session, idx, row_number() over (partition by session order by idx) - 1 as nth from transcript where role in ('user', 'assistant') and trim(text) <> ''",
+    "highlight_parts": f"""with {TRANSCRIPT}, c as (select session, idx, text, string_split(translate(text, '{_UP}', '{_LOW}'), 'en') as gaps from transcript),
+      g as (select session, idx, text, unnest(gaps) as gap, generate_subscripts(gaps, 1) as n, len(gaps) as parts from c),
+      p as (select *, cast(sum(length(gap)) over (partition by session, idx order by n) - length(gap) + 2 * (n - 1) as bigint) as here from g),
+      u as (select session, idx, n * 2 as o, substr(text, here + 1, length(gap)) as part, false as hit from p where length(gap) > 0 or parts = 1
+        union all select session, idx, n * 2 + 1, substr(text, here + length(gap) + 1, 2), true from p where n < parts)
+      select session, idx, row_number() over (partition by session, idx order by o) - 1 as place, part, hit from u""",
 }

@@ -74,7 +74,7 @@ ORACLES = {
     "last_writer_wins": f"{_E} select session, arg_max(text, idx) as text from e group by 1",
     "first_last_by_kind": f"{_T} select session, idx, role from transcript qualify row_number() over (partition by session, role order by idx) <= 1 or row_number() over (partition by session, role order by idx desc) <= 3",
     "chunk_coalesce": f"{_E}, r as (select *, sum(new) over (partition by session order by idx) as run from ({_NEW})) select session, min(idx) as first, count(*) as chunks, any_value(role) as role, string_agg(text, '' order by idx) as text from r group by session, run",
-    "prefix_compare": f"""{_T}, t as (select session // 2 as pair, session % 2 as side, idx as line, role from transcript where idx < 9),
+    "prefix_compare": f"""{_T}, t as (select session // 2 as pair, session % 2 as side, idx as line, role from transcript),
       j as (select coalesce(a.pair, b.pair) as pair, coalesce(a.line, b.line) as line, a.role as active, b.role as branch from (select * from t where side = 0) a full join (select * from t where side = 1) b on a.pair = b.pair and a.line = b.line),
       g as (select pair, min(case when active is distinct from branch then line end) as diff, count(active) as na, count(branch) as nb from j where line > 0 group by 1),
       c as (select *, coalesce(diff - 1, greatest(na, nb)) as common from g)
