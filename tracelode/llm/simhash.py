@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import among, documents, forget, stash
+from .common import among, batches_of, documents, forget, stash
 from .components import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -52,6 +52,8 @@ FEW = 16
 ROUNDS, HUBS = 2, 2
 #: Pairs given on at once.
 CHUNK = 200_000
+#: Texts in a batch where shingles are made of them.
+TEXTS = 500
 
 
 def shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
@@ -249,18 +251,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _whole_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows sorted by key in frames that end where a key does."""
-    held = None
+    held: list[pd.DataFrame] = []
     for batch in batches:
         if not len(batch):
             continue
-        held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-        key = held["key"].to_numpy(np.int64)
-        cut = int(np.searchsorted(key, key[-1]))
-        if cut:
-            yield held.iloc[:cut]
-            held = held.iloc[cut:]
-    if held is not None:
-        yield held
+        key = batch["key"].to_numpy(np.int64)
+        if held and held[0]["key"].iat[0] != key[-1]:
+            some = pd.concat([*held, batch], ignore_index=True)
+            cut = int(np.searchsorted(some["key"].to_numpy(np.int64), key[-1]))
+            yield some.iloc[:cut]
+            held = [some.iloc[cut:]]
+        elif not held and (cut := int(np.searchsorted(key, key[-1]))):
+            yield batch.iloc[:cut]
+            held = [batch.iloc[cut:]]
+        else:
+            held.append(batch)
+    if held:
+        yield pd.concat(held, ignore_index=True)
 
 
 def _may(size: np.ndarray, at: np.ndarray, size2: np.ndarray, at2: np.ndarray) -> np.ndarray:
@@ -340,7 +347,7 @@ def _across(turn: int | None):
 def _enough(x: pd.Series, y: pd.Series) -> pd.Series:
     """Whether counts by bucket leave room for four fifths in common."""
     wide = lambda c: np.frombuffer(c, "<u1" if len(c) == BUCKETS else "<u4")
-    x, y = (np.array([wide(c) for c in side], np.int64).reshape(-1, BUCKETS) for side in (x, y))
+    x, y = (np.array([wide(c) for c in side], np.int32).reshape(-1, BUCKETS) for side in (x, y))
     return pd.Series(np.minimum(x, y).sum(axis=1) * (SIMILAR[0] + SIMILAR[1]) >= (x.sum(axis=1) + y.sum(axis=1)) * SIMILAR[0])
 
 
@@ -365,7 +372,9 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _roots(rows: DataFrame, ids: list[str]) -> DataFrame:
     """(*ids, copy, root) for every row of (*ids, text): a digest of its text, and the component of its set of shingles."""
-    prints = stash(rows.select(*ids, F.xxhash64("text").alias("copy"), _points(_common(rows))("text").alias("point")).select(*ids, "copy", "point.*"), "prints")
+    spark = rows.sparkSession
+    with batches_of(spark, TEXTS):
+        prints = stash(rows.select(*ids, F.xxhash64("text").alias("copy"), _points(_common(rows))("text").alias("point")).select(*ids, "copy", "point.*"), "prints")
     # Copies first, so that a group of any size is one row of the join for texts.
     distinct = stash(prints.groupBy("fp").agg(F.min(F.struct("copy", "size", "first", "counts")).alias("one")).select("fp", "one.*"), "distinct")
     named = stash(prints.select(*ids, "copy", "fp"), "named")
@@ -384,7 +393,8 @@ def _roots(rows: DataFrame, ids: list[str]) -> DataFrame:
             new = new.join(known.select("fp"), "fp", "left_anti")
         new = stash(among(distinct.select("fp", "copy"), new, "fp"), "new")
         texts = among(rows.withColumn("copy", F.xxhash64("text")), new.select("copy"), "copy").groupBy("copy").agg(F.min("text").alias("text"))
-        sets.append(stash(new.join(texts, "copy").select("fp", _shingles("text").alias("set")), "sets"))
+        with batches_of(spark, TEXTS):
+            sets.append(stash(new.join(texts, "copy").select("fp", _shingles("text").alias("set")), "sets"))
         held = reduce(DataFrame.unionByName, sets)
         links.append(stash(_alike(pairs, among(held, asked, "fp")), "alike"))
         return links[-1]
