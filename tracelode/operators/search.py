@@ -111,15 +111,15 @@ def grams_of(query: str) -> list[str]:
 def trigram_postings(rows: DataFrame, id_col: str = "id", text_col: str = "text", only: list[str] | None = None) -> DataFrame:
     """(gram, id) of every text's different trigrams, for a table bucketed by gram.
 
-    ``only`` names the grams that are asked for; others are left out before any
-    row is made of them. Texts under three characters have none.
+    ``only`` names the grams that are asked for: each text is looked through for
+    those and no row is made of others. Texts under three characters have none.
     """
     folded = rows.select(F.col(id_col), ascii_lower(F.col(text_col)).alias("_folded")).where(F.length("_folded") >= 3)
-    # A look-ahead steps from character to character, so a text is read once.
-    grams = folded.select(id_col, F.array_distinct(F.regexp_extract_all("_folded", F.lit("(?s)(?=(.{3}))"), 1)).alias("_grams"))
     if only is not None:
-        grams = grams.select(id_col, F.array_intersect("_grams", F.array(*[F.lit(g) for g in only])).alias("_grams"))
-    return grams.select(F.explode("_grams").alias("gram"), id_col)
+        grams = F.filter(F.array(*[F.lit(g) for g in only]), lambda g: F.contains(F.col("_folded"), g))
+        return folded.select(F.explode(grams).alias("gram"), id_col)
+    # A look-ahead steps from character to character, so a text is read once.
+    return folded.select(F.explode(F.regexp_extract_all("_folded", F.lit("(?s)(?=(.{3}))"), 1)).alias("gram"), id_col).distinct()
 
 
 def trigram_search(postings: DataFrame, rows: DataFrame, query: str, id_col: str = "id", text_col: str = "text") -> DataFrame:

@@ -73,14 +73,22 @@ def in_dates(usage: DataFrame, start: str | None, end: str | None) -> DataFrame:
 def priced(rows: DataFrame, prices: DataFrame) -> DataFrame:
     """Rows with micro (known cost in millionths), unknown (fields without a rate) and invalid.
 
-    The price book joins by model; Spark broadcasts it by its own measure of
-    its size. Fields of no tokens need no rate. Invalid rows cost nothing and
-    every field of theirs is unknown.
+    The price book joins by provider and model; Spark broadcasts it by its own
+    measure of its size. Fields of no tokens need no rate. A field whose cost,
+    or the cost up to it, is beyond exact numbers is unknown. Invalid rows cost
+    nothing and every field of theirs is unknown.
     """
-    joined = rows.join(prices, "model", "left").withColumn("invalid", invalid())
-    cost = sum((F.when(_rated(f), billed(f) * F.col(RATES[f])).otherwise(0.0) for f in BILLED), F.lit(0.0))
-    missing = sum((F.when((billed(f) > 0) & ~_rated(f), 1).otherwise(0) for f in BILLED), F.lit(0))
-    return joined.withColumn("micro", F.when(F.col("invalid"), 0.0).otherwise(cost)).withColumn("unknown", F.when(F.col("invalid"), len(BILLED)).otherwise(missing)).drop(*RATES.values())
+    joined = rows.join(prices, ["provider", "model"], "left").withColumn("invalid", invalid())
+    values = F.array(*[F.when(billed(f) <= 0, 0.0).when(_rated(f), billed(f) * F.col(RATES[f])) for f in BILLED])
+    most = F.lit(SAFE * 1e6)
+    start = F.struct(F.lit(0.0).alias("known"), F.lit(0).alias("unknown"))
+
+    def add(acc: Column, value: Column) -> Column:
+        fits = value.isNotNull() & (acc["known"] + value <= most)
+        return F.struct(F.when(fits, acc["known"] + value).otherwise(acc["known"]).alias("known"), F.when(fits, acc["unknown"]).otherwise(acc["unknown"] + 1).alias("unknown"))
+
+    joined = joined.withColumn("_cost", F.aggregate(values, start, add))
+    return joined.withColumn("micro", F.when(F.col("invalid"), 0.0).otherwise(F.col("_cost.known"))).withColumn("unknown", F.when(F.col("invalid"), len(BILLED)).otherwise(F.col("_cost.unknown"))).drop("_cost", *RATES.values())
 
 
 def summarise(rows: DataFrame, prices: DataFrame, *by: str) -> DataFrame:
@@ -103,8 +111,17 @@ def summarise(rows: DataFrame, prices: DataFrame, *by: str) -> DataFrame:
     return out.select(*by, "sessions", *[F.coalesce(F.when(F.col(t) <= SAFE, F.col(t)).cast("long"), F.lit(0)).alias(t) for t in TOKENS], F.coalesce("known", F.lit(0.0)).alias("known"), F.coalesce("unknown_models", F.lit(0)).alias("unknown_models"), "overflow")
 
 
-def usage_summary(usage: DataFrame, prices: DataFrame) -> DataFrame:
-    return summarise(merged(usage, "provider", "session", "model"), prices)
+def quality(usage: DataFrame, listed: DataFrame) -> DataFrame:
+    """One row: of the listed sessions (provider, session, warned) how many have no usage and how many warnings."""
+    seen = usage.select("provider", "session").distinct().withColumn("seen", F.lit(True))
+    one = listed.groupBy("provider", "session").agg(F.max("warned").alias("warned")).join(seen, ["provider", "session"], "left")
+    return one.agg(F.count_if(F.col("seen").isNull()).alias("missing_sessions"), F.count_if("warned").alias("warned_sessions"))
+
+
+def usage_summary(usage: DataFrame, prices: DataFrame, listed: DataFrame | None = None) -> DataFrame:
+    """Summary over all; with a list of all sessions also how many lack usage or have warnings."""
+    out = summarise(merged(usage, "provider", "session", "model"), prices)
+    return out if listed is None else out.join(quality(usage, listed))  # a row each
 
 
 def usage_by(usage: DataFrame, prices: DataFrame, key: str) -> DataFrame:
@@ -120,12 +137,14 @@ def daily_trend(usage: DataFrame, prices: DataFrame) -> DataFrame:
     return out.select("date", "sessions", total_tokens().alias("tokens"), "known", "unknown_models", (F.col("overflow") | (F.col("unknown_models") > 0)).alias("incomplete"))
 
 
-def period_comparison(usage: DataFrame, prices: DataFrame, today: str, days: int) -> DataFrame:
+def period_comparison(usage: DataFrame, prices: DataFrame, today: str, days: int, listed: DataFrame | None = None, complete: bool = True) -> DataFrame:
     """The last so many days up to and with today against as many before, in one row.
 
-    reasons lists why figures can't be compared; then deltas and percents are
-    null. A percent needs a previous figure that is not zero (or two zeros),
-    and that of cost needs every price.
+    reasons lists why figures can't be compared: the analysis isn't complete,
+    listed sessions have warnings or no usage, usage has no date, something of
+    the whole usage is beyond exact numbers, a period is empty. Deltas and
+    percents are null then. A percent needs a previous figure that is not zero
+    (or two zeros), and that of cost needs every price.
     """
     if days not in (7, 30):
         raise ValueError("a period has 7 or 30 days")
@@ -142,11 +161,16 @@ def period_comparison(usage: DataFrame, prices: DataFrame, today: str, days: int
         F.coalesce(F.max("overflow"), F.lit(False)).alias("overflow"),
     )
     loose = usage.where(date.isNull() | ~valid_date(date)).select("provider", "session").distinct().agg(F.count("*").alias("undated_sessions"))
-    rows = figures.join(loose)  # a row each
+    scope = usage_summary(usage, prices).select(F.col("overflow").alias("scope_overflow"))
+    doubts = quality(usage, usage.select("provider", "session", F.lit(False).alias("warned")) if listed is None else listed)
+    rows = figures.join(loose).join(scope).join(doubts)  # a row each
     reasons = F.array_compact(
         F.array(
+            F.when(F.lit(not complete), "analysis incomplete"),
+            F.when(F.col("warned_sessions") > 0, "sessions with warnings"),
+            F.when(F.col("missing_sessions") > 0, "sessions without usage"),
             F.when(F.col("undated_sessions") > 0, "undated usage"),
-            F.when(F.col("overflow"), "beyond exact numbers"),
+            F.when(F.col("overflow") | F.col("scope_overflow"), "beyond exact numbers"),
             F.when(F.col("current_tokens").isNull() | F.col("previous_tokens").isNull(), "a period has no usage"),
         )
     )
@@ -155,7 +179,7 @@ def period_comparison(usage: DataFrame, prices: DataFrame, today: str, days: int
     delta = lambda m: F.when(fine, F.col(f"current_{m}") - F.col(f"previous_{m}"))
     percent = lambda m: F.when(fine & (F.col(f"previous_{m}") != 0), (F.col(f"current_{m}") - F.col(f"previous_{m}")) / F.col(f"previous_{m}") * 100).when(fine & (F.col(f"current_{m}") == 0), 0.0)
     return rows.select(
-        "current_tokens", "previous_tokens", "current_known", "previous_known", "undated_sessions", "reasons",
+        "current_tokens", "previous_tokens", "current_known", "previous_known", "undated_sessions", "missing_sessions", "warned_sessions", "reasons",
         delta("tokens").alias("tokens_delta"), percent("tokens").alias("tokens_percent"), delta("known").alias("known_delta"),
         F.when(F.col("unknown_models") == 0, percent("known")).alias("known_percent"),
     )
@@ -172,13 +196,13 @@ def rank(usage: DataFrame, prices: DataFrame, key: str, sort: str = "tokens") ->
 
 
 def price_catalog(usage: DataFrame, prices: DataFrame) -> DataFrame:
-    """Every model used or priced: sessions, fields used, and those of them without a rate."""
+    """Every model of a provider that is used or priced: sessions, fields used, and those of them without a rate."""
     rows = merged(usage, "provider", "session", "model").withColumn("bad", invalid())
-    used = rows.groupBy("model").agg(F.count_distinct("provider", "session").alias("sessions"), F.max("bad").alias("invalid_usage"), *[F.coalesce(F.max(F.when(~F.col("bad"), billed(f) > 0)), F.lit(False)).alias(f"u_{f}") for f in BILLED])
-    all_ = used.join(prices, "model", "full_outer")
+    used = rows.groupBy("provider", "model").agg(F.count_distinct("provider", "session").alias("sessions"), F.max("bad").alias("invalid_usage"), *[F.coalesce(F.max(F.when(~F.col("bad"), billed(f) > 0)), F.lit(False)).alias(f"u_{f}") for f in BILLED])
+    all_ = used.join(prices, ["provider", "model"], "full_outer")
     fields = lambda test: F.array_join(F.array_compact(F.array(*[F.when(test(f), f) for f in BILLED])), ",")
     seen = lambda f: F.coalesce(F.col(f"u_{f}"), F.lit(False))
-    return all_.select("model", F.coalesce("sessions", F.lit(0)).alias("sessions"), F.coalesce("invalid_usage", F.lit(False)).alias("invalid_usage"), fields(seen).alias("used_fields"), fields(lambda f: seen(f) & ~_rated(f)).alias("missing_fields"))
+    return all_.select("provider", "model", F.coalesce("sessions", F.lit(0)).alias("sessions"), F.coalesce("invalid_usage", F.lit(False)).alias("invalid_usage"), fields(seen).alias("used_fields"), fields(lambda f: seen(f) & ~_rated(f)).alias("missing_fields"))
 
 
 def cost_status(has_usage: Column, overflow: Column, unknown_models: Column) -> Column:
@@ -204,9 +228,14 @@ def last_wins(rows: DataFrame, key: list[str], order: str) -> DataFrame:
 
 
 def merge_books(mine: DataFrame, other: DataFrame) -> DataFrame:
-    """Two price books as one; the other's model replaces mine. change tells added, changed, same or kept."""
-    fields = list(RATES.values())
-    a, b = mine.select("model", F.struct(*fields).alias("a")), other.select("model", F.struct(*fields).alias("b"))
-    both = a.join(b, "model", "full_outer")
-    change = F.when(F.col("b").isNull(), "kept").when(F.col("a").isNull(), "added").when(F.col("a").eqNullSafe(F.col("b")), "same").otherwise("changed")
-    return both.select("model", F.coalesce("b", "a").alias("p"), change.alias("change")).select("model", "p.*", "change")
+    """Two price books as one: a rate that the other book names replaces mine, others stay.
+
+    change tells of each provider and model whether it was added, changed, left
+    the same by the other book, or kept for want of an entry there.
+    """
+    fields, key = list(RATES.values()), ["provider", "model"]
+    a, b = mine.select(*key, F.struct(*fields).alias("a")), other.select(*key, F.struct(*fields).alias("b"))
+    rates = F.struct(*[F.coalesce(F.col(f"b.{f}"), F.col(f"a.{f}")).alias(f) for f in fields])
+    both = a.join(b, key, "full_outer").withColumn("p", rates)
+    change = F.when(F.col("b").isNull(), "kept").when(F.col("a").isNull(), "added").when(F.col("a").eqNullSafe(F.col("p")), "same").otherwise("changed")
+    return both.withColumn("change", change).select(*key, "p.*", "change")

@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from ..functions.scalars import epoch_seconds
 from ..session import table
 
-#: Priced event types: input, output, cache read, 5-minute and 1-hour cache writes in dollars a million tokens; None is unknown.
+#: Priced event types of providers: input, output, cache read, 5-minute and 1-hour cache writes in dollars a million tokens; None is unknown.
 PRICES = (
-    ("view", 1.0, 2.0, 0.5, 1.25, 2.0),
-    ("click", 3.0, 15.0, None, 3.75, 6.0),
-    ("purchase", 0.0, 10.0, 0.25, None, None),
-    ("refund", 1.0, 1.0, 1.0, 1.0, 1.0),
+    ("p0", "view", 1.0, 2.0, 0.5, 1.25, 2.0),
+    ("p1", "view", 2.0, 4.0, None, 1.25, 2.0),
+    ("p0", "click", 3.0, 15.0, None, 3.75, 6.0),
+    ("p2", "click", 0.5, 2.5, 0.125, 0.75, 1.0),
+    ("p1", "purchase", 0.0, 10.0, 0.25, None, None),
+    ("p2", "error", 1.0, 8.0, 0.25, 1.0, 1.5),
+    ("p0", "refund", 1.0, 1.0, 1.0, 1.0, 1.0),
 )
 RATES = ("r_input", "r_output", "r_cache_read", "r_write_5m", "r_write_1h")
 TOKENS = ("input", "output", "cache_read", "cache_write", "cache_write_1h", "reasoning")
@@ -77,10 +80,10 @@ USAGE = """usage as (
 
 def prices(spark: SparkSession) -> DataFrame:
     """A few rows from a price book."""
-    return spark.createDataFrame(list(PRICES), "model string, " + ", ".join(f"{r} double" for r in RATES))
+    return spark.createDataFrame(list(PRICES), "provider string, model string, " + ", ".join(f"{r} double" for r in RATES))
 
 
-PRICE = f"""price as (select * from (values {", ".join("(" + ", ".join("null" if x is None else repr(x) for x in row) + ")" for row in PRICES)}) as t(model, {", ".join(RATES)}))"""
+PRICE = f"""price as (select * from (values {", ".join("(" + ", ".join("null" if x is None else repr(x) for x in row) + ")" for row in PRICES)}) as t(provider, model, {", ".join(RATES)}))"""
 
 
 def transcript(spark: SparkSession, d: str) -> DataFrame:

@@ -119,10 +119,17 @@ def _active(nodes: DataFrame, tips: DataFrame) -> DataFrame:
     return way.select(part[0].alias("path"), part[1].alias("id"), "depth")
 
 
+# System rows that hold a program's own state.
+STATE_ROWS = (
+    "session_artifact_event", "session_artifact_snapshot", "session_sources_snapshot",
+    "managed_session_header_v1", "managed_session_event_v1", "managed_session_commit_v1",
+)
+
+
 def qwen_events(rows: DataFrame) -> DataFrame:
     """(path, place, id, role, text): the way from the root to the last row, fragments of an id merged in their order."""
     r = rows.select("path", "line_no", text_at("$.uuid").alias("id"), text_at("$.parentUuid").alias("parent"), text_at("$.type").alias("type"), text_at("$.subtype").alias("subtype"), F.try_variant_get("json", "$.message.parts", "array<variant>").alias("parts"))
-    skip = F.coalesce((F.col("type") == "system") & F.col("subtype").rlike("^(session_artifact_(event|snapshot)|session_sources_snapshot|managed_session_(header|event|commit)_v1)$"), F.lit(False))
+    skip = F.coalesce((F.col("type") == "system") & F.col("subtype").isin(*STATE_ROWS), F.lit(False))
     r = r.where(~skip & F.col("id").isNotNull())
     text = F.filter(F.transform("parts", lambda p: F.when(~F.coalesce(F.try_variant_get(p, "$.thought", "boolean"), F.lit(False)), F.try_variant_get(p, "$.text", "string"))), lambda t: t.isNotNull() & ~F.ltrim(t).startswith("<qwen:user-prompt-submit-context>"))
     told = r.withColumn("text", F.array_join(text, ""))
