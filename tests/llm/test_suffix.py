@@ -79,4 +79,22 @@ def test_small_table_at_full_depth(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     texts = {r.doc_id: r.text.encode() for r in docs.collect()}
     got = {r[0]: tuple(r[1:]) for r in S.op2_suffix(spark, "/root/testdata/sf0.001").collect()}
-    assert got == dict(zip(texts, plain(list(texts.values()), 400), strict=True))
+    data = list(texts.values())
+    want = [(*row, passages[1]) for row, passages in zip(plain(data, 400), plain(data, 256), strict=True)]
+    assert got == dict(zip(texts, want, strict=True))
+
+
+def test_bytes_in_repeated_passages(spark):
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = text(300)
+    rows = [(1, text(200) + passage + text(90)), (2, text(33) + passage), (3, text(900)), (4, None), (5, passage[:200] + text(100)), (6, text(100) + passage)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (len(r.spans), r.n_passage) for r in S.without_repeats(docs, passage=256).collect()}
+    data = {i: (t or "").encode() for i, t in rows}
+    count = {}
+    for d in data.values():
+        for k in range(len(d) - 255):
+            count[d[k : k + 256]] = count.get(d[k : k + 256], 0) + 1
+    want = {i: len({b for k in range(len(d) - 255) if count[d[k : k + 256]] > 1 for b in range(k, k + 256)}) for i, d in data.items()}
+    assert got == {i: (0, n) for i, n in want.items()} and want[1] >= 300 and want[5] == 0

@@ -12,11 +12,12 @@ runs with equal bytes as one row with a count. A gram that occurs once ends its
 suffixes there; a run that occurs twice is repeated as a whole. Only runs that
 share a gram but differ somewhere (near copies, borders of shared passages) are
 sorted further, in numpy, by the distance from the gram and by four digits of
-128 bytes, and survivors are compared byte by byte.
+128 bytes, and survivors are compared byte by byte. Runs are known by 64-bit
+digests of their bytes together with their grams'.
 
 A group of more than ``most`` different runs skips to the last digit: its
-suffixes are dealt out by their whole window, so no task ever holds one group
-of unbounded size.
+suffixes are dealt out by their whole window's 128-bit digest, so no task ever
+holds one group of unbounded size.
 """
 
 from __future__ import annotations
@@ -31,10 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, stash
+from .common import documents, forget, stash
 from .windows import anchors, digits
 
 DEPTH, GRAM = 400, 128
+#: Bytes of a passage of some fifty words; so long repeats are counted beside the removed ones.
+PASSAGE = 256
 #: Different runs of one gram that a task may sort; 20,000 runs are 11 MB.
 MOST = 20_000
 #: Bytes of runs that a task sorts together.
@@ -203,59 +206,55 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text).alias("k1"), F.xxhash64(text, F.lit(7), id_col).alias("k2"), text.alias("text"))
 
 
-def _without(depth: int):
-    """A mapInPandas function: texts with the repeated windows to what is left of them."""
+def _spans(windows, depth: int) -> list[list[int]]:
+    """Byte ranges that windows cover, given as first and last window in turn."""
+    spans: list[list[int]] = []
+    if windows is not None and len(windows):
+        pairs = np.asarray(windows, np.int64).reshape(-1, 2)
+        for a, b in pairs[np.argsort(pairs[:, 0])].tolist():
+            if spans and a <= spans[-1][1]:
+                spans[-1][1] = max(spans[-1][1], b + depth)
+            else:
+                spans.append([a, b + depth])
+    return spans
+
+
+def _without(depth: int, passage: int):
+    """A mapInPandas function: texts with the repeated windows to what is left of them, and the bytes in repeated passages."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_ = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             out = []
-            for id_, squeezed, windows in zip(batch["id"], batch["data"], batch["windows"], strict=True):
+            for id_, squeezed, windows, passages in zip(batch["id"], batch["data"], batch["windows"], batch["passages"], strict=True):
                 data = open_(squeezed)
-                spans: list[list[int]] = []
-                if windows is not None and len(windows):
-                    pairs = np.asarray(windows, np.int64).reshape(-1, 2)
-                    for a, b in pairs[np.argsort(pairs[:, 0])].tolist():
-                        if spans and a <= spans[-1][1]:
-                            spans[-1][1] = max(spans[-1][1], b + depth)
-                        else:
-                            spans.append([a, b + depth])
+                spans = _spans(windows, depth)
                 kept, at = [], 0
                 for a, b in spans:
                     kept.append(data[at:a])
                     at = b
                 kept = b"".join([*kept, data[at:]])
-                out.append((id_, len(data), [x for s in spans for x in s], kept))
-            yield pd.DataFrame(out, columns=["id", "n_bytes", "spans", "kept"]).astype({"id": batch["id"].dtype})
+                out.append((id_, len(data), [x for s in spans for x in s], kept, sum(b - a for a, b in _spans(passages, passage))))
+            yield pd.DataFrame(out, columns=["id", "n_bytes", "spans", "kept", "n_passage"]).astype({"id": batch["id"].dtype})
 
     return run
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, gram: int = GRAM, most: int = MOST) -> DataFrame:
-    """(id, n_bytes, spans, kept) for every row of docs.
-
-    ``spans`` are the removed byte ranges, start and end in turn: all bytes
-    covered by a ``depth``-byte string that also starts anywhere else in the
-    texts, the same text included. ``kept`` are the other bytes, which may
-    begin or end inside a character. A null text counts as empty; a text
-    shorter than ``depth`` stays whole. Repeated rows are copies of each other,
-    so all of a text of ``depth`` bytes or more that occurs twice goes. Null
-    ids stay null. An empty table gives an empty result; other columns are not
-    looked at. ``gram`` is a power of two below ``depth``.
-    """
-    rows = _keyed(docs, id_col, text_col)
+def _repeats(rows: DataFrame, depth: int, gram: int, most: int) -> DataFrame:
+    """(k1, k2, windows) of the keyed texts with repeated windows: first and last window of each stretch, in turn."""
     key = ["k1", "k2"]
     runs = stash(rows.select("k1", "k2", "text").mapInPandas(_runs(depth, gram), "k1 long, k2 long, gram array<long>, run array<long>, at array<long>"), "runs")
     each = runs.select("k1", "k2", F.inline(F.arrays_zip("gram", "run", "at")))
-    common = runs.select(F.explode("gram").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    common = stash(runs.select(F.explode("gram").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "common")
     # Written first, so that the join has a plain exchange on either side and hot grams can be split.
-    shared = stash(each.join(stash(common, "common"), "gram"), "shared")
+    shared = stash(each.join(common, "gram"), "shared")
+    forget(runs, common)
     known = stash(shared.groupBy("gram", "run").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "at")).alias("first")), "known")
     several = known.groupBy("gram").agg(F.count("*").alias("different")).where("different > 1")
     unsure = known.join(several, "gram").select("gram", "run", F.col("n").eqNullSafe(1).alias("single"), "different", "first.*")
     lists = unsure.groupBy(key).agg(*[F.collect_list(c).alias(f"{c}s") for c in ("gram", "run")], F.collect_list("at").alias("places"), F.collect_list("single").alias("single"))
-    texts = rows.select("id", *key, _squeezed("text").alias("data"))
-    cut = texts.select(*key, "data").join(lists, key).select("data", "grams", "runs", "places", "single").mapInPandas(_cut(depth), "gram long, run long, single boolean, far int, data binary")
+    texts = rows.select(*key, _squeezed("text").alias("data"))
+    cut = texts.join(lists, key).select("data", "grams", "runs", "places", "single").mapInPandas(_cut(depth), "gram long, run long, single boolean, far int, data binary")
     largest = several.agg(F.max("different")).first()[0] or 0
     if largest > most:
         cut = stash(cut, "cut")
@@ -268,11 +267,39 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = known.where("n > 1").select("gram", "run", F.array(F.lit(0), F.shiftright("first.at", 10).bitwiseAND(1023)).cast("array<long>").alias("windows"))
     hit = shared.join(whole.unionByName(settled), ["gram", "run"]).select(*key, F.transform("windows", lambda x: x + F.shiftright("at", 20)).alias("windows"))
     gone = stash(hit.groupBy(key).agg(F.flatten(F.collect_list("windows")).alias("windows")), "gone")
+    forget(shared, known)
+    return gone
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, gram: int = GRAM, most: int = MOST, passage: int | None = None) -> DataFrame:
+    """(id, n_bytes, spans, kept, n_passage) for every row of docs.
+
+    ``spans`` are the removed byte ranges, start and end in turn: all bytes
+    covered by a ``depth``-byte string that also starts anywhere else in the
+    texts, the same text included. ``kept`` are the other bytes, which may
+    begin or end inside a character. ``n_passage`` are the bytes covered by
+    strings of ``passage`` bytes, by the same rule; nothing is removed for
+    them, and without a ``passage`` they are 0. A null text counts as empty; a
+    text shorter than ``depth`` stays whole, one of any length is read to its
+    end. Repeated rows are copies of each other, so all of a text of ``depth``
+    bytes or more that occurs twice goes. Null ids stay null. An empty table
+    gives an empty result; other columns are not looked at. ``gram`` is a power
+    of two below ``depth`` and ``passage``.
+    """
+    rows = _keyed(docs, id_col, text_col)
+    key = ["k1", "k2"]
+    gone = _repeats(rows, depth, gram, most)
+    texts = rows.select("id", *key, _squeezed("text").alias("data")).join(gone, key, "left")
+    if passage:
+        texts = texts.join(_repeats(rows, passage, gram, most).withColumnRenamed("windows", "passages"), key, "left")
+    else:
+        texts = texts.withColumn("passages", F.lit(None).cast("array<long>"))
     kind = docs.schema[id_col].dataType.simpleString()
-    return texts.join(gone, key, "left").select("id", "data", "windows").mapInPandas(_without(depth), f"id {kind}, n_bytes long, spans array<long>, kept binary").withColumnRenamed("id", id_col)
+    found = texts.select("id", "data", "windows", "passages").mapInPandas(_without(depth, passage or 0), f"id {kind}, n_bytes long, spans array<long>, kept binary, n_passage long")
+    return found.withColumnRenamed("id", id_col)
 
 
 def op2_suffix(spark, sf_dir: str) -> DataFrame:
-    found = without_repeats(documents(spark, sf_dir))
+    found = without_repeats(documents(spark, sf_dir), passage=PASSAGE)
     removed = found["n_bytes"] - F.octet_length("kept").cast("long")
-    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), (F.size("spans") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), (F.size("spans") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_passage")
