@@ -99,6 +99,8 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of the values that aren't alone, group by group, and where each group begins."""
     order = np.argsort(key, kind="stable")
+    if not len(order):
+        return order, order
     same = key[order][1:] == key[order][:-1]
     keep = np.r_[False, same] | np.r_[same, False]
     order, new = order[keep], np.r_[True, ~same][keep]
