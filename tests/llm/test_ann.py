@@ -30,10 +30,9 @@ def recall(got, want):
 def test_given_vectors(spark):
     vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     want = brute([(r.vec_id, r.embedding) for r in vectors.collect()], 50, 5)
-    got = found(A.nearest(vectors, least=64))
+    got = found(A.nearest(vectors))
     assert got.keys() == want.keys() and all(len(v) == 5 for v in got.values())
     assert recall(got, want) >= 0.9
-    scores = dict(x for w in want.values() for x in [])
     for q, w in want.items():
         scores = dict(w)
         for i, s in got[q]:
@@ -52,6 +51,13 @@ def test_all_cells_give_the_exact_answer_with_copies_and_ties(spark):
         assert [i for i, _ in got[q]] == [i for i, _ in w] or len({round(s, 12) for _, s in w}) < 5
 
 
+def test_parts_of_the_queries_change_nothing(spark):
+    vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    want = brute([(r.vec_id, r.embedding) for r in vectors.collect()], 10, 5)
+    whole, parts = found(A.nearest(vectors, every=10)), found(A.nearest(vectors, every=10, together=7))
+    assert whole == parts and recall(whole, want) >= 0.9
+
+
 def test_rows_that_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, None), (2, []), (3, [0.0, 0.0]), (4, [None, 1.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [1.0, 2.0, 3.0]), (8, [1e-300, 1e-300]), (9, [1e300, 0.0]), (None, [1.0, 1.0]), (0, [1.0, 0.0])]

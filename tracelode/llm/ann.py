@@ -7,8 +7,8 @@ and those entries are reranked by exact cosine.
 
 Neighbouring small cells share a block and large cells are split over several,
 so blocks have a bounded size. Blocks are dealt out over the cluster, and each
-meets the queries that visit one of its cells as two matrices. What is returned
-from a block is at most k rows a query.
+meets the queries that visit one of its cells as two matrices, a bounded part of
+the queries at a time. What is returned from a block is at most k rows a query.
 """
 
 from __future__ import annotations
@@ -29,9 +29,9 @@ K = 5
 CENTROIDS = 64
 #: Different vectors that the centroids are fitted on, by the order of a hash.
 SAMPLE = 16_384
-#: A query passes cells until they hold this share of the different vectors, and at least so many.
-SHARE, LEAST = 0.5, 4_096
-#: Entries of a cell that one task reranks together.
+#: A query passes cells until they hold this share of the different vectors.
+SHARE = 0.5
+#: Entries of a cell, and queries, that one task reranks together.
 BLOCK = 4_096
 
 
@@ -102,7 +102,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(F.col("id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, fine) & F.exists(v, lambda x: x != 0))
 
 
-def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = K, centroids: int = CENTROIDS, share: float = SHARE, least: int = LEAST, sample: int = SAMPLE) -> DataFrame:
+def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = K, centroids: int = CENTROIDS, share: float = SHARE, sample: int = SAMPLE, together: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found of each query by cosine.
 
     Queries are the rows whose id is divisible by ``every``; candidates are all
@@ -115,6 +115,10 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     Equal vectors are one entry of the index, which holds the k + 1 least ids
     that have it: no more can ever be among the k nearest of a query. That is
     exact, and keeps a group of copies of any size from filling a cell.
+
+    Queries are dealt into parts of about ``together`` by a hash of their ids,
+    and a block is sent to each part, so that no task holds more queries than
+    that however many visit a block.
     """
     rows = usable(vectors, id_col, vector_col)
     widths = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
@@ -145,7 +149,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     for r in indexed.groupBy("cell").count().collect():  # at most centroids ** 2 rows
         sizes.ravel()[r["cell"]] = r["count"]
     total = int(sizes.sum())
-    enough = max(least, k + 2, int(share * total))
+    enough = max(k + 2, int(share * total))
     first_block, parts = deal(sizes.ravel(), BLOCK)
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -171,7 +175,12 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
 
     placed = indexed.select("vec", "ids", "cell", block_of("cell", F.xxhash64("vec")).alias("block"))
     queries = rows.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), F.col("vec").alias("query"))
-    asked = queries.mapInPandas(visit, "query_id long, query array<double>, block int, cells array<int>")
+    count = queries.count()
+    groups = -(-count // together) or 1
+    tasks = min(-(-count // 64) or 1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    asked = queries.repartition(tasks, "query_id").mapInPandas(visit, "query_id long, query array<double>, block int, cells array<int>")
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int"))
+    placed = placed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
 
     def rerank(asking: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
@@ -195,7 +204,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         found = pd.DataFrame(out)
         return found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k) if len(found) else found.astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
-    found = asked.groupBy("block").cogroup(placed.groupBy("block")).applyInPandas(rerank, "query_id long, vec_id long, score double")
+    found = asked.groupBy("block", "part").cogroup(placed.groupBy("block", "part")).applyInPandas(rerank, "query_id long, vec_id long, score double")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
