@@ -27,6 +27,30 @@ def set_diff(sets: dict[str, DataFrame], pairs: Sequence[tuple[str, str]], id_co
     return flags.select(F.explode(found).alias("problem"), "id")
 
 
+def state_counts(logs: DataFrame, index: DataFrame, threads: DataFrame, orphans: DataFrame, mismatched: DataFrame) -> DataFrame:
+    """One row of counts over what logs, index and threads hold, by different ids.
+
+    logs and threads have id and archived, the others id. Ids that are null
+    count nowhere but in archived_logs, which counts files. An id missing in
+    threads or index is one of a live log; a thread is an orphan if no log,
+    archived ones included, has it, an index entry if no live log has it.
+    """
+    part = lambda df, which: df.select("id", F.lit(which).alias("which"))
+    rows = part(logs.where(~F.col("archived")), "live").unionByName(part(logs.where("archived"), "away")).unionByName(part(index, "index"))
+    rows = rows.unionByName(part(threads.where(~F.col("archived")), "active")).unionByName(part(threads.where("archived"), "kept"))
+    rows = rows.unionByName(part(orphans, "orphan")).unionByName(part(mismatched, "mismatch"))
+    names = ("live", "away", "index", "active", "kept", "orphan", "mismatch")
+    ids = rows.groupBy("id").agg(*[(F.max(F.col("which") == n) & F.col("id").isNotNull()).alias(n) for n in names], F.count_if(F.col("which") == "away").alias("files"))
+    live, away, indexed, thread = F.col("live"), F.col("away"), F.col("index"), F.col("active") | F.col("kept")
+    return ids.agg(
+        F.count_if(live).alias("logs"), F.coalesce(F.sum("files"), F.lit(0)).alias("archived_logs"), F.count_if(indexed).alias("index"),
+        F.count_if(thread).alias("threads"), F.count_if("active").alias("threads_active"), F.count_if("kept").alias("threads_archived"),
+        F.count_if(live & ~indexed).alias("missing_in_index"), F.count_if(live & ~thread).alias("missing_in_threads"),
+        F.count_if(indexed & ~live).alias("orphan_in_index"), F.count_if(thread & ~live & ~away).alias("orphan_in_threads"),
+        F.count_if("orphan").alias("orphan_subagents"), F.count_if("mismatch").alias("mismatched"),
+    )
+
+
 def history_links(history: DataFrame, known: DataFrame, id_col: str = "session") -> DataFrame:
     """One row: history rows in all, with a known session, with an unknown one, without one, and different unknown ones."""
     ids = known.select(F.col(id_col).alias("_known")).distinct()

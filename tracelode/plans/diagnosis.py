@@ -23,6 +23,13 @@ def _diff(spark, d):
     return L.set_diff({"threads": _orders(spark, d), "index": labels, "logs": _logged(spark, d)}, [("threads", "logs"), ("index", "threads"), ("logs", "threads"), ("logs", "index")])
 
 
+def _counts(spark, d):
+    logs = table(spark, d, "lineitem").select((F.col("l_orderkey") + 7).alias("id"), (F.col("l_orderkey") % 5 == 0).alias("archived"))
+    threads = _orders(spark, d).select("id", (F.col("status") == "F").alias("archived"))
+    index = table(spark, d, "labels").select((F.col("doc_id") + 1).alias("id"))
+    return L.state_counts(logs, index, threads, threads.where("id % 11 = 0").select("id"), threads.where("id % 13 = 0").select("id"))
+
+
 def _history(spark, d):
     rows = table(spark, d, "events").select(F.when(F.col("event_id") % 9 != 0, F.col("user_id") * 3).alias("session"))
     return L.history_links(rows, table(spark, d, "conversations").select(F.col("conv_id").alias("session")))
@@ -120,6 +127,7 @@ def _visible(spark, d):
 
 QUERIES = {
     "id_set_diff": _diff,
+    "state_counts": _counts,
     "history_links": _history,
     "clone_state": _clone,
     "digest_states": _digests,
@@ -144,6 +152,13 @@ _GRAVE = "case severity when 'error' then 0 when 'warning' then 1 else 2 end"
 
 ORACLES = {
     "id_set_diff": " union all ".join(f"select 'in {a} not in {b}' as problem, id from ({_ID_SETS[a]} except {_ID_SETS[b]})" for a, b in [("threads", "logs"), ("index", "threads"), ("logs", "threads"), ("logs", "index")]),
+    "state_counts": """with l as (select l_orderkey + 7 as id, l_orderkey % 5 = 0 as archived from lineitem), live as (select distinct id from l where not archived), a as (select distinct id from l),
+      i as (select distinct doc_id + 1 as id from labels), t as (select o_orderkey as id, o_orderstatus = 'F' as archived from orders)
+      select (select count(*) from live) as logs, (select count(*) from l where archived) as archived_logs, (select count(*) from i) as "index", (select count(*) from t) as threads,
+        (select count(*) from t where not archived) as threads_active, (select count(*) from t where archived) as threads_archived,
+        (select count(*) from (from live except from i)) as missing_in_index, (select count(*) from (from live except select id from t)) as missing_in_threads,
+        (select count(*) from (from i except from live)) as orphan_in_index, (select count(*) from (select id from t except from a)) as orphan_in_threads,
+        (select count(*) from t where id % 11 = 0) as orphan_subagents, (select count(*) from t where id % 13 = 0) as mismatched""",
     "history_links": """with h as (select case when event_id % 9 <> 0 then user_id * 3 end as s from events), k as (select distinct conv_id as s from conversations)
       select count(*) as total, count(k.s) as linked, count(*) filter (h.s is not null and k.s is null) as orphan, count(*) filter (h.s is null) as untracked, count(distinct case when k.s is null then h.s end) as orphan_ids from h left join k on h.s = k.s""",
     "clone_state": f"""with {SESSIONS} select id, case when archived then 'matches' when id % 10 = 3 then 'subagent' when id % 17 = 0 or id % 9 = 0 then 'unknown'
