@@ -102,7 +102,40 @@ def _revisions(spark, d):
     return folds.by_day(folds.revision_fold(rows)).select("path", "date", "input", "output")
 
 
+def _mixed(spark, d):
+    """Raw rows of both forms: blocks of messages, and response items."""
+    t = table(spark, d, "conversations")
+    k = (F.col("conv_id") + F.col("turn")) % 8
+    js = lambda *cs: F.to_json(F.struct(*cs))
+    message = lambda role, content: js(F.struct(F.lit(role).alias("role"), content.alias("content")).alias("message"))
+    item = lambda *cs: js(F.lit("response_item").alias("type"), F.struct(*cs).alias("payload"))
+    lit = lambda v, name: F.lit(v).alias(name)
+    raw = (
+        F.when(k == 0, message("user", F.array(F.struct(lit("text", "type"), "text"))))
+        .when(k == 1, message("assistant", F.array(F.struct(lit("thinking", "type"), lit(" ", "thinking")))))
+        .when(k == 2, message("assistant", F.array(F.struct(lit("tool_use", "type"), lit("Read", "name"), F.struct(F.concat(F.lit("\n/a/"), "turn").alias("path")).alias("input")))))
+        .when(k == 3, item(lit("message", "type"), "role", F.array(F.struct("text")).alias("content")))
+        .when(k == 4, item(lit("function_call", "type"), lit("shell", "name"), lit('{"cmd": ["ls", "-l"]}', "arguments")))
+        .when(k == 5, item(lit("function_call_output", "type"), js(F.concat(F.lit("took 1 s\nOutput:\n\n "), "text").alias("output")).alias("output")))
+        .when(k == 6, js(lit("event_msg", "type"), F.struct(F.col("text").alias("message")).alias("payload")))
+        .otherwise(message("user", F.lit("<environment_context>\n</environment_context>")))
+    )
+    return t.select(F.col("conv_id").alias("path"), F.col("turn").alias("line_no"), "role", F.parse_json(raw).alias("json"))
+
+
+def _comments(spark, d):
+    t = transcript(spark, d)
+    head = F.when(F.col("idx") % 3 != 0, F.lit("# Diff comments:\n\n")).otherwise("no ")
+    first = F.concat(F.lit("## Comment 4\nFile: browser:a/"), "idx", F.lit(" Lines: 3-9\nComment:\n "), "role", F.lit(" asks\n\n"))
+    text = F.concat(head, F.when(F.col("idx") % 3 == 1, F.concat(first, F.lit("**Comment 5**\nno body here\n"))).otherwise(""), F.lit("\n## My request for Codex:\n\ndo "), "role", F.lit("\n<image></image>"))
+    rows = t.select("session", "idx", L.diff_comments(text).alias("p")).where("p is not null").select("session", "idx", "p.request", F.explode("p.comments").alias("c"))
+    return rows.select("session", "idx", "request", "c.*")
+
+
 QUERIES = {
+    "segments": lambda spark, d: L.segments(_mixed(spark, d)),
+    "preview_text": lambda spark, d: _mixed(spark, d).select("path", "line_no", L.preview_text(F.col("role"), F.lit("summary")).alias("text")),
+    "diff_comments": _comments,
     "project_event": lambda spark, d: L.codex_events(_codex(spark, d)).select("path", "line_no", "at", "role", "kind", "summary"),
     "tool_label": _labels,
     "generated_prompt": lambda spark, d: _prompts(spark, d).select("session", "idx", L.generated(F.col("text")).alias("generated"), L.internal_context(F.col("text")).alias("context")),
@@ -118,7 +151,17 @@ QUERIES = {
     "revision_fold": _revisions,
 }
 
+_LINE = f"(case when length({{0}}) > 120 then substr({{0}}, 1, 119) || '…' else {{0}} end)".format("trim(regexp_replace(regexp_extract(text, '^\\s*([^\\n]*)', 1), '\\s+', ' ', 'g'))")
+
 ORACLES = {
+    "segments": f"""with r as (select conv_id as path, turn as line_no, role as who, text, (conv_id + turn) % 8 as k from conversations)
+      select path, line_no, case when k in (0, 3) and (k = 0 or who in ('user', 'assistant')) and trim(text) <> '' then 'message' when k = 1 then 'reasoning' when k in (2, 4) then 'tool_call' when k = 5 then 'tool_result' else 'skip' end as segment,
+        case when k in (0, 3) and trim(text) <> '' then case when k = 0 then 'user' when who in ('user', 'assistant') then who end end as role,
+        case when k = 0 or k = 3 and who in ('user', 'assistant') then case when trim(text) <> '' then text end when k = 1 then '(加密推理)' when k = 2 then 'Read: /a/' || line_no when k = 4 then 'shell: ls -l' when k = 5 then {_LINE} end as text from r""",
+    "preview_text": """with r as (select conv_id as path, turn as line_no, role, text, (conv_id + turn) % 8 as k from conversations)
+      select path, line_no, case k when 1 then '(加密推理)' when 2 then case when role = 'assistant' then '' else '[Tool: Read]' end when 4 then 'summary' when 5 then 'summary' when 7 then '<environment_context>' || chr(10) || '</environment_context>' else text end as text from r""",
+    "diff_comments": f"""with {TRANSCRIPT} select session, idx, 'do ' || role as request, 4::bigint as number, 'a/' || idx as context, role || ' asks' as body from transcript where idx % 3 = 1
+      union all select session, idx, 'do ' || role, 5, '', '{L.NO_BODY}' from transcript where idx % 3 = 1 union all select session, idx, 'do ' || role, 1, '', '{L.NO_BODY}' from transcript where idx % 3 = 2""",
     "project_event": f"""select conv_id as path, turn as line_no, 't' || turn as at,
       case turn % 5 when 0 then role when 1 then 'reasoning' when 2 then 'tool_call' when 3 then 'user' else 'other' end as role,
       case turn % 5 when 0 then 'message' when 1 then 'reasoning' when 2 then 'function_call' when 3 then 'user_message' else 'event_msg/turn_end' end as kind,
