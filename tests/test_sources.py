@@ -7,6 +7,8 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
+from tracelode.operators import stats
+from tracelode.plans import tables
 from tracelode.sources import agents as A
 from tracelode.sources import databases as D
 from tracelode.sources import jsonl as J
@@ -177,6 +179,46 @@ def test_appended_lines_are_followed(spark, tmp_path):
     assert run() == ['{"n":1}', '{"n":2}', '{"part":3}']
 
 
+def test_a_replaced_log_is_read_anew(spark, tmp_path):
+    log = tmp_path / "in" / "a.jsonl"
+    log.parent.mkdir()
+    reader = L._Follow({"path": str(log.parent)})
+    log.write_bytes(b"one\ntwo\n")
+    first = reader.latestOffset()
+    assert reader.partitions(first, reader.latestOffset())[0].path == ""
+    with log.open("ab") as f:
+        f.write(b"three\n")
+    grown = reader.latestOffset()
+    assert [(s.first, s.last) for s in reader.partitions(first, grown)] == [(8, 14)]
+    log.write_bytes(b"other\nlines\nlonger than before\n")
+    (span,) = reader.partitions(grown, reader.latestOffset())
+    assert [v for _, _, v in reader.read(span)] == ["other", "lines", "longer than before"]
+    log.write_bytes(b"x\n")
+    assert [(s.first, s.last) for s in reader.partitions(grown, reader.latestOffset())] == [(0, 2)]
+
+
+def test_depth_one_logs_and_their_events(spark, tmp_path):
+    turn = lambda role, content, **more: {"type": role, "sessionId": "q1", "message": {"role": role, "content": content}, **more}
+    where = write(tmp_path / "proj", "s.jsonl", turn("user", "hello"), turn("assistant", [{"type": "output_text", "text": "hi"}, {"type": "secret", "text": "no"}]), turn("assistant", "aside", isSidechain=True))
+    write(tmp_path / "proj" / "deeper", "t.jsonl", turn("user", "below"))
+    rows = J.parsed(J.lines(spark, where, deep=False))
+    assert [(r.role, r.text) for r in A.qoder_events(rows).orderBy("line_no").collect()] == [("user", "hello"), ("assistant", "hi"), ("meta", "aside")]
+    (r,) = A.qoder_summaries(rows).collect()
+    assert (r.provider, r.source, r.id, r.first_user_message) == ("qoder", "cli", "q1", "hello")
+
+
+def test_notes_and_statistics_of_one_set(spark, tmp_path):
+    (tmp_path / "m" / "p1" / "memory").mkdir(parents=True)
+    (tmp_path / "m" / "p1" / "memory" / "MEMORY.md").write_text("abc")
+    (tmp_path / "m" / "p1" / "memory" / "x.md").write_text("de")
+    (r,) = A.memory_projects(spark, str(tmp_path / "m")).collect()
+    assert (r.project, r.files, r.bytes, r.has_index) == ("p1", 2, 5, True)
+    s = tables.sessions(spark, "/root/testdata/sf0.001")
+    parts = stats.snapshot(s)
+    assert parts["kpi"].collect() == stats.kpi(s).collect()
+    assert sorted(parts["heatmap"].collect()) == sorted(stats.heatmap(s).collect())
+
+
 def test_cursor_decisions():
     c = L.Cursor("i", 10, 5, 10, "h")
     cases = [(("i", 10, 5, "h"), "unchanged"), (("i", 12, 6, "h"), "resume"), (("j", 12, 6, "h"), "file replaced"), (("i", 9, 6, "h"), "truncated"), (("i", 12, 6, None), "hash unverified"), (("i", 12, 6, "x"), "content changed"), (("i", 10, 6, "h"), "content changed"), ((None, 10, 5, "h"), "identity unavailable")]

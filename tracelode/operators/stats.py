@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.scalars import day_start, hour_of, week_start, weekday
+from ..session import cut_lineage
 
 
 def filter_sessions(s: DataFrame, start: int | None = None, end: int | None = None, cwds: Sequence[str] = (), archived: bool = False) -> DataFrame:
@@ -67,8 +68,8 @@ def peak(rows: DataFrame, value: str, *order: str) -> DataFrame:
 
 
 def snapshot(s: DataFrame, limit: int = 10, bucket: str = "day") -> dict[str, DataFrame]:
-    """All statistics over one filtered set, which is computed once."""
-    s = s.persist()
+    """All statistics over one filtered set, which is computed once and written to the shared folder."""
+    s = cut_lineage(s)
     return {"kpi": kpi(s), "timeseries": timeseries(s, bucket), "by_project": by_project(s, limit), "by_model": by_model(s), "heatmap": heatmap(s)}
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..operators import graph
-from ..operators.project import cut, generated
+from ..operators.project import claude_events, cut, generated
 from .jsonl import content_text, flag_at, long_at, seconds_at, text_at
 
 
@@ -69,6 +69,16 @@ def claude_summaries(rows: DataFrame) -> DataFrame:
     return found.select(F.lit("claude").alias("provider"), "path", "id", "cwd", "model", "created_at", "updated_at", "tokens_used", F.coalesce("first_user_message", F.lit("")).alias("first_user_message"), cut(title, 160).alias("title"))
 
 
+def qoder_summaries(rows: DataFrame) -> DataFrame:
+    """As claude_summaries, of logs that lie right in their project's folder (read them with ``jsonl.lines(..., deep=False)``)."""
+    return claude_summaries(rows).withColumn("provider", F.lit("qoder")).withColumn("source", F.lit("cli"))
+
+
+def qoder_events(rows: DataFrame) -> DataFrame:
+    """(path, line_no, at, role, kind, text) as claude_events, side chains as meta; blocks of kinds that aren't known say nothing."""
+    return claude_events(rows, side_chains=False)
+
+
 def workbuddy_events(rows: DataFrame) -> DataFrame:
     """(path, line_no, at, role, text): messages; of a user's text only the last query between its marks."""
     role = F.coalesce(text_at("$.role"), F.lit(""))

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 POLICIES = ("strict", "tolerant", "tolerant_unless_all_bad")
 
 
-def lines(spark: SparkSession, path: str | Sequence[str], glob: str = "*.jsonl") -> DataFrame:
-    """(path, line_no, value) of every line that isn't blank, numbered from 0 as in the file."""
-    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+def lines(spark: SparkSession, path: str | Sequence[str], glob: str = "*.jsonl", deep: bool = True) -> DataFrame:
+    """(path, line_no, value) of every line that isn't blank, numbered from 0 as in the file; below all folders, or right in the given ones."""
+    reader = spark.read.option("recursiveFileLookup", str(deep).lower()).option("pathGlobFilter", glob)
     files = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split("value", "\r?\n").alias("each"))
     return files.select("path", F.posexplode("each").alias("line_no", "value")).where(F.trim("value") != "")
 

@@ -46,8 +46,8 @@ def csv_lines(sections: Sequence[DataFrame], columns: Sequence[str] = USAGE_COLU
 
 
 def write_csv(sections: Sequence[DataFrame], path: str, columns: Sequence[str] = USAGE_COLUMNS) -> None:
-    """A folder with one text file; a usage table has a few thousand rows, so one sorted file is right for it."""
-    csv_lines(sections, columns).orderBy("place").select("line").coalesce(1).write.mode("overwrite").text(path, lineSep="\n")
+    """A folder of text files that are the table in their names' order; a table of any length is sorted by ranges, and AQE makes a short one a single file."""
+    csv_lines(sections, columns).orderBy("place").select("line").write.mode("overwrite").text(path, lineSep="\n")
 
 
 def markdown(events: DataFrame, tools: bool = False, reasoning: bool = False) -> DataFrame:

@@ -6,7 +6,7 @@ import glob
 import hashlib
 import os
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -68,6 +68,14 @@ def prefix_digest(path: str, size: int) -> str:
     return h.hexdigest()
 
 
+def edge_digest(path: str, size: int, edge: int = 1 << 16) -> str:
+    """A digest of the first and the last bytes up to ``size``: a file written anew differs there, and long logs aren't read again."""
+    with open(path, "rb") as f:
+        head = f.read(min(size, edge))
+        f.seek(max(len(head), size - edge))
+        return hashlib.sha256(head + f.read(size - max(len(head), size - edge))).hexdigest()
+
+
 class _Span(InputPartition):
     def __init__(self, path: str, first: int, last: int) -> None:
         self.path, self.first, self.last = path, first, last
@@ -76,9 +84,11 @@ class _Span(InputPartition):
 class AppendedLines(DataSource):
     """Format ``appended_lines``: rows (path, offset, value) of every complete line of growing files.
 
-    The offset of a stream is the size of each file up to its last line break;
+    The offset of a stream is a cursor for each file up to its last line break;
     a partial line waits for its end. Spark's own file source never looks at a
-    file twice. A file that shrinks is read anew from its start.
+    file twice. Between two cursors ``decide`` tells whether a file was
+    continued; one that shrank, was replaced or changed is read anew from its
+    start.
     """
 
     @classmethod
@@ -104,17 +114,21 @@ class _Follow(DataSourceStreamReader):
         for path in sorted(glob.glob(os.path.join(self.pattern, "*.jsonl") if os.path.isdir(self.pattern) else self.pattern)):
             end = _last_break(path)
             if end:
-                found[path] = end
+                about = os.stat(path)
+                found[path] = asdict(Cursor(f"{about.st_dev}:{about.st_ino}", end, about.st_mtime_ns, end, edge_digest(path, end)))
         return found
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         spans = []
-        for path, last in end.items():
-            first = start.get(path, 0)
-            if first > last:  # it has shrunk: what it holds now is new
-                first = 0
-            if first < last:
-                spans.append(_Span(path, first, last))
+        for path, now in end.items():
+            first = 0
+            if path in start:
+                before, after = Cursor(**start[path]), Cursor(**now)
+                grown = before.offset <= after.offset
+                what, _ = decide(before, after.identity, after.size, before.mtime_ns if after.size == before.size else after.mtime_ns, edge_digest(path, before.offset) if grown else None)
+                first = 0 if what == "full" else before.offset
+            if first < now["offset"]:
+                spans.append(_Span(path, first, now["offset"]))
         return spans or [_Span("", 0, 0)]
 
     def read(self, part: _Span) -> Iterator[tuple]:
