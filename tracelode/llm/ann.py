@@ -178,7 +178,8 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     count = queries.count()
     groups = -(-count // together) or 1
     tasks = min(-(-count // 64) or 1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    asked = queries.repartition(tasks, "query_id").mapInPandas(visit, "query_id long, query array<double>, block int, cells array<int>")
+    # By a hash of the id: a repartition by the id itself is dropped where rows are already grouped by it.
+    asked = queries.repartition(tasks, F.xxhash64("query_id")).mapInPandas(visit, "query_id long, query array<double>, block int, cells array<int>")
     asked = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int"))
     placed = placed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
 
