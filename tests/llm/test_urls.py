@@ -46,6 +46,22 @@ def test_trees_learn_what_rules_say_elsewhere(spark):
     assert sum((r.verdict == "block") == bool(r.page_id % 2) for r in got) / len(got) > 0.95
 
 
+def test_suffix_statistics_cover_all_labelled_rows(spark):
+    """A sample of one URL has one suffix; the counts that the trees could use must have both, and nothing may fail."""
+    rows = [(i, f"http://h{i}.{'org/x' if i % 2 else 'com/de/'}{i}") for i in range(60)] + [(99, "http://h.net/")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    counted = []
+    kept = U.stash
+    U.stash = lambda df, tag: counted.append((tag, df)) or kept(df, tag)
+    try:
+        got = U.judge(pages, sample=1).collect()
+    finally:
+        U.stash = kept
+    assert {(r.suffix, r.n, r.blocked) for r in dict(counted)["suffixes"].collect()} == {("org", 30, 0.0), ("com", 30, 30.0)}
+    assert dict(counted)["labelled"].count() == 1
+    assert len(got) == 61 and {r.verdict for r in got if r.page_id == 99} <= {"allow", "block"}
+
+
 def test_entropy(spark):
     got = spark.createDataFrame([("aabb",), ("",), ("abcd",)], "u string").select(U._entropy(U.F.col("u"))).collect()
     assert [r[0] for r in got] == pytest.approx([1.0, 0.0, 2.0])

@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import BROADCAST_ROWS, stash
 
 #: (verdict, host, path); a rule fits its host and all subdomains if the path starts with the rule's.
 RULES = (
@@ -88,7 +88,8 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
 
     A rule's verdict stands. URLs that rules fit are the labelled ones; trees
     fitted to at most ``sample`` of them judge the others: score is the
-    likelihood of block, null where a rule decides, and 0.5 or more blocks. If
+    likelihood of block, null where a rule decides, and 0.5 or more blocks. The
+    share of blocked URLs by suffix is counted over all labelled ones. If
     rules label nothing, others are allowed; if they give one verdict only,
     others get it too. A null URL or one without :// has an empty host and
     path, and is judged by what features it has. Repeated rows and null ids
@@ -99,16 +100,18 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     rule, verdict = _fitting(F.col("host"), F.col("path"), rules)
     ruled = read.select("*", rule.alias("rule"), verdict.alias("said"))
     rows = lexical(ruled)
-    drawn = rows.where(F.col("said").isNotNull()).orderBy(F.xxhash64("url"), "url").limit(sample)
-    labelled = stash(drawn.withColumn("label", (F.col("said") == "block").cast("double")), "labelled")
-    total, blocked = labelled.agg(F.count("*"), F.sum("label")).first()
+    told = rows.where(F.col("said").isNotNull()).withColumn("label", (F.col("said") == "block").cast("double"))
+    counts = stash(told.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("label").alias("blocked")), "suffixes")
+    total, blocked, suffixes = counts.agg(F.sum("n"), F.sum("blocked"), F.count("*")).first()
     out = ["id", "host", "path", "rule"]
     if not total or blocked in (0, total):
         other = F.lit("block" if total and blocked else "allow")
         return ruled.select(*out, F.coalesce("said", other).alias("verdict"), F.lit(None).cast("double").alias("score")).withColumnRenamed("id", id_col)
     base = blocked / total
-    # No more suffixes than sampled rows, so the table has a fixed bound.
-    shares = F.broadcast(labelled.groupBy("suffix").agg(((F.sum("label") + PRIOR * base) / (F.count("*") + PRIOR)).alias("suffix_share")))
+    shares = counts.select("suffix", ((F.col("blocked") + PRIOR * base) / (F.col("n") + PRIOR)).alias("suffix_share"))
+    if suffixes <= BROADCAST_ROWS:
+        shares = F.broadcast(shares)
+    labelled = stash(told.orderBy(F.xxhash64("url"), "url").limit(sample), "labelled")
     joined = lambda df: df.join(shares, "suffix", "left").fillna(base, ["suffix_share"])
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=11, labelCol="label", featuresCol="features")
