@@ -37,19 +37,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """df computed once and written to the folder that the cluster shares for checkpoints.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, which spark.checkpoint.dir names.
 
-    spark.checkpoint.dir names it; a local folder takes its place only where
-    that is unset and all runs on one machine, as in tests.
+    A local folder takes its place only where that is unset and all runs on one
+    machine, as in tests.
     """
-    spark = df.sparkSession
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
     if not where:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tracelode-")
         spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where.rstrip('/')}/step-{uuid.uuid4().hex}"
+    return where.rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df computed once and written to the shared folder."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
