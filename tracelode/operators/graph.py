@@ -31,10 +31,31 @@ def descendants(nodes: DataFrame, seeds: DataFrame, most: int = 10_000) -> DataF
     raise RuntimeError(f"a closure goes deeper than {most} levels")
 
 
-def ancestors(nodes: DataFrame, seeds: DataFrame, most: int = 10_000) -> DataFrame:
+def doubled(edges: DataFrame, seeds: DataFrame, most: int = 30) -> DataFrame:
+    """As descendants, for edges (parent, id) of a forest, read from either end.
+
+    Each step reaches twice as far: what lies within 2^k edges, and what lies
+    2^k edges beyond that. A way of n edges takes log n steps; where a node has
+    many parents and many children the far edges would be too many, which
+    descendants is for.
+    """
+    far = cut_lineage(edges.where("parent is not null and id is not null").select("parent", "id").distinct())
+    found = cut_lineage(seeds.select("id").distinct().withColumn("depth", F.lit(0)))
+    had = found.count()
+    for step in range(most):
+        beyond = far.join(found.select(F.col("id").alias("parent"), "depth"), "parent").select("id", (F.col("depth") + (1 << step)).alias("depth"))
+        found = cut_lineage(found.unionByName(beyond).groupBy("id").agg(F.min("depth").alias("depth")))
+        now = found.count()
+        if now == had:
+            return found
+        had = now
+        far = cut_lineage(far.withColumnRenamed("id", "mid").join(far.withColumnRenamed("parent", "mid"), "mid").select("parent", "id").distinct())
+    raise RuntimeError(f"a way is longer than 2^{most} edges")
+
+
+def ancestors(nodes: DataFrame, seeds: DataFrame) -> DataFrame:
     """(id, depth) of the seeds and everything above them."""
-    turned = nodes.select(F.col("id").alias("parent"), F.col("parent").alias("id"))
-    return descendants(turned, seeds, most)
+    return doubled(nodes.select(F.col("id").alias("parent"), F.col("parent").alias("id")), seeds)
 
 
 def roots(nodes: DataFrame) -> DataFrame:
@@ -81,7 +102,7 @@ def orphans(nodes: DataFrame) -> DataFrame:
     """Nodes whose parent is missing and all below them."""
     known = nodes.select(F.col("id").alias("parent")).distinct()
     lost = nodes.where("parent is not null").join(known, "parent", "left_anti").select("id")
-    return descendants(nodes, lost)
+    return doubled(nodes, lost)
 
 
 def ordered_tree(nodes: DataFrame, seeds: DataFrame, order: str, most: int = 200) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.scalars import SAFE
+from .order import placed
 
 TOKENS = ("input", "output", "cache_read", "cache_write", "cache_write_1h", "reasoning")
 #: Billed fields, each with its rate column and its tokens.
@@ -191,8 +192,8 @@ def rank(usage: DataFrame, prices: DataFrame, key: str, sort: str = "tokens") ->
     name = F.to_json(F.array("provider", "model")) if key == "model" else F.coalesce("cwd", F.lit(""))
     rows = out.withColumn("key", name).withColumn("total", F.when(~F.col("overflow"), total_tokens()))
     value = F.col("total") if sort == "tokens" else F.when(F.col("total").isNotNull(), F.col("known"))
-    place = F.row_number().over(W.orderBy(F.col("total").isNull(), value.desc_nulls_last(), "key"))  # a row a group
-    return rows.select(place.cast("long").alias("place"), "key", "sessions", "total", "known")
+    rows = rows.select("key", "sessions", "total", "known", value.alias("value"))
+    return placed(rows, F.col("total").isNull(), F.desc_nulls_last("value"), F.asc("key")).select("place", "key", "sessions", "total", "known")
 
 
 def price_catalog(usage: DataFrame, prices: DataFrame) -> DataFrame:

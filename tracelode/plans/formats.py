@@ -192,6 +192,12 @@ def stream_revisions(spark, d) -> DataFrame:
     return _streamed(S.revisions(revised))
 
 
+def stream_runs(spark, d) -> DataFrame:
+    schema = table(spark, d, "conversations").schema
+    turns = spark.readStream.schema(schema).parquet(f"{d}/conversations.parquet*")
+    return _streamed(S.joined_chunks(turns.select(F.col("conv_id").cast("string").alias("key"), F.col("turn").alias("line_no"), F.col("role").alias("kind"), "text")))
+
+
 def _dated(spark, d) -> tuple[DataFrame, DataFrame]:
     e = table(spark, d, "events").select(F.when(F.col("event_id") % 50 != 0, F.col("ts").cast("timestamp")).alias("ts"), F.get_json_object("props", "$.k").cast("long").alias("tokens"))
     return S.split_undated(e, F.col("ts"))
@@ -222,6 +228,7 @@ QUERIES = {
     "history_append": history_append,
     "stream_appended": stream_appended,
     "stream_revisions": stream_revisions,
+    "stream_runs": stream_runs,
     "window_days": window_days,
     "window_weeks": window_weeks,
 }
@@ -269,6 +276,9 @@ ORACLES = {
     "stream_revisions": """with e as (select cast(user_id as varchar) as key, cast(floor(epoch(ts)) as bigint) // 3600 as "at", event_id % 3 as tokens from events),
       n as (select *, row_number() over (partition by key, "at" order by tokens) as nth, min(tokens) over (partition by key, "at") as least from e)
       select key, "at", tokens, case when nth = 1 then 'kept' else 'late' end as what from n where nth = 1 or tokens <> least""",
+    "stream_runs": f"""{_T}, k as (select *, coalesce((role <> lag(role) over (partition by session order by idx))::int, 1) as new from transcript),
+      r as (select *, sum(new) over (partition by session order by idx) as run from k)
+      select cast(session as varchar) as key, min(idx) as first, any_value(role) as kind, string_agg(text, '' order by idx) as text from r group by session, run qualify run < max(run) over (partition by session)""",
     "window_days": f"{_D} select strftime(ts, '%Y-%m-%d') as start, count(*) as n, cast(sum(k) as bigint) as tokens from e where ts is not null group by 1 union all select null, count(*), cast(sum(k) as bigint) from e where ts is null",
     "window_weeks": f"{_D} select strftime(date_trunc('week', ts), '%Y-%m-%d') as start, count(*) as n, cast(sum(k) as bigint) as tokens from e where ts is not null group by 1",
 }

@@ -189,6 +189,35 @@ def revisions(rows: DataFrame) -> DataFrame:
     return rows.groupBy("key").applyInPandasWithState(_newest, "key string, at long, tokens long, what string", "at long, tokens long", "append", GroupStateTimeout.NoTimeout)
 
 
+def _joined(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Runs of a key that a row of another kind has closed; the open one waits in the state, lines seen before are passed over."""
+    last, first, kind, text = state.get if state.exists else (-1, -1, None, "")
+    out, parts = [], [text]
+    for row in pd.concat(list(batches)).sort_values("line_no").itertuples():
+        if row.line_no <= last:
+            continue
+        now = row.kind if isinstance(row.kind, str) else None
+        if now != kind:
+            if kind is not None:
+                out.append((*key, first, kind, "".join(parts)))
+            first, kind, parts = int(row.line_no), now, []
+        parts.append(row.text if isinstance(row.text, str) else "")
+        last = int(row.line_no)
+    state.update((last, first, kind, "".join(parts)))
+    yield pd.DataFrame(out, columns=["key", "first", "kind", "text"])
+
+
+def joined_chunks(rows: DataFrame) -> DataFrame:
+    """(key, first, kind, text) of a stream of (key, line_no, kind, text): neighbouring chunks of one kind as one text.
+
+    A run is given out once a row of another kind follows, in the same batch or
+    a later one; a row without a kind closes a run and starts none. Lines of a
+    key come in order from batch to batch, as a log is appended to.
+    """
+    state = "last long, first long, kind string, text string"
+    return rows.groupBy("key").applyInPandasWithState(_joined, "key string, first long, kind string, text string", state, "append", GroupStateTimeout.NoTimeout)
+
+
 def by_day(rows: DataFrame, ts: str = "ts", late: str = "10 minutes") -> DataFrame:
     """Counts and tokens by UTC day of a stream or a table; late rows beyond the watermark go."""
     return rows.withWatermark(ts, late).groupBy(F.window(ts, "1 day").alias("w")).agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens")).select(F.col("w.start").alias("start"), "n", "tokens")
