@@ -86,3 +86,11 @@ def test_as_many_bins_as_plain_best_fit(spark):
 
 def test_empty_table(spark):
     assert S.pack(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_a_very_long_text_is_packed_to_its_end(spark):
+    docs = [(1, "word " * 200_000 + "end", "a"), (2, "short one", "a"), (3, "word " * 200_000 + "END", "b"), (4, "x" * 500_000, "b")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    got = S.pack(df, room=1_000, per_shard=100).collect()
+    check(got, docs, 1_000)
+    assert sum(r.n_tokens for r in got if r.doc_id == 1) == 200_001

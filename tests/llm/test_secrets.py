@@ -62,3 +62,10 @@ def test_redact_keeps_rows_and_columns(spark):
     docs = spark.createDataFrame([(1, "é token=abcdefghijklmnop end", 28), (2, None, None), (3, "clean", 5)], "doc_id long, text string, n_chars long")
     assert S.redact(docs).orderBy("doc_id").collect() == [(1, "é <secret> end", 14), (2, None, None), (3, "clean", 5)]
     assert S.redact(docs.limit(0)).count() == 0
+
+
+def test_spans_of_a_very_long_text(spark):
+    text = "".join(f"é{i} token={'k' * 12}{i}\n日 {'ab' * 9} " for i in range(20_000))
+    (r,) = S.find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert r.spans == [f"{k}:{a}:{b}" for k, a, b in plain(text)]
+    assert len(r.spans) == 40_000

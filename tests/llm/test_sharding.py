@@ -18,6 +18,31 @@ def test_two_parts_by_hand():
     assert sorted(sum(w for w, s in zip((8, 7, 6, 5, 4), sides) if s == k) for k in (0, 1)) == [14, 16]
 
 
+def plain_difference(weights, parts):
+    """The method on lists that are sorted anew at every step; sums and what is in them."""
+    nodes = [(k, sorted([(w, [k])] + [(0, []) for _ in range(parts - 1)], key=lambda x: -x[0])) for k, w in enumerate(weights)]
+    made = len(nodes)
+    while len(nodes) > 1:
+        nodes.sort(key=lambda n: (n[1][-1][0] - n[1][0][0], n[0]))
+        (_, a), (_, b), *nodes = nodes
+        joined = [(x[0] + y[0], x[1] + y[1]) for x, y in zip(a, reversed(b))]
+        nodes.append((made, sorted(joined, key=lambda x: -x[0])))
+        made += 1
+    return nodes[0][1]
+
+
+def test_shards_equal_plain_differencing(spark):
+    """One level: each shard's bytes are those of the method on the groups of equal texts, heaviest first."""
+    rng = random.Random(12)
+    rows = [(i, f"{i} " + "x" * rng.randint(0, 900)) for i in range(300)] + [(1000 + i, f"copy {i % 5}") for i in range(40)] + [(2000, None), (2001, "long " * 60_000)]
+    got = S.shard(spark.createDataFrame(rows, "doc_id long, text string"), shards=5, per_bucket=4096).collect()
+    groups = {}
+    for _, t in rows:
+        groups[t or ""] = groups.get(t or "", 0) + len((t or "").encode()) + 8
+    want = sorted(n for n, _ in plain_difference(sorted(groups.values(), reverse=True), 5))
+    assert sorted(loads(got, 5)) == want
+
+
 def test_parts_stay_apart():
     rng = random.Random(3)
     members = [[rng.randrange(100) for _ in range(5)] for _ in range(40)]
