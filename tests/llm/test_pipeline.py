@@ -28,7 +28,7 @@ def fixture(spark, tmp_path_factory):
         (9006, f"here is password = abcdefgh12345678 and {'a1' * 20} ends", "en", "p", 1),
         (9007, None, None, None, None),
         (9008, "", "en", "p", 0),
-        (9009, " ".join(f"long{i}" for i in range(5_000)), "en", "r", 1),
+        (9009, " ".join(f"long{i}" for i in range(60_000)), "en", "r", 1),
     ]
     spark.createDataFrame([tuple(r) for r in rows] + more, docs.schema).write.parquet(f"{where}/documents.parquet")
     for t in ("labels", "benchmark"):
