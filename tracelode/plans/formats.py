@@ -18,7 +18,7 @@ from ..sources import agents as A
 from ..sources import jsonl as J
 from ..sources import sinks as K
 from ..streaming import live as S
-from .tables import TRANSCRIPT, transcript
+from .tables import SESSIONS, TRANSCRIPT, sessions, transcript
 
 
 def _folder(spark, kind: str) -> str:
@@ -148,6 +148,57 @@ def codex_brief(spark, d) -> DataFrame:
     return A.codex_briefs(_read(spark, path)).select(_session(), "id", "cwd", "model_provider", "created_at", "updated_at", "tokens_used", "first_user_message")
 
 
+def history_log(spark, d) -> DataFrame:
+    """Ids under three names, the ones before blank."""
+    third = F.col("idx") % 3
+    value = _row(sessionId=F.when(third == 0, F.concat(F.lit("a"), "session")).otherwise(" "), session_id=F.when(third == 1, F.concat(F.lit(" b"), "session")), id=F.concat(F.lit("c"), "idx"))
+    path = _logs(transcript(spark, d).select("session", F.col("idx").alias("line"), value.alias("value")), "session")
+    return A.history_ids(_read(spark, path)).select(_session(), F.col("line_no").cast("long").alias("idx"), F.col("session").alias("name"))
+
+
+def numstat_log(spark, d) -> DataFrame:
+    """A file a role, changed at every turn; every fourth turn it is a binary one."""
+    binary = F.col("idx") % 4 == 3
+    value = F.concat_ws("\t", F.when(binary, "-").otherwise(F.length("text").cast("string")), F.when(binary, "-").otherwise(F.col("idx").cast("string")), F.concat("role", F.lit(".txt")))
+    path = _logs(transcript(spark, d).select("session", F.col("idx").alias("line"), value.alias("value")), "session")
+    return A.numstat(J.lines(spark, path, "*.txt")).select(_session(), "files", "added", "deleted", F.array_join("names", ",").alias("names"))
+
+
+def pi_log(spark, d) -> DataFrame:
+    """Every turn with a dead branch before it."""
+    t = transcript(spark, d).withColumn("parent", F.lag("idx").over(W.partitionBy("session").orderBy("idx")))
+    each = t.select("*", F.explode(F.array(F.lit("dead"), F.lit("n"))).alias("kind"))
+    value = _row(type=F.lit("message"), id=F.concat("kind", "idx"), parentId=F.when(F.col("parent").isNotNull(), F.concat(F.lit("n"), "parent")), message=F.struct("role", F.col("text").alias("content")))
+    line = F.col("idx") * 2 + (F.col("kind") == "n").cast("int")
+    path = _logs(each.select("session", line.alias("line"), value.alias("value")), "session")
+    return A.pi_events(_read(spark, path)).select(_session(), F.floor(F.col("line_no") / 2).alias("idx"), "role", "text")
+
+
+def copilot_log(spark, d) -> DataFrame:
+    """Every turn twice under one id; answers of every fourth session are a hidden agent's."""
+    kind = F.when(F.col("role") == "system", "session.info").otherwise(F.concat("role", F.lit(".message")))
+    hidden = F.when((F.col("session") % 4 == 0) & (F.col("role") == "assistant"), "task")
+    each = transcript(spark, d).select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("again"))
+    value = _row(type=kind, id=F.concat(F.lit("e"), "idx"), data=F.struct(F.concat("text", F.when(F.col("again") == 1, " again").otherwise("")).alias("content"), hidden.alias("parentAgentTaskId")))
+    path = _logs(each.select("session", (F.col("idx") * 2 + F.col("again")).alias("line"), value.alias("value")), "session")
+    return A.copilot_events(_read(spark, path)).select(_session(), "id", "role", "text")
+
+
+def antigravity_log(spark, d) -> DataFrame:
+    mine = F.col("role") == "user"
+    kind = F.when(mine, "USER_INPUT").when(F.col("role") == "assistant", "PLANNER_RESPONSE").otherwise("NOTE")
+    said = F.when(mine, F.concat(F.lit("<USER_REQUEST>\n"), "text", F.lit("\n</USER_REQUEST> more"))).otherwise(F.col("text"))
+    value = _row(step_index=F.col("idx"), type=kind, source=F.when(F.col("role") == "system", "SYSTEM").otherwise("MODEL"), created_at=_stamp(_at()), content=said, truncated_fields=F.when(F.col("idx") % 3 == 0, F.array(F.lit("content"))))
+    path = _logs(transcript(spark, d).select("session", F.col("idx").alias("line"), value.alias("value")), "session")
+    return A.antigravity_events(_read(spark, path)).select(_session(), "idx", "at", "role", "text", "cut")
+
+
+def exported_sessions(spark, d) -> DataFrame:
+    path = _folder(spark, "export")
+    K.export_sessions(sessions(spark, d), path, 700_000_000, 900_000_000)
+    return spark.read.parquet(path).select("provider", "id", "title", "tokens_used", "updated_at")
+
+
 def usage_csv(spark, d) -> DataFrame:
     e = table(spark, d, "events")
     daily = e.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("date")).agg(F.count("*").alias("tokens"))
@@ -222,6 +273,12 @@ QUERIES = {
     "qwen_log": qwen_log,
     "dsh_log": dsh_log,
     "codex_brief": codex_brief,
+    "history_log": history_log,
+    "numstat_log": numstat_log,
+    "pi_log": pi_log,
+    "copilot_log": copilot_log,
+    "antigravity_log": antigravity_log,
+    "exported_sessions": exported_sessions,
     "usage_csv": usage_csv,
     "markdown_export": lambda spark, d: K.markdown(transcript(spark, d)),
     "upserted_rows": upserted_rows,
@@ -263,6 +320,12 @@ ORACLES = {
     "codex_brief": f"""{_T}, t as (select *, {_TM} as tm from transcript where idx < 2 or role <> 'system')
       select session, 'c' || session as id, '/w/p' || (session % 10) as cwd, case when session % 2 = 0 then 'own' else 'openai' end as model_provider, min(tm) as created_at, max(tm) as updated_at,
         coalesce(arg_max(idx * 10, idx) filter (role = 'assistant'), 0) as tokens_used, coalesce(left(arg_min(trim(text), idx) filter (role = 'user'), 200), '') as first_user_message from t group by session""",
+    "history_log": f"{_T} select session, idx, case idx % 3 when 0 then 'a' || session when 1 then 'b' || session else 'c' || idx end as name from transcript",
+    "numstat_log": f"{_T} select session, count(distinct role) as files, cast(coalesce(sum(case when idx % 4 <> 3 then length(text) end), 0) as bigint) as added, cast(coalesce(sum(case when idx % 4 <> 3 then idx end), 0) as bigint) as deleted, string_agg(distinct role || '.txt', ',' order by role || '.txt') as names from transcript group by 1",
+    "pi_log": f"{_T} select session, idx, case when role = 'system' then 'meta' else role end as role, case when role = 'system' then '' else text end as text from transcript",
+    "copilot_log": f"{_T} select session, 'e' || idx as id, case when role = 'user' or role = 'assistant' and session % 4 <> 0 then role else 'meta' end as role, text from transcript",
+    "antigravity_log": f"{_T} select session, idx, {_TM} as at, case when role = 'system' then 'meta' else role end as role, case when role = 'user' then trim(text, ' ' || chr(9) || chr(10) || chr(13)) else text end as text, idx % 3 = 0 as cut from transcript",
+    "exported_sessions": f"with {SESSIONS} select provider, id, title, tokens_used, updated_at from sessions where not archived and updated_at >= 700000000 and updated_at < 900000000",
     "usage_csv": f"""with d as (select strftime(ts, '%Y-%m-%d') as date, count(*) as n from events group by 1),
       u as (select user_id, count(*) as n, case user_id % 4 when 0 then '''=1+' when 1 then ' "-' when 2 then 'plain ' else '''' || chr(9) || '@' end || user_id as note from events group by 1)
       select -1::bigint as section, 0::bigint as at, chr(65279) || '"record_type","date","tokens","sessions","note"' || chr(13) as line
