@@ -5,6 +5,7 @@ from __future__ import annotations
 from .ann import op1_ann
 from .codebooks import OP13_SQL, op13_codebooks
 from .decontam import op7_decontam
+from .merkle import OP12_SQL, op12_merkle
 from .packing import op6_packing
 from .pii import op9_pii
 from .secrets import OP3_SQL, op3_secrets
@@ -25,7 +26,8 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_pii": op9_pii,
     "op10_simhash": op10_simhash,
+    "op12_merkle": op12_merkle,
     "op13_codebooks": op13_codebooks,
 }
 
-ORACLES: dict[str, str] = {"op3_secrets": OP3_SQL, "op13_codebooks": OP13_SQL}
+ORACLES: dict[str, str] = {"op3_secrets": OP3_SQL, "op12_merkle": OP12_SQL, "op13_codebooks": OP13_SQL}
