@@ -109,8 +109,8 @@ def fold(node: str, path: list[str]) -> str:
 def numbered(rows: DataFrame, tree: str, order: list[str]) -> DataFrame:
     """rows with ``at``, their place within their tree by the order, nulls first, and ``total``, the tree's number of rows.
 
-    Rows are dealt out by ranges of tree and order, and then by where they were
-    read, so that a tree or a run of equal rows of any size is spread. The place is that
+    rows are read twice, once for the ranges. They are dealt out by ranges of tree
+    and order, and then by where they were read, so that a tree or a run of equal rows of any size is spread. The place is that
     within the partition plus what partitions before hold of the tree.
     """
     by = [F.col(c).asc_nulls_first() for c in (tree, *order, "read")]
@@ -200,7 +200,7 @@ def manifest(rows: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     tree = F.when(F.col(source_col).isNull(), "").otherwise(F.concat(F.lit("="), F.col(source_col).cast("string")))
     leaf = leaf_of(F.col(c) for c in fields)
     read = rows.select(F.col(id_col).cast("long").alias("id"), tree.alias("tree"), leaf.alias("node"), F.when(tampered, leaf_of(changed)).otherwise(leaf).alias("now"))
-    leaves = stash(numbered(read, "tree", ["id", "node"]), "leaves")
+    leaves = stash(numbered(stash(read, "digests"), "tree", ["id", "node"]), "leaves")
     blocks = stash(block_paths(leaves, height), "above")
     subroots = numbered(blocks.where("block = 0").select(F.col("tree").alias("name"), F.lit("").alias("tree"), F.col("root").alias("node")), "tree", ["name"])
     subroots = stash(subroots, "subroots")
