@@ -32,8 +32,8 @@ from .simhash import shingle_set
 SHINGLE, SIMILAR = 4, (80, 100)
 #: Bands and minima of a band; two sets at the threshold miss all bands once in 2e7.
 BANDS, ROWS = 32, 4
-#: The same of the finer bands, for groups that the first ones leave apart: once in 8e7. Sets of similarity 0.8 share 18 of them on the average, of 0.5 hardly one in a hundred shares any.
-FINE_BANDS, FINE_ROWS = 640, 16
+#: The same of the finer bands, for groups that the first ones leave apart: once in 8e7. Of sets of similarity 0.5 one pair in sixteen shares one of them.
+FINE_BANDS, FINE_ROWS = 256, 12
 #: Minima compared at once, and the posterior probability of reaching the threshold below which a pair is dropped.
 BATCH, MISS = 32, 1e-9
 #: Sets with a band that are compared pair by pair.
@@ -211,11 +211,20 @@ class _Search:
         return rows.join(ends.groupBy("node").agg((-F.count("*")).alias("degree")), "node", "left").withColumn("rank", F.coalesce("degree", F.lit(0))).drop("degree")
 
     def meet(self, rows: DataFrame) -> DataFrame:
-        """Compare within the groups of rows (key, node, n, root, rank); rows of large groups are returned."""
+        """Compare within the groups of rows (key, node, n, root, rank); rows (key, node, n) of large groups still apart are returned.
+
+        Each with the hub of its group first, which settles families of near
+        copies. Then, in groups still apart, all pairs of the small ones and
+        each of a large one with its most linked member.
+        """
+        groups = stash(_groups(rows), "groups")
+        self.add(_stars(rows, groups))
+        met = stash(among(rows.select("key", "node", "n"), groups.select("key"), "key"), "met")
+        rows = self.by_links(self.apart(met))
         groups = stash(_groups(rows), "groups")
         large = groups.where(F.col("size") > FEW)
         self.add(_small_groups(rows, large).unionByName(_stars(rows, large)))
-        return stash(among(rows.select("key", "node", "n"), large.select("key"), "key"), "many")
+        return self.apart(among(met, large.select("key"), "key"))
 
     def apart(self, many: DataFrame) -> DataFrame:
         """Those of many (key, node, n) whose group is still in different components."""
@@ -225,23 +234,15 @@ class _Search:
     def run(self) -> DataFrame | None:
         """(node, root) of every node with a link, None without any."""
         coarse = self.distinct.select("node", "n", F.explode(_bands("sig")).alias("key")).withColumn("root", F.col("node")).withColumn("rank", F.xxhash64("node", "key"))
-        many = self.meet(coarse)
-        for finer in (False, True):
-            if finer:
-                sets = self.sets_of(stash(open_.select("node").distinct(), "asked"))
-                with batches_of(sets.sparkSession, TEXTS):
-                    fine = stash(sets.select("node", F.size("set").alias("n"), F.explode(_fine_bands("set")).alias("key")), "fine")
-                many = self.meet(self.rooted(fine))
-            open_ = self.apart(many)
-            if open_.isEmpty():
-                return self.roots
-            rows = self.by_links(open_)
-            self.add(_stars(rows, stash(_groups(rows), "groups")))
-            open_ = self.apart(many)
-            if open_.isEmpty():
-                return self.roots
-        other = open_.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("of"))
-        self.add(open_.join(other, "key").where("node > b and root <> of").where(_sized("n", "m")).select(F.col("node").alias("a"), "b"))
+        left = self.meet(coarse)
+        if not left.isEmpty():
+            sets = self.sets_of(stash(left.select("node").distinct(), "asked"))
+            with batches_of(sets.sparkSession, TEXTS):
+                fine = stash(sets.select("node", F.size("set").alias("n"), F.explode(_fine_bands("set")).alias("key")), "fine")
+            left = self.meet(self.rooted(fine))
+        if not left.isEmpty():
+            other = left.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("of"))
+            self.add(left.join(other, "key").where("node > b and root <> of").where(_sized("n", "m")).select(F.col("node").alias("a"), "b"))
         return self.roots
 
 
