@@ -62,7 +62,7 @@ def test_against_comparing_all(spark, most):
         for name, item in items:
             item = D.plain(item)
             body = D.plain(text)
-            if len(item) >= D.SHORTEST and len(body) < 50_000:
+            if item and len(body) < 50_000:
                 d, end = best_by_table(item, body)
                 if d <= len(item) * 5 // 100:
                     want.append((i, name, d, end))
@@ -70,10 +70,24 @@ def test_against_comparing_all(spark, most):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
-def test_short_items_are_found_as_whole_words(spark):
-    items = spark.createDataFrame([(1, "The  cat"), (2, "?"), (3, "x")], "item_id long, text string")
-    docs = spark.createDataFrame([(1, "so the cat sat"), (2, "bathe cats"), (3, "the\ncat"), (4, "why?"), (5, "xx"), (6, "an x")], "doc_id long, text string")
-    assert sorted(map(tuple, D.leaks(docs, items).collect())) == [(1, 1, 0, 10), (3, 1, 0, 7), (4, 2, 0, 4), (6, 3, 0, 4)]
+def test_items_of_every_length_by_one_rule(spark):
+    """5 to 60 characters: under 20 without edits, from 20 with one, and so on; parts of words count."""
+    rng = random.Random(5)
+    letters = "abcdefgh "
+    items = [(n, "".join(rng.choice(letters) for _ in range(n)).strip() or "abcde") for n in range(5, 61)]
+    rows = [(i, rng.choice(letters) * rng.randint(0, 3) + edited(rng, D.plain(rng.choice(items)[1]), rng.choice([0, 0, 1, 1, 2, 3])).upper() + "x" * rng.randint(0, 4)) for i in range(400)]
+    rows += [(1_000, "Abcdefghijklmnopqrstuvx"), (1_001, "xabcdefghij klmnopqrsty")]
+    items += [(61, "abcdefghijklmnopqrstu"), (62, "abcdefghij klmnopqrst"), (63, "The  cat")]
+    got = D.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = []
+    for i, text in rows:
+        for name, item in items:
+            item = D.plain(item)
+            d, end = best_by_table(item, D.plain(text))
+            if d <= len(item) * 5 // 100:
+                want.append((i, name, d, end))
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert {(1_000, 61), (1_001, 62)} <= {(w[0], w[1]) for w in want} and len(want) > 150 and {w[2] for w in want} >= {0, 1, 2}
 
 
 def test_drop_leaking_and_empty_tables(spark):

@@ -91,7 +91,7 @@ def test_run_is_what_the_plain_stages_give(spark, fixture):
     for r in rows:
         text = " ".join((r.text or "").lower().split())
         have = grams(text)
-        if not any(len(item) >= 24 and len(g & have) >= len(g) - 3 * (len(item) * 5 // 100) and occurs(item, text) for item in items for g in [grams(item)]):
+        if not any(len(g & have) >= len(g) - 3 * (len(item) * 5 // 100) and occurs(item, text) for item in items for g in [grams(item)]):
             kept.append(r)
     found = corpus_pipeline.run(spark, fixture).collect()
     assert {r.doc_id for r in found} == {r.doc_id for r in kept}

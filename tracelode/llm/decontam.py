@@ -21,8 +21,6 @@ from .common import documents
 
 #: Edits allowed for a hundred characters of an item.
 PERCENT = 5
-#: An item with fewer characters is found without edits only, and as whole words.
-SHORTEST = 24
 #: Bytes of items that one pass looks for; more items take more passes.
 PASS_BYTES = 4_000_000
 
@@ -33,13 +31,8 @@ def plain(text: str | None) -> str:
 
 
 def budget(item: str, percent: int = PERCENT) -> int:
-    return len(item) * percent // 100 if len(item) >= SHORTEST else 0
-
-
-def apart(text: str, start: int, end: int) -> bool:
-    """Whether the stretch neither begins nor ends inside a word."""
-    inside = lambda a, b: a.isalnum() and b.isalnum()
-    return not (start and inside(text[start - 1], text[start]) or end < len(text) and inside(text[end - 1], text[end]))
+    """Edits that an item may differ by, by one rule for every length."""
+    return len(item) * percent // 100
 
 
 def pieces(item: str, k: int) -> list[tuple[int, str]]:
@@ -102,8 +95,6 @@ class Matcher:
             for at, place in where:
                 _, item, k = self.items[at]
                 start = end + 1 - size - place
-                if len(item) < SHORTEST and not apart(text, start, end + 1):
-                    continue
                 a, b = max(0, start - k), min(len(text), start + len(item) + k)
                 spans = windows.setdefault(at, [])
                 if spans and a <= spans[-1][1] and a >= spans[-1][0]:
@@ -140,10 +131,10 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
     Texts and items are compared in lower case with single blanks. An item of m
     characters occurs where some stretch is within m * percent // 100 edits of
-    it; distance is the least of all stretches, end where the first of those
-    ends, in characters of the compared text. An item under SHORTEST characters
-    occurs only without edits and as whole words. Null texts and items and
-    blank items match nothing; texts are read to their end. Repeated rows are told apart by
+    it, be the item long or short and the stretch part of a word or not; distance
+    is the least of all stretches, end where the first of those ends, in
+    characters of the compared text. Null texts and items and blank items match
+    nothing; texts are read to their end. Repeated rows are told apart by
     nothing and give the same pairs again; a null id stays null. Empty tables
     give an empty result; other columns are not looked at.
     """
