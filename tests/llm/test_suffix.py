@@ -80,8 +80,16 @@ def test_small_table_at_full_depth(spark):
     texts = {r.doc_id: r.text.encode() for r in docs.collect()}
     got = {r[0]: tuple(r[1:]) for r in S.op2_suffix(spark, "/root/testdata/sf0.001").collect()}
     data = list(texts.values())
-    want = [(*row, passages[1]) for row, passages in zip(plain(data, 400), plain(data, 256), strict=True)]
-    assert got == dict(zip(texts, want, strict=True))
+    assert got == dict(zip(texts, plain(data, 400), strict=True))
+
+
+def test_a_text_of_a_megabyte(spark):
+    rng = random.Random(10)
+    long = "".join(rng.choices("abcdefghij klmnop", k=1_000_000))
+    other = "".join(rng.choices("abcdefghij klmnop", k=2_000))
+    rows = [(1, long), (2, other + long[400_000:401_000]), (3, long[999_600:] + other[:399]), (4, other[:500])]
+    got = {r.doc_id: (r.n_bytes, list(r.spans)) for r in S.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1_000_000, [400_000, 401_000, 999_600, 1_000_000]), 2: (3_000, [0, 500, 2_000, 3_000]), 3: (799, [0, 400]), 4: (500, [0, 500])}
 
 
 def test_bytes_in_repeated_passages(spark):
