@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..operators import folds, project as L
 from ..session import table
@@ -54,6 +55,15 @@ def _images(spark, d):
     return t.select("session", "idx", F.array_join(L.attachments(text), "|").alias("paths"))
 
 
+def _without_images(spark, d):
+    """Messages with images that name a path or none, below a list of files or not."""
+    t = transcript(spark, d)
+    files = F.when(F.col("idx") % 3 == 0, F.lit("# Files mentioned by the user:\n- a\n")).otherwise("")
+    image = F.when(F.col("idx") % 2 == 0, F.lit("<image name=[x] path='/a b'>\n</image>")).otherwise("<image foo></image>")
+    text = F.concat(files, F.lit("x"), image, F.lit("\n## my request for codex: \n"), "role", F.lit(" asks"))
+    return t.select("session", "idx", L.without_attachments(text).alias("text"))
+
+
 def _cwd(spark, d):
     e = table(spark, d, "events")
     kind = F.when(F.col("event_type") == "signup", "session").when(F.col("event_type") == "click", "turn").otherwise("other")
@@ -79,6 +89,52 @@ def _origins(spark, d):
 
 
 def _counters(spark, d):
+    """A log a user, with a new session a day and nine ways to tell an event's usage, by event_id % 9.
+
+    0: counter, input, response of the thread's total; 1, 2: counter and
+    response, in either order; 3: a counter twice; 4: two counters, and the
+    first again later; 5: a last usage that can't be read; 6: the runtime begins
+    anew; 7: a response and its revision; 8: a compaction. Each fourth event
+    begins one of three turns, and all but each eighth name a model there.
+    """
+    e = table(spark, d, "events").withColumns({"way": F.col("event_id") % 9, "used": (F.col("event_id") + 1) * 1_000, "day": F.to_date("ts"), "second": F.date_trunc("second", "ts")})
+    order = W.partitionBy("user_id", "day").orderBy("event_id")
+    e = e.withColumn("fresh", F.sum((F.col("way") == 6).cast("long")).over(order)).withColumn("opens", F.row_number().over(order) == 1)
+    since = W.partitionBy("user_id", "day", "fresh").orderBy("event_id")
+    e = e.withColumns({"high": F.sum(F.when(F.col("way") < 7, F.col("used"))).over(since), "calls": F.sum(F.when(F.col("way") < 7, 1)).over(since)})
+    at = lambda seconds: F.date_format(F.col("second") + F.expr(f"interval {seconds} seconds"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    none, way = F.lit(None), F.col("way")
+
+    def line(nth, when, kind, seconds=0, session=none, turn=none, model=none, response=none, total=(none, none), last=(none, none), has_last=False):
+        counts = {f"{p}_{c}": (given[k] if k < 2 else F.when(given[0].isNotNull(), 0)) for p, given in (("total", total), ("last", last)) for k, c in enumerate(folds.COUNTERS)}
+        texts = {"session": session, "turn": turn, "model": model, "response": response}
+        fields = [F.lit(nth).alias("nth"), F.lit(kind).alias("kind"), at(seconds).alias("at"), F.lit(has_last).alias("has_last"), *[v.cast("string").alias(n) for n, v in texts.items()], *[v.cast("long").alias(n) for n, v in counts.items()]]
+        return F.when(when, F.struct(*fields))
+
+    used, total, name = (F.col("used"), F.lit(1)), (F.col("high"), F.col("calls")), F.concat(F.lit("r"), "event_id")
+    less = lambda pair: (pair[0] - 1, pair[1])
+    lines = [
+        line(0, F.col("opens"), "session", session=F.col("day")),
+        line(1, F.col("event_id") % 4 == 0, "turn", turn=F.col("event_id") % 3, model=F.when(F.col("event_id") % 8 == 0, F.col("event_type"))),
+        line(2, way == 2, "response", response=name, last=used),
+        line(3, way.isin(0, 1, 2, 3, 6), "counter", total=total, last=used, has_last=True),
+        line(3, way == 4, "counter", total=less(total), last=less(used), has_last=True),
+        line(3, way == 5, "counter", total=total, has_last=True),
+        line(4, way == 3, "counter", total=total, last=used, has_last=True),
+        line(4, way == 4, "counter", total=total, last=(F.lit(1), F.lit(0)), has_last=True),
+        line(5, way == 4, "counter", seconds=9, total=less(total), last=less(used), has_last=True),
+        line(5, way == 0, "input"),
+        line(6, way == 0, "response", response=name, total=total, last=used),
+        line(6, way == 1, "response", response=name, last=used),
+        line(6, way == 7, "response", response=name, last=less(used)),
+        line(7, way == 7, "response", seconds=1, response=name, last=used),
+        line(8, way == 8, "compaction", response=name, last=used),
+    ]
+    rows = e.select(F.col("user_id").cast("string").alias("path"), "event_id", F.explode(F.array_compact(F.array(*lines))).alias("l"))
+    return folds.counter_fold(rows.select("path", (F.col("event_id") * 10 + F.col("l.nth")).alias("line_no"), "l.*"))
+
+
+def _restarts(spark, d):
     """Counters that grow through a user's events and fall now and then; each fifth line names a model."""
     e = table(spark, d, "events")
     step = F.col("event_id") % 50
@@ -128,7 +184,7 @@ def _comments(spark, d):
     head = F.when(F.col("idx") % 3 != 0, F.lit("# Diff comments:\n\n")).otherwise("no ")
     first = F.concat(F.lit("## Comment 4\nFile: browser:a/"), "idx", F.lit(" Lines: 3-9\nComment:\n "), "role", F.lit(" asks\n\n"))
     text = F.concat(head, F.when(F.col("idx") % 3 == 1, F.concat(first, F.lit("**Comment 5**\nno body here\n"))).otherwise(""), F.lit("\n## My request for Codex:\n\ndo "), "role", F.lit("\n<image></image>"))
-    rows = t.select("session", "idx", L.diff_comments(text).alias("p")).where("p is not null").select("session", "idx", "p.request", F.explode("p.comments").alias("c"))
+    rows = L.diff_comments(t.select("session", "idx", text.alias("text"))).select("session", "idx", "request", F.explode("comments").alias("c"))
     return rows.select("session", "idx", "request", "c.*")
 
 
@@ -143,14 +199,22 @@ QUERIES = {
     "first_prompt_title": lambda spark, d: L.first_prompts(_prompts(spark, d).select(F.col("session").alias("path"), F.col("idx").alias("line_no"), "role", "text")),
     "user_preview": _previews,
     "image_attachments": _images,
+    "message_without_images": _without_images,
     "effective_cwd": _cwd,
     "thread_source": _threads,
     "embedded_request": _embedded,
     "provenance": _origins,
-    "counter_fold": _counters,
+    "counter_fold": lambda spark, d: folds.by_day(_counters(spark, d)).select("path", "date", "model", "input", "output"),
+    "counter_warnings": lambda spark, d: _counters(spark, d).where("warning is not null").select("path", "warning"),
+    "counter_restarts": _restarts,
     "revision_fold": _revisions,
 }
 
+#: Events with the turn that holds, the model named last in it and altogether, and the first event of the day that a counter tells.
+_TOLD = """e as (select *, date_trunc('second', ts) as second, event_id % 9 as way, cast(ts as date) as day, case when event_id % 4 = 0 then event_id % 3 end as begun, case when event_id % 8 = 0 then event_type end as named from events),
+      t as (select *, last_value(begun ignore nulls) over (partition by user_id order by event_id) as turn, last_value(named ignore nulls) over (partition by user_id order by event_id) as latest from e),
+      m as (select *, last_value(named ignore nulls) over (partition by user_id, turn order by event_id) as of_turn, min(case when way < 7 then event_id end) over (partition by user_id, day) as first_call from t)"""
+
 _LINE = f"(case when length({{0}}) > 120 then substr({{0}}, 1, 119) || '…' else {{0}} end)".format("trim(regexp_replace(regexp_extract(text, '^\\s*([^\\n]*)', 1), '\\s+', ' ', 'g'))")
 
 ORACLES = {
@@ -173,12 +237,23 @@ ORACLES = {
     "first_prompt_title": f"with {_PROMPTS} select session as path, {_cut('text', 100)} as title from p where role = 'user' and trim(text) <> '' and not starts_with(ltrim(text), '/') qualify row_number() over (partition by session order by idx) = 1",
     "user_preview": f"with {TRANSCRIPT}, v as (select session, idx, case when idx % 4 = 1 then '' else regexp_replace(text, '^\\s+|\\s+$', '', 'g') end as t from transcript) select session, idx, case when t <> '' then t when session % 2 = 0 then '[Image]' end as preview from v",
     "image_attachments": f"with {TRANSCRIPT} select session, idx, '/a&b/' || idx || '.png' || case when idx % 2 = 0 then '|/c' else '' end as paths from transcript",
+    "message_without_images": f"""with {TRANSCRIPT} select session, idx, case when idx % 6 = 0 then role || ' asks' else case when idx % 3 = 0 then '# Files mentioned by the user:' || chr(10) || '- a' || chr(10) else '' end
+      || 'x' || case when idx % 2 = 1 then '<image foo></image>' else '' end || chr(10) || '## my request for codex: ' || chr(10) || role || ' asks' end as text from transcript""",
     "effective_cwd": """select user_id as path, coalesce(max_by('/' || event_id, event_id) filter (event_type = 'click' and user_id % 3 <> 0 and event_id % 5 <> 0 and user_id % 4 <> 0),
       min_by('/' || event_id, event_id) filter (event_type = 'signup' and event_id % 5 <> 0 and user_id % 4 <> 0)) as cwd from events group by 1""",
     "thread_source": "select event_id, cast(user_id as varchar) as parent, event_id % 4 as depth, '/' || event_type as agent_path from events where event_id % 3 <> 0 and event_id % 4 >= 1 and event_id % 5 <> 0",
     "embedded_request": f"with {TRANSCRIPT} select session, idx, role || ' asks' || chr(10) || 'more' as request from transcript",
     "provenance": "select o_orderpriority as provider, o_orderkey as id, case when o_orderkey % 3 = 0 then 'imported' end as conversion_origin from orders",
-    "counter_fold": """with d as (select user_id, event_id from events where event_id % 5 <> 0 qualify row_number() over (partition by user_id, date_trunc('second', ts), event_id % 50 order by event_id) = 1),
+    "counter_fold": f"""with {_TOLD}
+      select cast(user_id as varchar) as path, strftime(case when way = 7 then second + interval 1 second else second end, '%Y-%m-%d') as date,
+        case when way = 5 and first_call = event_id then '(unknown)' else coalesce(of_turn, latest, '(unknown)') end as model, cast(sum(1000 * (event_id + 1)) as bigint) as input, count(*) as output
+      from m group by 1, 2, 3""",
+    "counter_warnings": f"""with {_TOLD}
+      select cast(user_id as varchar) as path, 'invalid last usage' as warning from m where way = 5 group by user_id
+      union all select cast(user_id as varchar), 'unknown model' from m where way = 5 and first_call = event_id group by user_id
+      union all select cast(user_id as varchar), 'counter reset' from m where way = 6 and first_call < event_id group by user_id
+      union all select cast(user_id as varchar), 'unpaired counters and responses' from m group by user_id having count(*) filter (way = 7) > 0 and count(*) filter (way between 3 and 6) > 0""",
+    "counter_restarts": """with d as (select user_id, event_id from events where event_id % 5 <> 0 qualify row_number() over (partition by user_id, date_trunc('second', ts), event_id % 50 order by event_id) = 1),
       c as (select user_id, event_id, event_id % 50 as step, lag(event_id % 50) over (partition by user_id order by event_id) as was from d),
       s as (select user_id, case when was is null or step < was then step else step - was end as more from c)
       select cast(user_id as varchar) as path, cast(sum(more) as bigint) as input, cast(sum(more) * 2 as bigint) as output from s group by 1 having sum(more) > 0""",
