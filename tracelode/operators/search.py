@@ -53,18 +53,46 @@ def content_search(rows: DataFrame, query: str, per_session: int = PER_SESSION,
     return top.join(F.broadcast(kept), "session", "left_semi").withColumn("snippet", snippet(F.col("text"), query)).drop("text")
 
 
+def _lowered(text: Column) -> tuple[Column, Column]:
+    """Characters in lower case, and where each of a text's characters begins in them, with the end behind the last.
+
+    A character may be longer in lower case, so a place in the lowered text is
+    found again by those sums of widths.
+    """
+    wide = F.length(F.lower(text)) != F.length(text)
+    chars = F.transform(F.split(text, "(?s)(?!^)"), lambda c: F.lower(c))
+    sums = F.aggregate(chars, F.array(F.lit(0)), lambda acc, c: F.array_append(acc, F.element_at(acc, F.lit(-1)) + F.length(c)))
+    # Most texts keep their width; then a place is its own.
+    return F.when(wide, F.array_join(chars, "")).otherwise(F.lower(text)), F.when(wide, sums)
+
+
 def match_ranges(text: Column, query: str) -> Column:
-    """(start, length) of each hit of a query, left to right without overlap, from 0; case of A-Z ignored.
+    """(start, length) of each hit of a query, left to right without overlap, from 0, in the text's own characters.
 
-    An empty query has no hits, a null text a null list.
+    The case of every letter is ignored, and blanks around the query. A hit
+    within a character that is longer in lower case takes it whole, and hits that
+    meet in one character are one range. A blank query has no hits, a null text a null list.
     """
+    query = query.strip().lower()
     n = len(query)
     if not n:
         return F.when(text.isNotNull(), F.array().cast("array<struct<start:int,length:int>>"))
-    gaps = F.transform(F.split(ascii_lower(text), "\\Q" + ascii_fold(query) + "\\E", -1), lambda part: F.length(part))
+    low, sums = _lowered(text)
+    gaps = F.transform(F.split(low, "\\Q" + query + "\\E", -1), lambda part: F.length(part))
     # A hit starts after all gaps before it and as many hits.
     ends = F.aggregate(F.slice(gaps, F.lit(1), F.size(gaps) - 1), F.array().cast("array<int>"), lambda acc, gap: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)) + n, F.lit(0)) + gap)))
-    return F.when(text.isNotNull(), F.transform(ends, lambda at: F.struct(at.alias("start"), F.lit(n).alias("length"))))
+    own = F.transform(ends, lambda at: F.struct(at.alias("start"), F.lit(n).alias("length")))
+    # The character that holds a place is the last that doesn't begin behind it.
+    holds = lambda place: F.size(F.filter(sums, lambda s: s <= place)) - 1
+    whole = F.transform(ends, lambda at: F.struct(holds(at).alias("start"), (holds(at + n - 1) + 1).alias("end")))
+    last = lambda acc: F.try_element_at(acc, F.lit(-1))
+    met = F.aggregate(
+        whole,
+        F.array().cast("array<struct<start:int,end:int>>"),
+        lambda acc, r: F.when(r["start"] < F.coalesce(last(acc)["end"], F.lit(-1)), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["end"], r["end"]).alias("end"))))).otherwise(F.array_append(acc, r)),
+    )
+    mapped = F.transform(met, lambda r: F.struct(r["start"].alias("start"), (r["end"] - r["start"]).alias("length")))
+    return F.when(text.isNotNull(), F.when(sums.isNull(), own).otherwise(mapped))
 
 
 def occurrences(text: Column, query: str) -> Column:
@@ -149,29 +177,18 @@ def next_hits(rows: DataFrame, hit: Column) -> DataFrame:
 
 
 def highlighted(text: Column, query: str) -> Column:
-    """A text's parts in turn, (part, hit): the letters as they are, hits of the query in any case of A-Z marked.
+    """A text's parts in turn, (part, hit): the letters as they are, hits of the query in any case marked (see match_ranges).
 
-    Parts joined are the text again. An empty query, or one without a hit,
+    Parts joined are the text again. A blank query, or one without a hit,
     gives the whole text as one part; a null text a null list.
     """
-    whole = F.array(F.struct(text.alias("part"), F.lit(False).alias("hit")))
-    if not query:
-        return F.when(text.isNotNull(), whole)
     ranges = match_ranges(text, query)
-    n = len(query)
-    cut = lambda start, length, hit: F.struct(F.substr(text, start + 1, length).alias("part"), F.lit(hit).alias("hit"))
-    pieces = F.flatten(
-        F.transform(
-            ranges,
-            lambda r, i: F.array(
-                cut(F.when(i > 0, F.try_element_at(ranges, i)["start"] + n).otherwise(F.lit(0)), r["start"] - F.when(i > 0, F.try_element_at(ranges, i)["start"] + n).otherwise(F.lit(0)), False),
-                cut(r["start"], F.lit(n), True),
-            ),
-        )
-    )
-    done = F.element_at(ranges, F.lit(-1))["start"] + n
-    parts = F.filter(F.concat(pieces, F.array(cut(done, F.length(text) - done, False))), lambda x: x["part"] != "")
-    return F.when(F.size(ranges) > 0, parts).when(text.isNotNull(), whole)
+    cut = lambda start, end, hit: F.struct(F.substr(text, start + 1, end - start).alias("part"), F.lit(hit).alias("hit"))
+    ends = F.concat(F.array(F.lit(0)), F.transform(ranges, lambda r: r["start"] + r["length"]))
+    pieces = F.transform(ranges, lambda r, i: F.array(cut(F.element_at(ends, i + 1), r["start"], False), cut(r["start"], r["start"] + r["length"], True)))
+    done = F.element_at(ends, F.lit(-1))
+    parts = F.filter(F.concat(F.flatten(pieces), F.array(cut(done, F.length(text), False))), lambda x: x["part"] != "")
+    return F.when(F.size(ranges) > 0, parts).when(text.isNotNull(), F.array(F.struct(text.alias("part"), F.lit(False).alias("hit"))))
 
 
 def eligible_indices(rows: DataFrame, kinds: list[str]) -> DataFrame:

@@ -56,7 +56,29 @@ def _reg(test: str) -> str:
     return "select doc_id as idx from documents where " + " or ".join(test.format(c=c) for c in ("source", "lang", "text"))
 
 
+QUERIES |= {
+    # Capitals with marks, blanks around the query, and letters that are longer in lower case.
+    "match_ranges_any_case": lambda spark, d: _cased(spark, d).select("session", "idx", F.explode(L.match_ranges(F.col("text"), " ÉT ")).alias("r")).select("session", "idx", F.col("r.start").cast("long").alias("start"), F.col("r.length").cast("long").alias("length")),
+    "highlight_parts_any_case": lambda spark, d: _cased(spark, d).select("session", "idx", F.posexplode(L.highlighted(F.col("text"), "éT")).alias("place", "p")).select("session", "idx", F.col("place").cast("long").alias("place"), "p.part", "p.hit"),
+}
+
+
+def _cased(spark, d):
+    text = F.concat(F.when(F.col("idx") % 2 == 0, F.lit("Été ÉTÉ ")).otherwise("İé "), F.when(F.col("idx") % 3 == 0, F.upper("text")).otherwise(F.col("text")))
+    return transcript(spark, d).select("session", "idx", text.alias("text"))
+
+
+#: Hits of a text in lower case, with the one letter that is longer there, İ, taken as one.
+_HITS = f"""{TRANSCRIPT}, v as (select session, idx, case when idx % 2 = 0 then 'Été ÉTÉ ' else 'İé ' end || case when idx % 3 = 0 then upper(text) else text end as text, idx % 2 as more from transcript),
+      l as (select *, string_split(replace(lower(text), 'i̇', 'i'), 'ét') as gaps from v),
+      g as (select session, idx, text, unnest(gaps) as gap, generate_subscripts(gaps, 1) as n, len(gaps) as parts from l),
+      p as (select *, cast(sum(length(gap)) over (partition by session, idx order by n) - length(gap) + 2 * (n - 1) as bigint) as here from g)"""
+
 ORACLES = {
+    "match_ranges_any_case": f"with {_HITS} select session, idx, here + length(gap) as start, 2::bigint as length from p where n < parts",
+    "highlight_parts_any_case": f"""with {_HITS}, u as (select session, idx, n * 2 as o, substr(text, here + 1, length(gap)) as part, false as hit from p where length(gap) > 0 or parts = 1
+        union all select session, idx, n * 2 + 1, substr(text, here + length(gap) + 1, 2), true from p where n < parts)
+      select session, idx, row_number() over (partition by session, idx order by o) - 1 as place, part, hit from u""",
     "literal_find": f"select doc_id as idx, {_AT} as place, case when {_AT} > 0 then strlen(substr(text, 1, {_AT} - 1)) end as \"offset\" from documents",
     "literal_find_exact": "select doc_id as idx, instr(text, 'é de') as place from documents",
     "snippet": f"select doc_id as idx, {_snip(_AT, Q)} as snippet from documents",

@@ -14,7 +14,7 @@ USAGE_COLUMNS = ("record_type", "metric", "value", "date", "from", "to", "sessio
 
 #: What a program may take for a formula begins with one of these, after blanks and control signs or none.
 FORMULA_SIGNS = "=+-@"
-LEADING = " " + "".join(map(chr, range(32)))
+LEADING = " " + "".join(map(chr, range(33))) + "\u00a0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(map(chr, range(0x2000, 0x200B)))
 
 
 def _runs(text: Column) -> Column:
