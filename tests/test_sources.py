@@ -2,6 +2,7 @@
 
 import json
 import sqlite3
+import time
 
 import pytest
 import zstandard
@@ -169,7 +170,7 @@ def test_appended_lines_are_followed(spark, tmp_path):
     log.write_bytes(b'{"n":1}\n{"n":2}\n{"part')
 
     def run():
-        q = L.follow(spark, str(log.parent)).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q = L.follow(spark, str(log.parent), str(tmp_path / "digests")).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
         q.awaitTermination(60)
         return sorted(r.value for r in spark.read.parquet(str(tmp_path / "out")).collect())
 
@@ -182,7 +183,7 @@ def test_appended_lines_are_followed(spark, tmp_path):
 def test_a_replaced_log_is_read_anew(spark, tmp_path):
     log = tmp_path / "in" / "a.jsonl"
     log.parent.mkdir()
-    reader = L._Follow({"path": str(log.parent)})
+    reader = L._Follow({"path": str(log.parent), "digests": str(tmp_path / "digests")})
     log.write_bytes(b"one\ntwo\n")
     first = reader.latestOffset()
     assert reader.partitions(first, reader.latestOffset())[0].path == ""
@@ -197,6 +198,76 @@ def test_a_replaced_log_is_read_anew(spark, tmp_path):
     assert [(s.first, s.last) for s in reader.partitions(grown, reader.latestOffset())] == [(0, 2)]
 
 
+def test_a_byte_changed_in_the_middle_of_a_long_log_is_noticed(spark, tmp_path):
+    log = tmp_path / "in" / "a.jsonl"
+    log.parent.mkdir()
+    lines = [f"line {i:06d} {'x' * 40}" for i in range(25_000)]
+    log.write_text("\n".join(lines) + "\n")
+    assert log.stat().st_size > 1_200_000
+
+    def run():
+        q = L.follow(spark, str(log.parent), str(tmp_path / "digests")).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        assert q.exception() is None
+        return spark.read.parquet(str(tmp_path / "out")).count()
+
+    assert run() == 25_000
+    with log.open("a") as f:
+        f.write("one more\n")
+    assert run() == 25_001  # continued
+    with log.open("r+b") as f:
+        f.seek(600_000)
+        f.write(b"!")
+    with log.open("a") as f:
+        f.write("and another\n")
+    assert run() == 25_001 + 25_002  # read anew
+    with log.open("r+b") as f:
+        f.seek(600_001)
+        f.write(b"!")
+    assert run() == 25_001 + 25_002 * 2  # as long as before, but another text
+    log.touch()
+    assert run() == 25_001 + 25_002 * 2
+
+
+def test_a_commit_is_checked_against_what_tasks_recorded(tmp_path):
+    log = tmp_path / "in" / "a.jsonl"
+    log.parent.mkdir()
+    reader = L._Follow({"path": str(log.parent), "digests": str(tmp_path / "digests")})
+    offsets = [{}]
+    for text in (b"one\n", b"two\n", b"three\n"):
+        with log.open("ab") as f:
+            f.write(text)
+        offsets.append(reader.latestOffset())
+        (span,) = reader.partitions(offsets[-2], offsets[-1])
+        assert len(list(reader.read(span))) == 1
+        reader.commit(offsets[-1])
+    path = str(log)
+    assert reader.records.get(path, 4) is None and reader.records.get(path, 14)["resumed"]
+    with log.open("ab") as f:
+        f.write(b"four\n")
+    last = reader.latestOffset()
+    list(reader.read(reader.partitions(offsets[-1], last)[0]))
+    reader.records.put(path, 14, digest="of other bytes", resumed=True, verified="")
+    with pytest.raises(ValueError, match="content changed"):
+        reader.commit(last)
+
+
+def test_a_run_is_given_out_once_its_key_is_idle(spark, tmp_path):
+    rows = spark.createDataFrame([("k", 1, "a", "x"), ("k", 2, "a", "y"), ("k", 3, "b", "z"), ("m", 1, "a", "w")], "key string, line_no long, kind string, text string")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    q = L.joined_chunks(source, idle_ms=1_000).writeStream.format("memory").queryName("idle_runs").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
+    try:
+        for _ in range(60):
+            found = sorted(map(tuple, spark.table("idle_runs").collect()))
+            if len(found) == 3:
+                break
+            time.sleep(1)
+    finally:
+        q.stop()
+    assert found == [("k", 1, "a", "xy"), ("k", 3, "b", "z"), ("m", 1, "a", "w")]
+
+
 def test_depth_one_logs_and_their_events(spark, tmp_path):
     turn = lambda role, content, **more: {"type": role, "sessionId": "q1", "message": {"role": role, "content": content}, **more}
     where = write(tmp_path / "proj", "s.jsonl", turn("user", "hello"), turn("assistant", [{"type": "output_text", "text": "hi"}, {"type": "secret", "text": "no"}]), turn("assistant", "aside", isSidechain=True))

@@ -130,33 +130,6 @@ def newest_hits(rows: DataFrame, limit: int) -> DataFrame:
     return rows.orderBy(F.desc(F.coalesce("updated_at", "created_at", F.lit(0))), "id").limit(limit)
 
 
-def grams_of(query: str) -> list[str]:
-    """The different trigrams of a query, A-Z in lower case."""
-    folded = ascii_fold(query)
-    return sorted({folded[i : i + 3] for i in range(len(folded) - 2)})
-
-
-def trigram_postings(rows: DataFrame, id_col: str = "id", text_col: str = "text", only: list[str] | None = None) -> DataFrame:
-    """(gram, id) of every text's different trigrams, for a table bucketed by gram.
-
-    ``only`` names the grams that are asked for: each text is looked through for
-    those and no row is made of others. Texts under three characters have none.
-    """
-    folded = rows.select(F.col(id_col), ascii_lower(F.col(text_col)).alias("_folded")).where(F.length("_folded") >= 3)
-    if only is not None:
-        grams = F.filter(F.array(*[F.lit(g) for g in only]), lambda g: F.contains(F.col("_folded"), g))
-        return folded.select(F.explode(grams).alias("gram"), id_col)
-    # A look-ahead steps from character to character, so a text is read once.
-    return folded.select(F.explode(F.regexp_extract_all("_folded", F.lit("(?s)(?=(.{3}))"), 1)).alias("gram"), id_col).distinct()
-
-
-def trigram_search(postings: DataFrame, rows: DataFrame, query: str, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """Rows that hold a query of three characters or more: candidates from postings, then checked."""
-    grams = grams_of(query)
-    candidates = postings.where(F.col("gram").isin(grams)).groupBy(id_col).agg(F.count("*").alias("n")).where(F.col("n") == len(grams)).select(id_col)
-    return rows.join(candidates, id_col, "left_semi").where(find(F.col(text_col), query) > 0)
-
-
 def ascii_fold(text: str) -> str:
     return "".join(c.lower() if c.isascii() else c for c in text)
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import registry as L, search as S
 from ..session import table
+from .searches import documents_index
 
 
 def _metadata(spark, d):
@@ -29,9 +30,10 @@ def _documents(spark, d):
 
 
 def _hits(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("pk"), "text")
-    grams = S.trigram_search(S.trigram_postings(docs, "pk", only=S.grams_of("inthe")), docs, "inthe", "pk")
-    return L.search_hits([S.registry_search(docs, "the ent", ("text",), ("text",)), grams], _sessions(spark, d), L.search_documents(*_documents(spark, d)))
+    index = documents_index(spark, d)
+    found = [index.registry("the ent", ("text",), ("text",)), index.literal("inthe", "text")]
+    found = [x.select(F.col("idx").alias("pk")) for x in found]
+    return L.search_hits(found, _sessions(spark, d), L.search_documents(*_documents(spark, d)))
 
 
 def _outside(spark, d):

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import search as L
-from ..session import table
+from ..operators.index import Index, stamp
+from ..session import shared_folder, table
 from .tables import SESSIONS, TRANSCRIPT, sessions, transcript
 
 Q = "the Ent"
@@ -23,8 +24,15 @@ def _snip(at: str, q: str) -> str:
     return f"case when {at} > 0 then case when least({at} - 1, 72) = 72 then '...' else '' end || {body} || case when length(text) - {at} + 1 > {n + 160} then '...' else '' end else '' end"
 
 
+def documents_index(spark, d) -> Index:
+    """The index of the documents, written where it isn't yet or where their files have changed."""
+    docs = _docs(spark, d)
+    index = Index(spark, f"{shared_folder(spark)}/search-{stamp(docs)}", "idx", ("session", "lang", "text"))
+    return index if index.complete() else index.build(docs)
+
+
 def _registry(query):
-    return lambda spark, d: L.registry_search(_docs(spark, d), query, ("session", "lang", "text"), ("session", "lang")).select("idx")
+    return lambda spark, d: documents_index(spark, d).registry(query, ("session", "lang", "text"), ("session", "lang")).select("idx")
 
 
 _TOP = f"select source as session, doc_id as idx, row_number() over (partition by source order by doc_id) as nth, text from documents where {_AT} > 0"
@@ -40,7 +48,8 @@ QUERIES = {
     "registry_search_marks": _registry("ent ete"),
     "registry_search_literal": _registry("the, a"),
     "search_newest": lambda spark, d: L.newest_hits(sessions(spark, d).where(F.contains("title", F.lit("00001"))), 25).select("id"),
-    "trigram_search": lambda spark, d: L.trigram_search(L.trigram_postings(_docs(spark, d), "idx", only=L.grams_of("inthe")), _docs(spark, d), "inthe", "idx").select("idx"),
+    "gram_counts": lambda spark, d: documents_index(spark, d).gram_counts(),
+    "trigram_search": lambda spark, d: documents_index(spark, d).literal("inthe", "text").select("idx"),
     "match_occurrences": lambda spark, d: _docs(spark, d).select("idx", L.occurrences(F.col("text"), "thth").alias("n")),
     "session_text_filter": lambda spark, d: L.session_filter(transcript(spark, d), "der", "role", "text").select("session", "idx"),
     "nearest_hits": lambda spark, d: L.next_hits(transcript(spark, d), F.contains(F.lower("text"), F.lit("que"))).select("session", "idx", "next_hit", "previous_hit"),
@@ -89,6 +98,8 @@ ORACLES = {
     "registry_search_marks": _reg("contains(lower({c}), 'ent ete') or contains(" + _WORDS + ", ' ent ete')"),
     "registry_search_literal": _reg("contains(lower({c}), 'the, a')"),
     "search_newest": f"with {SESSIONS} select id from sessions where contains(title, '00001') order by updated_at desc, id limit 25",
+    "gram_counts": """with t as (select doc_id, replace(lower(unnest([source, lang, text])), 'ς', 'σ') as t from documents),
+      g as (select distinct doc_id, unnest(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) as gram from t) select gram, count(*) as n from g group by gram""",
     "trigram_search": f"select doc_id as idx from documents where contains(translate(text, '{_UP}', '{_LOW}'), 'inthe')",
     "match_occurrences": f"select doc_id as idx, (length(text) - length(replace(translate(text, '{_UP}', '{_LOW}'), 'thth', ''))) // 4 as n from documents",
     "session_text_filter": f"with {TRANSCRIPT} select session, idx from transcript where contains(lower(role || chr(10) || text), 'der')",

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import glob
 import hashlib
+import json
 import os
+import uuid
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..session import shared_folder
+
 
 @dataclass(frozen=True)
 class Cursor:
@@ -68,27 +73,54 @@ def prefix_digest(path: str, size: int) -> str:
     return h.hexdigest()
 
 
-def edge_digest(path: str, size: int, edge: int = 1 << 16) -> str:
-    """A digest of the first and the last bytes up to ``size``: a file written anew differs there, and long logs aren't read again."""
-    with open(path, "rb") as f:
-        head = f.read(min(size, edge))
-        f.seek(max(len(head), size - edge))
-        return hashlib.sha256(head + f.read(size - max(len(head), size - edge))).hexdigest()
-
-
 class _Span(InputPartition):
     def __init__(self, path: str, first: int, last: int) -> None:
         self.path, self.first, self.last = path, first, last
 
 
+class Records:
+    """What tasks tell of the prefixes they have read: a small file for each log and offset in a shared folder.
+
+    A record has the digest of all bytes up to its offset, whether the log was
+    resumed, and the digest that the bytes read before had then.
+    """
+
+    def __init__(self, folder: str) -> None:
+        self.folder = folder.removeprefix("file://")
+
+    def _file(self, path: str, offset: int) -> str:
+        return os.path.join(self.folder, f"{hashlib.sha256(path.encode()).hexdigest()[:32]}-{offset}.json")
+
+    def get(self, path: str, offset: int) -> dict | None:
+        try:
+            with open(self._file(path, offset)) as f:
+                return json.load(f)
+        except FileNotFoundError:
+            return None
+
+    def put(self, path: str, offset: int, **record) -> None:
+        """Written beside and renamed, so that a task that is lost or runs twice leaves a whole record or none."""
+        os.makedirs(self.folder, exist_ok=True)
+        name = self._file(path, offset)
+        with open(f"{name}.{uuid.uuid4().hex}", "w") as f:
+            json.dump(record, f)
+        os.replace(f.name, name)
+
+    def forget(self, path: str, offset: int) -> None:
+        with contextlib.suppress(FileNotFoundError):
+            os.remove(self._file(path, offset))
+
+
 class AppendedLines(DataSource):
     """Format ``appended_lines``: rows (path, offset, value) of every complete line of growing files.
 
     The offset of a stream is a cursor for each file up to its last line break;
     a partial line waits for its end. Spark's own file source never looks at a
-    file twice. Between two cursors ``decide`` tells whether a file was
-    continued; one that shrank, was replaced or changed is read anew from its
-    start.
+    file twice. The driver looks at sizes, times and identities only: a file
+    that shrank or was replaced is read anew from its start. A task that is to
+    resume a file reads what was read before again, and only if its digest is
+    the one recorded then goes on behind it; after any change in between it
+    gives all lines anew. ``digests`` names a shared folder for the records.
     """
 
     @classmethod
@@ -104,7 +136,8 @@ class AppendedLines(DataSource):
 
 class _Follow(DataSourceStreamReader):
     def __init__(self, options: dict) -> None:
-        self.pattern = options["path"].removeprefix("file://")
+        self.pattern, self.records = options["path"].removeprefix("file://"), Records(options["digests"])
+        self.done: dict = {}
 
     def initialOffset(self) -> dict:
         return {}
@@ -115,7 +148,7 @@ class _Follow(DataSourceStreamReader):
             end = _last_break(path)
             if end:
                 about = os.stat(path)
-                found[path] = asdict(Cursor(f"{about.st_dev}:{about.st_ino}", end, about.st_mtime_ns, end, edge_digest(path, end)))
+                found[path] = asdict(Cursor(f"{about.st_dev}:{about.st_ino}", end, about.st_mtime_ns, end, ""))
         return found
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
@@ -124,30 +157,47 @@ class _Follow(DataSourceStreamReader):
             first = 0
             if path in start:
                 before, after = Cursor(**start[path]), Cursor(**now)
-                grown = before.offset <= after.offset
-                what, _ = decide(before, after.identity, after.size, before.mtime_ns if after.size == before.size else after.mtime_ns, edge_digest(path, before.offset) if grown else None)
-                first = 0 if what == "full" else before.offset
-            if first < now["offset"]:
-                spans.append(_Span(path, first, now["offset"]))
+                what, _ = decide(before, after.identity, after.size, after.mtime_ns, before.digest, after.version)
+                if what == "unchanged":
+                    continue
+                # A file of the same size that was written to, or one that has grown: a task compares what was read.
+                first = before.offset if after.identity == before.identity and after.size >= before.size else 0
+            spans.append(_Span(path, first, now["offset"]))
         return spans or [_Span("", 0, 0)]
 
     def read(self, part: _Span) -> Iterator[tuple]:
         if not part.path:
             return
         with open(part.path, "rb") as f:
-            f.seek(part.first)
-            at = part.first
-            while at < part.last:
-                line = f.readline(part.last - at)
-                if not line:
-                    return
+            seen, left = hashlib.sha256(), part.first
+            while left and (block := f.read(min(left, 1 << 20))):
+                seen.update(block)
+                left -= len(block)
+            verified, known = seen.hexdigest(), self.records.get(part.path, part.first)
+            resumed = part.first > 0 and known is not None and known["digest"] == verified
+            if not resumed:
+                f.seek(0)
+                seen = hashlib.sha256()
+            at = part.first if resumed else 0
+            while at < part.last and (line := f.readline(part.last - at)):
+                seen.update(line)
                 text = line.rstrip(b"\r\n")
                 if text.strip():
                     yield part.path, at, text.decode("utf-8", "replace")
                 at += len(line)
+        # A file written to but left as it was gives nothing and keeps its record.
+        if at > part.first or not resumed:
+            self.records.put(part.path, at, digest=seen.hexdigest(), resumed=resumed, verified=verified)
 
     def commit(self, end: dict) -> None:
-        """Nothing is kept outside the stream's checkpoint."""
+        """Check that each file's new cursor continues the one before, by the digests that tasks recorded; older records go."""
+        for path, now in end.items():
+            before, record = self.done.get(path), self.records.get(path, now["offset"])
+            if before and record and record["resumed"] and before["offset"] != now["offset"]:
+                old = self.records.get(path, before["offset"])
+                checked_append(replace(Cursor(**before), digest=old["digest"] if old else ""), Cursor(**now), record["verified"])
+                self.records.forget(path, before["offset"])
+        self.done = end
 
 
 def _last_break(path: str, block: int = 1 << 16) -> int:
@@ -164,9 +214,10 @@ def _last_break(path: str, block: int = 1 << 16) -> int:
     return 0
 
 
-def follow(spark, path: str) -> DataFrame:
+def follow(spark, path: str, digests: str | None = None) -> DataFrame:
+    """A stream of the lines of logs; ``digests`` is a folder that driver and executors share, and that outlives the stream as its checkpoint does."""
     spark.dataSource.register(AppendedLines)
-    return spark.readStream.format("appended_lines").load(path)
+    return spark.readStream.format("appended_lines").option("digests", digests or f"{shared_folder(spark)}/digests").load(path)
 
 
 def _newest(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -189,33 +240,52 @@ def revisions(rows: DataFrame) -> DataFrame:
     return rows.groupBy("key").applyInPandasWithState(_newest, "key string, at long, tokens long, what string", "at long, tokens long", "append", GroupStateTimeout.NoTimeout)
 
 
-def _joined(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Runs of a key that a row of another kind has closed; the open one waits in the state, lines seen before are passed over."""
-    last, first, kind, text = state.get if state.exists else (-1, -1, None, "")
-    out, parts = [], [text]
-    for row in pd.concat(list(batches)).sort_values("line_no").itertuples():
-        if row.line_no <= last:
-            continue
-        now = row.kind if isinstance(row.kind, str) else None
-        if now != kind:
-            if kind is not None:
-                out.append((*key, first, kind, "".join(parts)))
-            first, kind, parts = int(row.line_no), now, []
-        parts.append(row.text if isinstance(row.text, str) else "")
-        last = int(row.line_no)
-    state.update((last, first, kind, "".join(parts)))
-    yield pd.DataFrame(out, columns=["key", "first", "kind", "text"])
-
-
-def joined_chunks(rows: DataFrame) -> DataFrame:
+def _joining(idle_ms: int | None):
+    """Runs of a key that a row of another kind has closed, or that nothing followed for a time; lines seen before are passed over."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, first, kind, text = state.get if state.exists else (-1, -1, None, "")
+        out, parts = [], [text]
+        if state.hasTimedOut:
+            # The text is freed; the last line is kept, so that it isn't given again, until the key is idle once more.
+            if kind is None:
+                state.remove()
+            else:
+                out.append((*key, first, kind, text))
+                state.update((last, -1, None, ""))
+                state.setTimeoutDuration(idle_ms)
+            yield pd.DataFrame(out, columns=["key", "first", "kind", "text"])
+            return
+        for row in pd.concat(list(batches)).sort_values("line_no").itertuples():
+            if row.line_no <= last:
+                continue
+            now = row.kind if isinstance(row.kind, str) else None
+            if now != kind:
+                if kind is not None:
+                    out.append((*key, first, kind, "".join(parts)))
+                first, kind, parts = int(row.line_no), now, []
+            parts.append(row.text if isinstance(row.text, str) else "")
+            last = int(row.line_no)
+        state.update((last, first, kind, "".join(parts)))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame(out, columns=["key", "first", "kind", "text"])
+
+    return run
+
+
+def joined_chunks(rows: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """(key, first, kind, text) of a stream of (key, line_no, kind, text): neighbouring chunks of one kind as one text.
 
     A run is given out once a row of another kind follows, in the same batch or
-    a later one; a row without a kind closes a run and starts none. Lines of a
-    key come in order from batch to batch, as a log is appended to.
+    a later one, or, with ``idle_ms``, once its key had no row for so long; a chunk
+    that comes after that begins a run of its own. A row without a kind closes a
+    run and starts none. Lines of a key come in order from batch to batch, as a
+    log is appended to. With ``idle_ms`` a key that stays idle for twice as long leaves no state.
     """
     state = "last long, first long, kind string, text string"
-    return rows.groupBy("key").applyInPandasWithState(_joined, "key string, first long, kind string, text string", state, "append", GroupStateTimeout.NoTimeout)
+    how = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    return rows.groupBy("key").applyInPandasWithState(_joining(idle_ms), "key string, first long, kind string, text string", state, "append", how)
 
 
 def by_day(rows: DataFrame, ts: str = "ts", late: str = "10 minutes") -> DataFrame:
