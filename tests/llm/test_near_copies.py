@@ -64,3 +64,10 @@ def test_pairs_just_at_four_fifths_of_texts_of_any_length(spark):
     want, near = all_pairs(rows)
     assert (near.sum() - len(rows)) > 600
     assert found(spark, rows) == want
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["doc_id", "text", "_copy_of_text", "_gone_id", "_gone_copy", "root", "fp"]
+    rows = [(1, "a b c d e f", 7, 8, 9, "r", 1), (2, "a b c d e f", 7, 8, 9, "r", 2), (3, "quite another one here now", None, None, None, None, None)]
+    kept = S.keep_one(spark.createDataFrame(rows, "doc_id long, text string, _copy_of_text int, _gone_id int, _gone_copy int, root string, fp int"))
+    assert kept.columns == names and sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]

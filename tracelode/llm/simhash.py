@@ -446,11 +446,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     goes = ~(F.col("id").eqNullSafe(F.col("kept_id")) & F.col("copy").eqNullSafe(F.col("kept_copy")))
     gone = stash(found.join(kept, "root").where(goes).select(F.col("id").alias("_gone_id"), F.col("copy").alias("_gone_copy")).distinct(), "gone")
     total, different = found.agg(F.count("*"), F.countDistinct(F.struct("id", "copy"))).first()
-    named = docs.withColumn("_copy_of_text", F.xxhash64(text))
+    copy = "_copy_of_text"
+    while copy in docs.columns:  # whatever the user's own columns are called
+        copy += "_"
+    named = docs.withColumn(copy, F.xxhash64(text))
     if total > different:
-        named = named.dropDuplicates([id_col, "_copy_of_text"])
-    same = named[id_col].cast("long").eqNullSafe(gone["_gone_id"]) & (named["_copy_of_text"] == gone["_gone_copy"])
-    return among(named, gone, same, "left_anti").drop("_copy_of_text")
+        named = named.dropDuplicates([id_col, copy])
+    same = named[id_col].cast("long").eqNullSafe(gone["_gone_id"]) & (named[copy] == gone["_gone_copy"])
+    return among(named, gone, same, "left_anti").drop(copy)
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
