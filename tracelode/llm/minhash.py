@@ -231,10 +231,25 @@ class _Search:
         rows = self.rooted(many)
         return stash(among(rows, stash(_groups(rows).select("key"), "open"), "key"), "apart")
 
+    def may_link(self, left: DataFrame) -> DataFrame:
+        """Those nodes of left that enough of the others' shingles are in.
+
+        A set that is similar to another has four fifths of its own in common with
+        it. Whatever left still has to be linked with each other is in it, so a
+        set of which more than a fifth is in no other set of left is done.
+        """
+        sets = stash(self.sets_of(stash(left.select("node").distinct(), "asked")), "open")
+        lone = sets.select("node", F.explode("set").alias("s")).groupBy("s").agg(F.count("*").alias("sets"), F.min("node").alias("node")).where("sets = 1")
+        own = lone.groupBy("node").agg(F.count("*").alias("own"))
+        sized = sets.select("node", F.size("set").alias("n")).join(own, "node", "left").fillna(0, ["own"])
+        return stash(sized.where((F.col("n") - F.col("own")) * SIMILAR[1] >= F.col("n") * SIMILAR[0]).select("node"), "may")
+
     def run(self) -> DataFrame | None:
         """(node, root) of every node with a link, None without any."""
         coarse = self.distinct.select("node", "n", F.explode(_bands("sig")).alias("key")).withColumn("root", F.col("node")).withColumn("rank", F.xxhash64("node", "key"))
         left = self.meet(coarse)
+        if not left.isEmpty():
+            left = stash(self.apart(among(left.select("key", "node", "n"), self.may_link(left), "node")), "left")
         if not left.isEmpty():
             sets = self.sets_of(stash(left.select("node").distinct(), "asked"))
             with batches_of(sets.sparkSession, TEXTS):
