@@ -149,7 +149,7 @@ def next_hits(rows: DataFrame, hit: Column) -> DataFrame:
     return rows.withColumn("next_hit", F.coalesce(after, first)).withColumn("previous_hit", F.coalesce(before, last))
 
 
-def highlighted(text: Column, query: str) -> Column:
+def highlighted(text: Column, query: str, ranges: Column | None = None) -> Column:
     """A text's parts in turn, (part, hit): the letters as they are, hits of the query in any case marked (see match_ranges).
 
     Parts joined are the text again. A blank query, or one without a hit,

@@ -55,7 +55,7 @@ QUERIES = {
     "nearest_hits": lambda spark, d: L.next_hits(transcript(spark, d), F.contains(F.lower("text"), F.lit("que"))).select("session", "idx", "next_hit", "previous_hit"),
     "match_ranges": lambda spark, d: transcript(spark, d).select("session", "idx", F.explode(L.match_ranges(F.col("text"), "En")).alias("r")).select("session", "idx", F.col("r.start").cast("long").alias("start"), F.col("r.length").cast("long").alias("length")),
     "eligible_indices": lambda spark, d: L.eligible_indices(transcript(spark, d).withColumnRenamed("role", "kind"), ["user", "assistant"]).select("session", "idx", F.col("nth").cast("long").alias("nth")),
-    "highlight_parts": lambda spark, d: transcript(spark, d).select("session", "idx", F.posexplode(L.highlighted(F.col("text"), "En")).alias("place", "p")).select("session", "idx", F.col("place").cast("long").alias("place"), "p.part", "p.hit"),
+    "highlight_parts": lambda spark, d: transcript(spark, d).withColumn("hits", L.match_ranges(F.col("text"), "En")).select("session", "idx", F.posexplode(L.highlighted(F.col("text"), "En", F.col("hits"))).alias("place", "p")).select("session", "idx", F.col("place").cast("long").alias("place"), "p.part", "p.hit"),
 }
 
 _WORDS = "' ' || regexp_replace(translate(lower({c}), '" + L.MARKED + "', '" + L.PLAIN + "'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')"
@@ -68,17 +68,17 @@ def _reg(test: str) -> str:
 QUERIES |= {
     # Capitals with marks, blanks around the query, and letters that are longer in lower case.
     "match_ranges_any_case": lambda spark, d: _cased(spark, d).select("session", "idx", F.explode(L.match_ranges(F.col("text"), " ÉT ")).alias("r")).select("session", "idx", F.col("r.start").cast("long").alias("start"), F.col("r.length").cast("long").alias("length")),
-    "highlight_parts_any_case": lambda spark, d: _cased(spark, d).select("session", "idx", F.posexplode(L.highlighted(F.col("text"), "éT")).alias("place", "p")).select("session", "idx", F.col("place").cast("long").alias("place"), "p.part", "p.hit"),
+    "highlight_parts_any_case": lambda spark, d: _cased(spark, d).withColumn("hits", L.match_ranges(F.col("text"), "éT")).select("session", "idx", F.posexplode(L.highlighted(F.col("text"), "éT", F.col("hits"))).alias("place", "p")).select("session", "idx", F.col("place").cast("long").alias("place"), "p.part", "p.hit"),
 }
 
 
 def _cased(spark, d):
-    text = F.concat(F.when(F.col("idx") % 2 == 0, F.lit("Été ÉTÉ ")).otherwise("İé "), F.when(F.col("idx") % 3 == 0, F.upper("text")).otherwise(F.col("text")))
+    text = F.concat(F.when(F.col("idx") % 2 == 0, F.lit("Été ÉTÉ ")).otherwise("İé "), F.when(F.col("idx") % 3 == 0, F.translate("text", "etéd", "ETÉD")).otherwise(F.col("text")))
     return transcript(spark, d).select("session", "idx", text.alias("text"))
 
 
 #: Hits of a text in lower case, with the one letter that is longer there, İ, taken as one.
-_HITS = f"""{TRANSCRIPT}, v as (select session, idx, case when idx % 2 = 0 then 'Été ÉTÉ ' else 'İé ' end || case when idx % 3 = 0 then upper(text) else text end as text, idx % 2 as more from transcript),
+_HITS = f"""{TRANSCRIPT}, v as (select session, idx, case when idx % 2 = 0 then 'Été ÉTÉ ' else 'İé ' end || case when idx % 3 = 0 then translate(text, 'etéd', 'ETÉD') else text end as text, idx % 2 as more from transcript),
       l as (select *, string_split(replace(lower(text), 'i̇', 'i'), 'ét') as gaps from v),
       g as (select session, idx, text, unnest(gaps) as gap, generate_subscripts(gaps, 1) as n, len(gaps) as parts from l),
       p as (select *, cast(sum(length(gap)) over (partition by session, idx order by n) - length(gap) + 2 * (n - 1) as bigint) as here from g)"""
