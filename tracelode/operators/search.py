@@ -53,17 +53,43 @@ def content_search(rows: DataFrame, query: str, per_session: int = PER_SESSION,
     return top.join(F.broadcast(kept), "session", "left_semi").withColumn("snippet", snippet(F.col("text"), query)).drop("text")
 
 
-def _lowered(text: Column) -> tuple[Column, Column]:
-    """Characters in lower case, and where each of a text's characters begins in them, with the end behind the last.
+def _with(value: Column, make) -> Column:
+    """make(value), with the value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), make), 1)
 
-    A character may be longer in lower case, so a place in the lowered text is
-    found again by those sums of widths.
+
+def _hits(text: Column, needle: str) -> Column:
+    """Places, from 0, of a literal in a text, left to right without overlap."""
+    n = len(needle)
+    gaps = F.transform(F.split(text, "\\Q" + needle + "\\E", -1), lambda part: F.length(part))
+    # A hit starts after all gaps before it and as many hits.
+    put = lambda acc, gap: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)) + n, F.lit(0)) + gap)
+    return _with(gaps, lambda g: F.aggregate(F.slice(g, F.lit(1), F.size(g) - 1), F.array().cast("array<int>"), put))
+
+
+def _own_ranges(text: Column, needle: str) -> Column:
+    """Ranges in the characters of a text some of which are longer in lower case.
+
+    Those characters, few in a text, are listed with where they begin in lower
+    case, so a place there is found again without a list of all. A hit reaches
+    from the character that holds its first place to the one that holds its
+    last, and hits that meet in one become one range.
     """
-    wide = F.length(F.lower(text)) != F.length(text)
-    chars = F.transform(F.split(text, "(?s)(?!^)"), lambda c: F.lower(c))
-    sums = F.aggregate(chars, F.array(F.lit(0)), lambda acc, c: F.array_append(acc, F.element_at(acc, F.lit(-1)) + F.length(c)))
-    # Most texts keep their width; then a place is its own.
-    return F.when(wide, F.array_join(chars, "")).otherwise(F.lower(text)), F.when(wide, sums)
+    n, range_, wide_ = len(needle), "array<struct<start:int,end:int>>", "array<struct<begin:int,more:int,sum:int>>"
+    chars = F.split(text, "(?s)(?!^)")
+    listed = F.filter(F.transform(chars, lambda c, i: F.struct(i.alias("at"), (F.length(F.lower(c)) - F.length(c)).alias("more"))), lambda x: x["more"] > 0)
+    before = lambda acc: F.coalesce(F.try_element_at(acc, F.lit(-1))["sum"], F.lit(0))
+    wide = F.aggregate(listed, F.array().cast(wide_), lambda acc, x: F.array_append(acc, F.struct((x["at"] + before(acc)).alias("begin"), x["more"].alias("more"), (before(acc) + x["more"]).alias("sum"))))
+
+    def mapped(x: Column) -> Column:
+        holds = lambda place: place - F.aggregate(x["wide"], F.lit(0), lambda acc, w: acc + F.greatest(F.lit(0), F.least(place - w["begin"], w["more"])))
+        whole = F.transform(_hits(x["low"], needle), lambda at: F.struct(holds(at).alias("start"), (holds(at + n - 1) + 1).alias("end")))
+        last = lambda acc: F.try_element_at(acc, F.lit(-1))
+        joined = lambda acc, r: F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["end"], r["end"]).alias("end"))))
+        met = F.aggregate(whole, F.array().cast(range_), lambda acc, r: F.when(r["start"] < F.coalesce(last(acc)["end"], F.lit(-1)), joined(acc, r)).otherwise(F.array_append(acc, r)))
+        return F.transform(met, lambda r: F.struct(r["start"].alias("start"), (r["end"] - r["start"]).alias("length")))
+
+    return _with(F.struct(F.array_join(F.transform(chars, lambda c: F.lower(c)), "").alias("low"), wide.alias("wide")), mapped)
 
 
 def match_ranges(text: Column, query: str) -> Column:
@@ -73,26 +99,12 @@ def match_ranges(text: Column, query: str) -> Column:
     within a character that is longer in lower case takes it whole, and hits that
     meet in one character are one range. A blank query has no hits, a null text a null list.
     """
-    query = query.strip().lower()
-    n = len(query)
-    if not n:
+    needle = query.strip().lower()
+    if not needle:
         return F.when(text.isNotNull(), F.array().cast("array<struct<start:int,length:int>>"))
-    low, sums = _lowered(text)
-    gaps = F.transform(F.split(low, "\\Q" + query + "\\E", -1), lambda part: F.length(part))
-    # A hit starts after all gaps before it and as many hits.
-    ends = F.aggregate(F.slice(gaps, F.lit(1), F.size(gaps) - 1), F.array().cast("array<int>"), lambda acc, gap: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)) + n, F.lit(0)) + gap)))
-    own = F.transform(ends, lambda at: F.struct(at.alias("start"), F.lit(n).alias("length")))
-    # The character that holds a place is the last that doesn't begin behind it.
-    holds = lambda place: F.size(F.filter(sums, lambda s: s <= place)) - 1
-    whole = F.transform(ends, lambda at: F.struct(holds(at).alias("start"), (holds(at + n - 1) + 1).alias("end")))
-    last = lambda acc: F.try_element_at(acc, F.lit(-1))
-    met = F.aggregate(
-        whole,
-        F.array().cast("array<struct<start:int,end:int>>"),
-        lambda acc, r: F.when(r["start"] < F.coalesce(last(acc)["end"], F.lit(-1)), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["end"], r["end"]).alias("end"))))).otherwise(F.array_append(acc, r)),
-    )
-    mapped = F.transform(met, lambda r: F.struct(r["start"].alias("start"), (r["end"] - r["start"]).alias("length")))
-    return F.when(text.isNotNull(), F.when(sums.isNull(), own).otherwise(mapped))
+    plain = F.transform(_hits(F.lower(text), needle), lambda at: F.struct(at.alias("start"), F.lit(len(needle)).alias("length")))
+    # Most texts keep their width; then a place in lower case is the text's own.
+    return F.when(F.length(F.lower(text)) != F.length(text), _own_ranges(text, needle)).when(text.isNotNull(), plain)
 
 
 def occurrences(text: Column, query: str) -> Column:
@@ -153,15 +165,22 @@ def highlighted(text: Column, query: str, ranges: Column | None = None) -> Colum
     """A text's parts in turn, (part, hit): the letters as they are, hits of the query in any case marked (see match_ranges).
 
     Parts joined are the text again. A blank query, or one without a hit,
-    gives the whole text as one part; a null text a null list.
+    gives the whole text as one part; a null text a null list. ``ranges`` may be
+    given where a column has them already, which is planned faster.
     """
-    ranges = match_ranges(text, query)
     cut = lambda start, end, hit: F.struct(F.substr(text, start + 1, end - start).alias("part"), F.lit(hit).alias("hit"))
-    ends = F.concat(F.array(F.lit(0)), F.transform(ranges, lambda r: r["start"] + r["length"]))
-    pieces = F.transform(ranges, lambda r, i: F.array(cut(F.element_at(ends, i + 1), r["start"], False), cut(r["start"], r["start"] + r["length"], True)))
-    done = F.element_at(ends, F.lit(-1))
-    parts = F.filter(F.concat(F.flatten(pieces), F.array(cut(done, F.length(text), False))), lambda x: x["part"] != "")
-    return F.when(F.size(ranges) > 0, parts).when(text.isNotNull(), F.array(F.struct(text.alias("part"), F.lit(False).alias("hit"))))
+
+    def parts(ranges: Column) -> Column:
+        end = lambda i: F.coalesce(F.try_element_at(ranges, i)["start"] + F.try_element_at(ranges, i)["length"], F.lit(0))
+        # A part before each hit begins where the hit before ends; the first one at the start.
+        before = lambda r, i: cut(F.when(i > 0, end(F.greatest(i, F.lit(1)))).otherwise(0), r["start"], False)
+        pieces = F.flatten(F.transform(ranges, lambda r, i: F.array(before(r, i), cut(r["start"], r["start"] + r["length"], True))))
+        rest = F.array(cut(end(F.lit(-1)), F.length(text), False))
+        return F.filter(F.concat(pieces, rest), lambda x: x["part"] != "")
+
+    whole = F.array(F.struct(text.alias("part"), F.lit(False).alias("hit")))
+    told = (lambda r: F.when(F.size(r) > 0, parts(r)))(ranges) if ranges is not None else _with(match_ranges(text, query), lambda r: F.when(F.size(r) > 0, parts(r)))
+    return F.coalesce(told, F.when(text.isNotNull(), whole))
 
 
 def eligible_indices(rows: DataFrame, kinds: list[str]) -> DataFrame:
