@@ -15,6 +15,8 @@ from pyspark.sql.window import Window as W
 from ..functions.scalars import epoch_seconds
 from ..session import shared_folder, table
 from ..sources import agents as A
+from ..sources import bundles as B
+from ..sources import ends as E
 from ..sources import jsonl as J
 from ..sources import sinks as K
 from ..streaming import live as S
@@ -199,6 +201,29 @@ def exported_sessions(spark, d) -> DataFrame:
     return spark.read.parquet(path).select("provider", "id", "title", "tokens_used", "updated_at")
 
 
+def _ended(spark, d) -> str:
+    """Sixteen logs of many sessions: a head for a system's turn, a counter in one of four places for a helper's."""
+    t = transcript(spark, d).withColumn("line", F.col("session") * 1000 + F.col("idx"))
+    text, n = F.col("text"), F.col("line")
+    total = lambda inner: F.concat(F.lit('{"type":"event_msg","payload":{"type":"token_count"'), inner, F.lit("}"))
+    counter = F.when(n % 4 == 0, F.concat(total(F.concat(F.lit(',"info":{"total_token_usage":{"total_tokens":'), n, F.lit("}}"))), F.lit("}"))).when(n % 4 == 1, F.concat(total(F.concat(F.lit(',"info":{"total_token_usage":{"total_tokens":-1},"total_tokens":'), n, F.lit("}"))), F.lit("}"))).when(n % 4 == 2, F.concat(total(F.concat(F.lit(',"total_tokens":'), n)), F.lit("}"))).otherwise(F.concat(total(F.lit("")), F.lit(',"total_tokens":'), n, F.lit("}")))
+    head = F.to_json(F.struct(F.lit("session_meta").alias("type"), F.struct(F.when(F.col("session") % 3 > 0, F.concat(F.lit(" s"), "session", F.lit(" "))).otherwise(" ").alias("id"), F.when(F.col("session") % 2 == 0, "q").alias("model_provider")).alias("payload")))
+    value = F.when(F.col("role") == "assistant", counter).when(F.col("role") == "system", head).otherwise(F.to_json(F.struct(F.lit("token_count session_meta").alias("type"), text.alias("text"))))
+    return _logs(t.select((F.col("session") % 16).alias("bucket"), "line", value.alias("value")), "bucket")
+
+
+def _bucket() -> Column:
+    return F.regexp_extract("path", "bucket=([0-9]+)", 1).cast("long").alias("bucket")
+
+
+def bundle_check(spark, d) -> DataFrame:
+    """Conversations as a bundle in files of three lines at most, verified."""
+    t, path = transcript(spark, d), _folder(spark, "bundle")
+    s = t.select("session").distinct().select("session", F.concat(F.lit("p"), F.col("session") % 3).alias("provider"), F.when(F.col("session") % 7 > 0, F.col("session") * 10).alias("updated_at"), (F.col("session") % 5 == 0).alias("archived"))
+    B.export_bundle(s, t.select("session", F.col("idx").alias("line_no"), F.col("text").alias("line")), path, 1_700_000_000, start=100, active_only=True, chunk=3)
+    return B.verified(spark, path).select("session", "chunk", "provider", "updated_at", "bytes", "n_lines", "sha256", "version", "exported_at", "found_bytes", "verified")
+
+
 def usage_csv(spark, d) -> DataFrame:
     e = table(spark, d, "events")
     daily = e.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("date")).agg(F.count("*").alias("tokens"))
@@ -279,6 +304,9 @@ QUERIES = {
     "copilot_log": copilot_log,
     "antigravity_log": antigravity_log,
     "exported_sessions": exported_sessions,
+    "bundle_check": bundle_check,
+    "log_totals": lambda spark, d: E.token_totals(spark, _ended(spark, d), "*.txt").select(_bucket(), "total"),
+    "log_identities": lambda spark, d: E.identities(spark, _ended(spark, d), "*.txt").select(_bucket(), "id", "model_provider", "source"),
     "usage_csv": usage_csv,
     "markdown_export": lambda spark, d: K.markdown(transcript(spark, d)),
     "upserted_rows": upserted_rows,
@@ -326,6 +354,11 @@ ORACLES = {
     "copilot_log": f"{_T} select session, 'e' || idx as id, case when role = 'user' or role = 'assistant' and session % 4 <> 0 then role else 'meta' end as role, text from transcript",
     "antigravity_log": f"{_T} select session, idx, {_TM} as at, case when role = 'system' then 'meta' else role end as role, case when role = 'user' then trim(text, ' ' || chr(9) || chr(10) || chr(13)) else text end as text, idx % 3 = 0 as cut from transcript",
     "exported_sessions": f"with {SESSIONS} select provider, id, title, tokens_used, updated_at from sessions where not archived and updated_at >= 700000000 and updated_at < 900000000",
+    "bundle_check": f"""with {TRANSCRIPT} select cast(session as varchar) as session, cast(idx // 3 as bigint) as chunk, 'p' || (session % 3) as provider, session * 10 as updated_at, cast(sum(strlen(text) + 1) as bigint) as bytes, count(*) as n_lines,
+      sha256(string_agg(text, chr(10) order by idx) || chr(10)) as sha256, 2 as version, 1700000000::bigint as exported_at, cast(sum(strlen(text) + 1) as bigint) as found_bytes, true as verified
+      from transcript where session % 7 > 0 and session % 5 > 0 and session >= 10 group by session, idx // 3""",
+    "log_totals": f"with {TRANSCRIPT} select session % 16 as bucket, coalesce(max(session * 1000 + idx) filter (role = 'assistant'), 0) as total from transcript group by 1",
+    "log_identities": f"with {TRANSCRIPT} select session % 16 as bucket, 's' || min(session) as id, case when min(session) % 2 = 0 then 'q' else 'openai' end as model_provider, null::varchar as source from transcript where role = 'system' and session % 3 > 0 group by 1",
     "usage_csv": f"""with d as (select strftime(ts, '%Y-%m-%d') as date, count(*) as n from events group by 1),
       u as (select user_id, count(*) as n, case user_id % 4 when 0 then '''=1+' when 1 then ' "-' when 2 then 'plain ' else '''' || chr(9) || '@' end || user_id as note from events group by 1)
       select -1::bigint as section, 0::bigint as at, chr(65279) || '"record_type","date","tokens","sessions","note"' || chr(13) as line
