@@ -53,6 +53,12 @@ def content_search(rows: DataFrame, query: str, per_session: int = PER_SESSION,
     return top.join(F.broadcast(kept), "session", "left_semi").withColumn("snippet", snippet(F.col("text"), query)).drop("text")
 
 
+def search_extent(rows: DataFrame, query: str, sessions: int = SESSIONS) -> DataFrame:
+    """One row (found, shown, truncated): how many sessions have a match, how many a capped search shows, and whether it shows fewer."""
+    hits = rows.where(find(F.col("text"), checked(query)) > 0).agg(F.countDistinct("session").alias("found"))
+    return hits.select("found", F.least("found", F.lit(sessions).cast("long")).alias("shown"), (F.col("found") > sessions).alias("truncated"))
+
+
 def _with(value: Column, make) -> Column:
     """make(value), with the value computed once however often it is used."""
     return F.element_at(F.transform(F.array(value), make), 1)

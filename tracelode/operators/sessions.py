@@ -89,6 +89,15 @@ def family_active(s: DataFrame, branches: DataFrame) -> DataFrame:
     return joined.where(F.col("family").isNull() | (F.col("id") == F.col("active_id")))
 
 
+def dangling_families(s: DataFrame, index: DataFrame, families: DataFrame, provider: str) -> DataFrame:
+    """(id, family): sessions of a provider that the index (id, family) puts into a family that isn't in families (family).
+
+    Such an index can't be trusted: a caller of family_active refuses to go on unless this is empty.
+    """
+    mine = s.where(F.col("provider") == provider).select("id")
+    return index.where("family is not null").join(mine, "id", "left_semi").join(families.select("family"), "family", "left_anti").select("id", "family")
+
+
 def representatives(s: DataFrame, provider: str | None = None) -> DataFrame:
     """One row of each family: of the current provider if there is one, else active, else any.
 

@@ -171,3 +171,27 @@ def counter_deltas(c: DataFrame, key: str, order: str, total: str) -> DataFrame:
     rows = c.withColumn("_b", before).withColumn("_r", reset)
     epoch = F.sum("_r").over(w.rowsBetween(W.unboundedPreceding, 0))
     return rows.withColumn("delta", F.when(F.col("_b").isNull() | (F.col("_r") == 1), F.col(total)).otherwise(F.col(total) - F.col("_b"))).withColumn("epoch", epoch).drop("_b", "_r")
+
+
+def prefix_problems(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """(session, problem): why no branch can begin at a cut, null if one can.
+
+    rows have session, idx, bad (not JSON), outer, kind and role as their lines
+    say; cuts session and cut. Up to the cut all lines must be good; the cut
+    must be there and be a message of a user or an assistant; the first line
+    must be the session's head. The first rule that fails is given; a cut comes
+    once a session.
+    """
+    before = cuts.join(rows, "session", "left").where("idx is null or idx <= cut")
+    good = ~F.coalesce("bad", F.lit(False))
+    outer, kind = F.coalesce("outer", F.lit("")), F.coalesce("kind", F.lit(""))
+    stable = (outer == "event_msg") & kind.isin("user_message", "agent_message") | (outer == "response_item") & (kind == "message") & F.coalesce(F.col("role").isin("user", "assistant"), F.lit(False))
+    at_cut = F.col("idx") == F.col("cut")
+    facts = before.groupBy("session").agg(
+        F.max(F.coalesce(~good & F.col("idx").isNotNull(), F.lit(False))).alias("broken"),
+        F.max(F.coalesce(at_cut, F.lit(False))).alias("there"),
+        F.max(F.coalesce(at_cut & stable, F.lit(False))).alias("stable"),
+        F.min_by(outer, "idx").alias("first"),
+    )
+    problem = F.when(F.col("broken"), "bad line").when(~F.col("there"), "no such line").when(~F.col("stable"), "no message").when(~F.coalesce(F.col("first") == "session_meta", F.lit(False)), "no head")
+    return cuts.select("session").distinct().join(facts, "session", "left").select("session", F.coalesce(problem, F.when(F.col("broken").isNull(), "no such line")).alias("problem"))

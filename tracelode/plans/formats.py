@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.scalars import epoch_seconds
+from ..operators import project as P
 from ..session import shared_folder, table
 from ..sources import agents as A
 from ..sources import bundles as B
@@ -166,6 +167,50 @@ def numstat_log(spark, d) -> DataFrame:
     return A.numstat(J.lines(spark, path, "*.txt")).select(_session(), "files", "added", "deleted", F.array_join("names", ",").alias("names"))
 
 
+def qwen_problems(spark, d) -> DataFrame:
+    """Every third session's first turn hangs on its last, every fifth's on nothing that is there; a dead branch of the others does too."""
+    last = F.max("idx").over(W.partitionBy("session"))
+    t = transcript(spark, d).withColumn("last", last)
+    up = F.when((F.col("idx") == 0) & (F.col("session") % 3 == 0), F.concat(F.lit("u"), "last")).when((F.col("idx") == 0) & (F.col("session") % 5 == 0), "gone").when(F.col("idx") > 0, F.concat(F.lit("u"), F.col("idx") - 1))
+    rows = t.select("session", (F.col("idx") + 1).alias("line"), _row(uuid=F.concat(F.lit("u"), "idx"), parentUuid=up, type=F.col("role")).alias("value"))
+    dead = t.select("session").distinct().select("session", F.lit(0).cast("long").alias("line"), _row(uuid=F.lit("dead"), parentUuid=F.lit("lost"), type=F.lit("user")).alias("value"))
+    return A.qwen_problems(_read(spark, _logs(rows.unionByName(dead), "session"))).select(_session(), "problem")
+
+
+def copilot_problems(spark, d) -> DataFrame:
+    """A start and a row a turn; by session and turn, ids are empty, repeated or their own parents, rows are no JSON or no events, starts are of another version or come twice."""
+    case = (F.col("session") + F.col("idx")) % 9
+    name = F.when(case == 1, "").when((case == 2) & (F.col("idx") > 0), F.concat(F.lit("e"), F.col("idx") - 1)).otherwise(F.concat(F.lit("e"), "idx"))
+    value = _row(id=name, parentId=F.when(case == 3, name).otherwise("gone"), type=F.when(case == 5, "session.start").otherwise("user.message"), data=F.when(case != 4, F.struct(F.col("text").alias("content"))), timestamp=F.when(case != 6, _stamp(_at())))
+    rows = transcript(spark, d).select("session", F.col("idx").alias("line"), F.when(case == 7, "{").otherwise(value).alias("value"))
+    start = _row(id=F.lit("start"), type=F.lit("session.start"), timestamp=F.lit("2026-01-01T00:00:00Z"), data=F.struct(F.when(F.col("session") % 4 == 0, 2).otherwise(1).alias("version")))
+    starts = rows.select("session").distinct().select("session", F.lit(-1).cast("long").alias("line"), start.alias("value"))
+    lines = J.lines(spark, _logs(rows.unionByName(starts), "session"), "*.txt").withColumn("json", F.try_parse_json("value"))
+    return A.copilot_problems(lines).select(_session(), F.col("line_no").cast("long").alias("line"), "problem")
+
+
+def cline_log(spark, d) -> DataFrame:
+    """A document a session with a text and a tool's use or result a message, and a manifest of every second session."""
+    t = transcript(spark, d)
+    use = F.when(F.col("role") == "assistant", F.to_json(F.struct(F.lit("tool_use").alias("type"), F.lit("run").alias("name")))).when(F.col("role") == "user", F.to_json(F.struct(F.lit("tool_result").alias("type")))).otherwise(F.to_json(F.struct(F.lit("thinking").alias("type"), F.lit("hm").alias("thinking"))))
+    one = F.concat(F.lit('{"role":"'), "role", F.lit('","content":['), F.to_json(F.struct(F.lit("text").alias("type"), "text")), F.lit(","), use, F.lit("]}"))
+    each = t.groupBy("session").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", one.alias("m")))), lambda x: x["m"]), ",").alias("ms"))
+    docs = each.select(F.parse_json(F.concat(F.lit('{"sessionId":"s'), "session", F.lit('","messages":['), "ms", F.lit("]}"))).alias("json"))
+    manifests = each.where("session % 2 = 0").select(F.parse_json(F.concat(F.lit('{"session_id":"s'), "session", F.lit('","cwd":"/w/'), "session", F.lit('"}'))).alias("json"))
+    return A.cline_events(docs, manifests).select("session", "message", "block", "role", "kind", "text", "cwd")
+
+
+def claude_log(spark, d) -> DataFrame:
+    """A row a turn whose blocks make it a message, a call, a result or a thought; some are meta or of a side chain."""
+    n, text = F.col("idx") % 4, F.struct(F.lit("text").alias("type"), F.col("text").alias("text"), F.lit(None).cast("string").alias("id"))
+    block = lambda kind: F.struct(F.lit(kind).alias("type"), F.lit(None).cast("string").alias("text"), F.lit("i").alias("id"))
+    content = F.when(n == 0, F.array(text, block("tool_use"))).when(n == 1, F.array(block("tool_use"))).when(n == 2, F.array(text, block("tool_result"))).otherwise(F.array(block("thinking"), block("redacted")))
+    message = F.when(F.col("session") % 6 > 0, F.struct("role", content.alias("content")))
+    value = _row(type=F.when(F.col("role") == "system", "note").otherwise(F.col("role")), timestamp=_stamp(_at()), message=message, isMeta=F.col("session") % 5 == 0, isSidechain=F.col("session") % 7 == 0)
+    path = _logs(transcript(spark, d).select("session", F.col("idx").alias("line"), value.alias("value")), "session")
+    return P.claude_events(_read(spark, path), side_chains=False).select(_session(), F.col("line_no").cast("long").alias("line"), "role", "kind", "text")
+
+
 def pi_log(spark, d) -> DataFrame:
     """Every turn with a dead branch before it."""
     t = transcript(spark, d).withColumn("parent", F.lag("idx").over(W.partitionBy("session").orderBy("idx")))
@@ -301,6 +346,10 @@ QUERIES = {
     "history_log": history_log,
     "numstat_log": numstat_log,
     "pi_log": pi_log,
+    "qwen_problems": qwen_problems,
+    "copilot_problems": copilot_problems,
+    "cline_log": cline_log,
+    "claude_log": claude_log,
     "copilot_log": copilot_log,
     "antigravity_log": antigravity_log,
     "exported_sessions": exported_sessions,
@@ -329,6 +378,16 @@ _CELL = "coalesce('\"' || replace({c}, '\"', '\"\"') || '\"', '')"
 _D = "with e as (select case when event_id % 50 <> 0 then ts end as ts, cast(json_extract(props, '$.k') as bigint) as k from events)"
 
 ORACLES = {
+    "qwen_problems": f"{_T} select distinct session, case when session % 3 = 0 then 'cycle' else 'missing parent' end as problem from transcript where session % 3 = 0 or session % 5 = 0",
+    "copilot_problems": f"""{_T}, c as (select session, idx, (session + idx) % 9 as k from transcript), i as (select *, case when k = 1 then '' when k = 2 and idx > 0 then 'e' || (idx - 1) else 'e' || idx end as id from c),
+      n as (select *, row_number() over (partition by session, case when k <> 7 then id end order by idx) as nth from i)
+      select session, idx + 1 as line, case when k = 7 then 'not JSON' when id = '' then 'empty id' when k in (4, 6) then 'bad event' when nth > 1 then 'repeated id' when k = 3 then 'own parent' when k = 5 then 'second start' end as problem from n where problem is not null
+      union all select distinct session, 0, 'bad start' from c where session % 4 = 0""",
+    "cline_log": f"""{_T}, b as (select *, unnest([0, 1]) as block from transcript)
+      select 's' || session as session, cast(idx as integer) as message, cast(block as integer) as block, case when block = 0 then role when role = 'assistant' then 'tool_call' when role = 'user' then 'tool_result' else 'reasoning' end as role,
+        case when block = 0 then 'text' when role = 'assistant' then 'tool_use' when role = 'user' then 'tool_result' else 'thinking' end as kind, case when block = 0 then text when role = 'assistant' then 'run' when role = 'user' then '' else 'hm' end as text, case when session % 2 = 0 then '/w/' || session end as cwd from b""",
+    "claude_log": f"""{_T} select session, idx as line, case when session % 5 = 0 or session % 7 = 0 or session % 6 = 0 then 'meta' when idx % 4 = 0 then role when idx % 4 = 1 then 'tool_call' when idx % 4 = 2 then 'tool_result' else 'reasoning' end as role,
+      case when role = 'system' then 'note' else role end as kind, case when session % 6 > 0 and idx % 2 = 0 then text else '' end as text from transcript""",
     "log_validation": f"{_L} select session, count(*) as n_lines, cast(sum(bad::int) as bigint) as n_bad, not bool_or(bad) as ok from l group by 1",
     "log_policies": f"{_L} select session, idx as line, bad as broken, case when not bad then text end as text from l qualify not bad or bool_and(bad) over (partition by session) and idx = max(idx) over (partition by session)",
     "claude_summary": f"""{_T}, g as (select session, 's' || session as id, case when bool_or(idx % 2 = 1) then '/w/p' || (session % 10) else '' end as cwd,

@@ -42,6 +42,7 @@ QUERIES = {
     "literal_find_exact": lambda spark, d: _docs(spark, d).select("idx", L.find(F.col("text"), "é de").cast("long").alias("place")),
     "snippet": lambda spark, d: _docs(spark, d).select("idx", L.snippet(F.col("text"), Q).alias("snippet")),
     "content_search": lambda spark, d: L.content_search(_docs(spark, d), Q).select("session", "idx", "snippet"),
+    "search_extent": lambda spark, d: L.search_extent(transcript(spark, d).withColumnRenamed("role", "kind"), Q, 20),
     "top3_matches": lambda spark, d: L.content_search(_docs(spark, d), Q, 3, 5).select("session", "idx", F.col("nth").cast("long").alias("nth")),
     "registry_search_short": _registry("ß"),
     "registry_search_long": _registry("the ent"),
@@ -84,6 +85,7 @@ _HITS = f"""{TRANSCRIPT}, v as (select session, idx, case when idx % 2 = 0 then
       p as (select *, cast(sum(length(gap)) over (partition by session, idx order by n) - length(gap) + 2 * (n - 1) as bigint) as here from g)"""
 
 ORACLES = {
+    "search_extent": f"with {TRANSCRIPT}, n as (select count(distinct session) as found from transcript where {_AT} > 0) select found, least(found, 20) as shown, found > 20 as truncated from n",
     "match_ranges_any_case": f"with {_HITS} select session, idx, here + length(gap) as start, 2::bigint as length from p where n < parts",
     "highlight_parts_any_case": f"""with {_HITS}, u as (select session, idx, n * 2 as o, substr(text, here + 1, length(gap)) as part, false as hit from p where length(gap) > 0 or parts = 1
         union all select session, idx, n * 2 + 1, substr(text, here + length(gap) + 1, 2), true from p where n < parts)

@@ -98,6 +98,7 @@ QUERIES = {
     "archive_origin_winner": lambda spark, d: L.winning_origin(_events(spark, d)),
     "bundle_range": lambda spark, d: L.updated_in(sessions(spark, d), 820_454_400, 852_076_800).select("id", "updated_at"),
     "family_active": lambda spark, d: L.family_active(sessions(spark, d), _family(sessions(spark, d)).where("family is not null").groupBy("family").agg(F.min("id").alias("active_id")).join(_family(sessions(spark, d)).select("id", "family"), "family")).select("id", "family"),
+    "family_dangling": lambda spark, d: L.dangling_families(sessions(spark, d), _family(sessions(spark, d)).select("id", "family"), _family(sessions(spark, d)).where("id % 7 = 0").select("family").distinct(), "BUILDING"),
     "family_representative": lambda spark, d: L.representatives(_family(sessions(spark, d)), "BUILDING").select("id", "family"),
     "list_by_activity": lambda spark, d: L.page(sessions(spark, d), L.by_activity(None), 40, 20).select("id", F.col("place").cast("long").alias("place")),
     "list_by_size": lambda spark, d: sessions(spark, d).orderBy(*L.by_size(bytes_="logs_count")).limit(50).select("id", "tokens_used", "logs_count"),
@@ -127,6 +128,7 @@ ORACLES = {
     "archive_origin_filter": f"{_S}, {_LEDGER} select id, coalesce(origin, 'unknown') as origin from sessions left join ledger using (id) where archived and coalesce(origin, 'unknown') in ('user', 'restored', 'unknown')",
     "archive_origin_winner": "with e as (select user_id as id, (['unknown', 'user', 'restored', 'import', 'migration', 'retention', 'cleanup'])[event_id % 7 + 1] as origin from events) select id, arg_max(origin, list_position(['unknown', 'retention', 'cleanup', 'migration', 'import', 'restored', 'user'], origin)) as origin from e where id % 4 <> 0 or origin = 'unknown' group by 1",
     "bundle_range": f"{_S} select id, updated_at from sessions where updated_at >= 820454400 and updated_at < 852076800",
+    "family_dangling": f"{_S}, {_FAMILY} select id, family from f where provider = 'BUILDING' and family is not null and family not in (select family from f where id % 7 = 0 and family is not null)",
     "family_active": f"{_S}, {_FAMILY}, a as (select family, min(id) as active_id from f where family is not null group by 1) select f.id, f.family from f left join a using (family) where f.family is null or f.id = active_id",
     "family_representative": f"{_S}, {_FAMILY} select id, family from f qualify family is null or row_number() over (partition by family order by case when provider = 'BUILDING' then 2 when active then 1 else 0 end desc, updated_at desc, active desc, created_at desc, id) = 1",
     "list_by_activity": f"{_S} {_PAGE}",

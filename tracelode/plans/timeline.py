@@ -38,7 +38,18 @@ def _pairs(spark, d):
     return a.join(b, ["pair", "line"], "full_outer")
 
 
+
+def _branching(spark, d):
+    """Logs some of which lack a head, a line or the cut, or have a bad line."""
+    t, n = transcript(spark, d), F.col("session")
+    outer = F.when((F.col("idx") == 0) & (n % 4 > 0), "session_meta").when(F.col("idx") % 2 == 0, "event_msg").otherwise("response_item")
+    kind = F.when(F.col("idx") % 2 == 1, "message").when(F.col("role") == "user", "user_message").otherwise("token_count")
+    rows = t.select("session", "idx", ((n % 7 == 6) & (F.col("idx") == 1)).alias("bad"), outer.alias("outer"), kind.alias("kind"), "role")
+    return L.prefix_problems(rows, t.select("session").distinct().select("session", (n % 6).cast("long").alias("cut")))
+
+
 QUERIES = {
+    "branch_problems": _branching,
     "turn_segments": lambda spark, d: L.turns(transcript(spark, d)).select("session", "idx", "turn"),
     "turn_phases": lambda spark, d: L.assign_phases(transcript(spark, d)).select("session", "idx", "phase"),
     "turn_final_answer": lambda spark, d: L.final_answers(_phased(spark, d)),
@@ -80,6 +91,9 @@ ORACLES = {
       c as (select *, coalesce(diff - 1, greatest(na, nb)) as common from g)
       select pair, common, case when diff is null then 'same' when common = na then 'branch_ahead' when common = nb then 'active_ahead' else 'diverged' end as state,
         case when diff is null then 0 when common = na then nb - na when common = nb then na - nb else 0 end as ahead from c""",
+    "branch_problems": f"""{_T}, c as (select distinct session, session % 6 as cut from transcript), f as (select session, bool_or(session % 7 = 6 and idx = 1) as broken, bool_or(idx = cut) as there,
+        bool_or(idx = cut and (cut % 2 = 1 and role in ('user', 'assistant') or cut % 2 = 0 and role = 'user' and not (idx = 0 and session % 4 > 0))) as stable, bool_or(idx = 0 and session % 4 > 0) as head from c join transcript t using (session) where idx <= cut group by 1)
+      select session, case when coalesce(broken, false) then 'bad line' when not coalesce(there, false) then 'no such line' when not stable then 'no message' when not head then 'no head' end as problem from c left join f using (session)""",
     "prefix_to_node": f"{_T}, c as (select session, max(idx) - 1 as cut from transcript group by 1), s as (select c.* from c join transcript t on t.session = c.session and t.idx = c.cut where role in ('user', 'assistant')) select t.session, t.idx from transcript t join s using (session) where t.idx <= cut",
     "window_chunks": f"{_E}, n as (select session, idx, (row_number() over (partition by session order by idx) - 1) // 40 as chunk from e) select session, chunk, count(*) as n, min(idx) as first from n group by 1, 2",
     "message_time_span": f"{_E} select session, min(tm // 60 * 60) as first, max(tm // 60 * 60) as last, count(distinct tm // 86400) > 1 as several_days from e group by 1",

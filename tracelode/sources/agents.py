@@ -136,11 +136,31 @@ STATE_ROWS = (
 )
 
 
-def qwen_events(rows: DataFrame) -> DataFrame:
-    """(path, place, id, role, text): the way from the root to the last row, fragments of an id merged in their order."""
+def _qwen(rows: DataFrame) -> DataFrame:
+    """Rows of messages: id, parent and parts; a program's own state is left out."""
     r = rows.select("path", "line_no", text_at("$.uuid").alias("id"), text_at("$.parentUuid").alias("parent"), text_at("$.type").alias("type"), text_at("$.subtype").alias("subtype"), F.try_variant_get("json", "$.message.parts", "array<variant>").alias("parts"))
     skip = F.coalesce((F.col("type") == "system") & F.col("subtype").isin(*STATE_ROWS), F.lit(False))
-    r = r.where(~skip & F.col("id").isNotNull())
+    return r.where(~skip & F.col("id").isNotNull())
+
+
+def qwen_problems(rows: DataFrame) -> DataFrame:
+    """(path, problem) of logs whose way up from the last row ends at an id that isn't there, or never.
+
+    Rows beside the way may hang on anything; a log without problems isn't listed.
+    """
+    r = _qwen(rows)
+    key = lambda c: F.when(F.col(c).isNotNull() & (F.col(c) != ""), F.concat_ws("\u0001", "path", c))
+    nodes = r.groupBy(key("id").alias("id")).agg(F.min_by(key("parent"), "line_no").alias("parent")).where("id is not null")
+    tips = r.groupBy("path").agg(F.max_by("id", "line_no").alias("id")).select(key("id").alias("id")).where("id is not null")
+    way = graph.ancestors(nodes, tips)
+    lost = way.join(nodes, "id", "left_anti").select("id", F.lit("missing parent").alias("problem"))
+    ring = graph.on_cycles(nodes.join(way.select("id"), "id", "left_semi")).withColumn("problem", F.lit("cycle"))
+    return lost.unionByName(ring).select(F.split("id", "\u0001")[0].alias("path"), "problem").distinct()
+
+
+def qwen_events(rows: DataFrame) -> DataFrame:
+    """(path, place, id, role, text): the way from the root to the last row, fragments of an id merged in their order."""
+    r = _qwen(rows)
     text = F.filter(F.transform("parts", lambda p: F.when(~F.coalesce(F.try_variant_get(p, "$.thought", "boolean"), F.lit(False)), F.try_variant_get(p, "$.text", "string"))), lambda t: t.isNotNull() & ~F.ltrim(t).startswith("<qwen:user-prompt-submit-context>"))
     told = r.withColumn("text", F.array_join(text, ""))
     merged = told.groupBy("path", "id").agg(F.min_by("parent", "line_no").alias("parent"), F.min_by("type", "line_no").alias("type"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "").alias("text"))
@@ -199,6 +219,31 @@ def copilot_events(rows: DataFrame) -> DataFrame:
     return first.select("path", "line_no", "id", role.alias("role"), "text")
 
 
+def copilot_problems(rows: DataFrame) -> DataFrame:
+    """(path, line_no, problem): the first that each bad line of a log has; json may be null.
+
+    A parent that isn't there is none, as a program cuts its logs; an event that
+    names itself is.
+    """
+    kind = lambda p: F.schema_of_variant(F.try_variant_get("json", p, "variant"))
+    begins = (text_at("$.type") == "session.start") & (long_at("$.data.version") == 1)
+    r = rows.withColumn("id", text_at("$.id")).withColumn("nth", F.row_number().over(W.partitionBy("path", "id").orderBy("line_no")))
+    head = rows.groupBy("path").agg(F.min("line_no").alias("head"))
+    r = r.join(head, "path")
+    first = F.col("line_no") == F.col("head")
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    problem = (
+        F.when(F.col("json").isNull(), "not JSON")
+        .when(no(F.col("id") != ""), "empty id")
+        .when(no(text_at("$.type") != "") | no(kind("$.data").startswith("OBJECT")) | no(seconds_at("$.timestamp") != 0), "bad event")
+        .when(F.col("nth") > 1, "repeated id")
+        .when(text_at("$.parentId") == F.col("id"), "own parent")
+        .when(first & no(begins), "bad start")
+        .when(~first & (text_at("$.type") == "session.start"), "second start")
+    )
+    return r.select("path", "line_no", problem.alias("problem")).where("problem is not null")
+
+
 def antigravity_events(rows: DataFrame) -> DataFrame:
     """(path, idx, at, role, text, cut): steps; a user's text is what its request marks hold; cut tells of fields left out."""
     kind, source = text_at("$.type"), text_at("$.source")
