@@ -161,7 +161,7 @@ def next_hits(rows: DataFrame, hit: Column) -> DataFrame:
     """Each row with the nearest hit after and before it, and the hit after the last is the first again."""
     w = W.partitionBy("session").orderBy("idx")
     place = F.when(hit, F.col("idx"))
-    after = F.min(place).over(w.rowsBetween(1, W.unboundedFollowing))
+    after = F.min(place).over(W.partitionBy("session").orderBy(F.desc("idx")).rowsBetween(W.unboundedPreceding, -1))
     before = F.max(place).over(w.rowsBetween(W.unboundedPreceding, -1))
     first, last = (f(place).over(W.partitionBy("session")) for f in (F.min, F.max))
     return rows.withColumn("next_hit", F.coalesce(after, first)).withColumn("previous_hit", F.coalesce(before, last))

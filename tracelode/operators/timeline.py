@@ -14,7 +14,7 @@ from pyspark.sql.window import Window as W
 CHUNK = 40
 
 
-def _in_session(*order: str):
+def _in_session(*order: str | Column):
     return W.partitionBy("session").orderBy(*(order or ("idx",)))
 
 
@@ -81,7 +81,8 @@ def in_time(t: DataFrame, start: int | None, end: int | None, time: str = "at")
 
 def inclusion(t: DataFrame, message: Column, chosen: Column) -> DataFrame:
     """Messages as chosen; other rows follow the next message, or the one before where none comes."""
-    after = F.first(F.when(message, chosen), ignorenulls=True).over(_in_session().rowsBetween(0, W.unboundedFollowing))
+    # What comes after is read backwards: a frame to the end is run through anew for every row.
+    after = F.last(F.when(message, chosen), ignorenulls=True).over(_in_session(F.desc("idx")).rowsBetween(W.unboundedPreceding, 0))
     before = F.last(F.when(message, chosen), ignorenulls=True).over(_in_session().rowsBetween(W.unboundedPreceding, 0))
     return t.withColumn("included", F.when(message, chosen).otherwise(F.coalesce(after, before, F.lit(False))))
 
@@ -149,15 +150,16 @@ def time_span(t: DataFrame, time: str = "at") -> DataFrame:
 def nearest_mirror(t: DataFrame, kind: str, opposite: dict[str, str]) -> DataFrame:
     """Rows with the nearest row of the same text and the opposite kind; of two equally near the one before.
 
-    The nearest on either side comes from windows, so a text that repeats n
-    times makes n rows and no n * n pairs.
+    The nearest on either side comes from frames that begin at one end, each row
+    read once, so a text that repeats n times takes n steps a side. Rows of one
+    place see each other.
     """
-    w = W.partitionBy("session", "text").orderBy("idx")
+    group = W.partitionBy("session", "text")
+    up, down = (group.orderBy(o).rangeBetween(W.unboundedPreceding, W.currentRow) for o in ("idx", F.desc("idx")))
     out = t.withColumn("mirror", F.lit(None).cast("long"))
     best = F.lit(None)
     for mine, other in opposite.items():
-        before = F.last(F.when(F.col(kind) == other, F.col("idx")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
-        after = F.first(F.when(F.col(kind) == other, F.col("idx")), ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing))
+        before, after = (F.last(F.when(F.col(kind) == other, F.col("idx")), ignorenulls=True).over(w) for w in (up, down))
         near = F.when(after.isNull() | (F.col("idx") - before <= after - F.col("idx")), F.coalesce(before, after)).otherwise(after)
         best = F.when(F.col(kind) == mine, near).otherwise(best)
     return out.withColumn("mirror", best)

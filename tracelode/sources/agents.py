@@ -107,7 +107,7 @@ def grok_events(rows: DataFrame) -> DataFrame:
     in_file = W.partitionBy("path").orderBy("line_no")
     told = rows.select("path", "line_no", kind.alias("kind"), extension.alias("extension"), target.alias("target"), prompt.alias("prompt"), text_at(f"{u}.content.text").alias("text"), text_at(f"{u}.toolCallId").alias("call"), text_at(f"{u}.title").alias("title"), flag_at(f"{u}._meta.hostTurn").alias("host"))
     at = told.withColumn("at", F.last(F.coalesce("prompt", F.col("target") - 1), True).over(in_file))
-    later = F.min("target").over(in_file.rowsBetween(1, W.unboundedFollowing))
+    later = F.min("target").over(W.partitionBy("path").orderBy(F.desc("line_no")).rowsBetween(W.unboundedPreceding, -1))
     alive = at.withColumn("later", later).where("target is null and (later is null or coalesce(at, -1) < later)")
     chunk = F.col("kind").isin("user_message_chunk", "agent_message_chunk", "agent_thought_chunk") & ~F.col("extension") & ~F.col("host") & F.col("text").isNotNull()
     key = F.when(chunk, F.concat_ws("|", "kind", F.coalesce(F.col("prompt").cast("string"), F.lit(""))))
