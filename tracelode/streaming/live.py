@@ -221,16 +221,20 @@ def follow(spark, path: str, digests: str | None = None) -> DataFrame:
 
 
 def _newest(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Of a key's revisions those that are later than all before; values seen before and earlier ones are refused."""
+    """Of a key's revisions those that are later than all before; values seen before and earlier ones are refused.
+
+    A key's rows may come in several batches, cut anywhere, so they are put in
+    order over all of them, as two columns of numbers.
+    """
     last, tokens = state.get if state.exists else (-1, -1)
     out = []
-    for batch in batches:
-        for at, n in sorted(zip(batch["at"], batch["tokens"], strict=True)):
-            late = at <= last
-            if not (late and n == tokens):
-                out.append((*key, int(at), int(n), "late" if late else "kept"))
-            if not late:
-                last, tokens = int(at), int(n)
+    rows = pd.concat([batch[["at", "tokens"]] for batch in batches]).sort_values(["at", "tokens"])
+    for at, n in zip(rows["at"].tolist(), rows["tokens"].tolist(), strict=True):
+        late = at <= last
+        if not (late and n == tokens):
+            out.append((*key, at, n, "late" if late else "kept"))
+        if not late:
+            last, tokens = at, n
     state.update((last, tokens))
     yield pd.DataFrame(out, columns=["key", "at", "tokens", "what"])
 
