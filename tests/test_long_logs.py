@@ -1,7 +1,9 @@
 """Logs and groups longer than those of the small tables."""
 
+import glob
 import random
 import re
+from pathlib import Path
 
 import duckdb
 import pandas as pd
@@ -9,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelode.operators import search, timeline
-from tracelode.plans import catalog
+from tracelode.plans import catalog, formats
+from tracelode.sources import jsonl
 from tracelode.streaming import live
 
 
@@ -66,3 +69,24 @@ def test_long_conversations_equal_their_sql(spark, long_turns, key):
     df = catalog.QUERIES[key](spark, d)
     want = con.execute(f"select {', '.join(f'"{c}"' for c in sorted(df.columns))} from ({catalog.ORACLES[key]})").fetchall()
     assert sorted(map(tuple, df.select(*sorted(df.columns)).collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_packed_logs_read_like_files_and_are_few_files(spark, tmp_path):
+    rows = spark.range(600).select((F.col("id") % 200).alias("session"), F.col("id").alias("line"), F.when(F.col("id") % 7 > 0, F.concat(F.lit("l\tü "), "id")).alias("value"))
+    jsonl.pack(rows.select(F.concat(F.lit("/x/session="), "session", F.lit("/log.txt")).alias("path"), "line", "value"), f"file://{tmp_path}/packed")
+    path = formats._files(rows.withColumn("value", F.coalesce("value", F.lit(" "))), "session")
+    name = F.regexp_extract("path", "session=([0-9]+)", 1).alias("log")
+    read = [sorted(x.select(name, "line_no", "value").collect()) for x in (jsonl.packed_lines(spark, f"file://{tmp_path}/packed"), jsonl.lines(spark, path, "*.txt"))]
+    assert read[0] == read[1] and len(read[0]) == rows.where("value is not null").count()
+    # A file costs the same whatever its size: logs of a query lie in few, not in one each.
+    kept = formats._logs(rows, "session").removeprefix("file://")
+    assert len(list(Path(kept).rglob("part-*"))) < 20
+
+
+def test_followed_logs_hold_many_sessions(spark, monkeypatch):
+    asked = []
+    follow = live.follow
+    monkeypatch.setattr(live, "follow", lambda spark, path: asked.append(path) or follow(spark, path))
+    rows = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    assert formats.stream_appended(spark, "/root/testdata/sf0.001").count() == rows.count()
+    assert 0 < len(glob.glob(asked[0].removeprefix("file://"))) <= 4 < rows.select("conv_id").distinct().count()

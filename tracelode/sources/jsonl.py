@@ -1,8 +1,9 @@
 """Session logs of one JSON object a line, as rows with file and line number.
 
 Spark reads a log whole where the order of its lines counts, and numbers the
-lines there; files are dealt out over the cluster. Bad lines are kept, dropped
-or refused by policy.
+lines there; files are dealt out over the cluster. Very many small logs are
+packed, a row a log, as a file costs the same whatever its size. Bad lines are
+kept, dropped or refused by policy.
 """
 
 from __future__ import annotations
@@ -18,8 +19,22 @@ POLICIES = ("strict", "tolerant", "tolerant_unless_all_bad")
 def lines(spark: SparkSession, path: str | Sequence[str], glob: str = "*.jsonl", deep: bool = True) -> DataFrame:
     """(path, line_no, value) of every line that isn't blank, numbered from 0 as in the file; below all folders, or right in the given ones."""
     reader = spark.read.option("recursiveFileLookup", str(deep).lower()).option("pathGlobFilter", glob)
-    files = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split("value", "\r?\n").alias("each"))
-    return files.select("path", F.posexplode("each").alias("line_no", "value")).where(F.trim("value") != "")
+    return _numbered(reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")))
+
+
+def _numbered(logs: DataFrame) -> DataFrame:
+    return logs.select("path", F.posexplode(F.split("content", "\r?\n")).alias("line_no", "value")).where(F.trim("value") != "")
+
+
+def pack(rows: DataFrame, path: str) -> None:
+    """Write logs as rows (path, content) of Parquet files; rows have the log's path, line, by which its lines are sorted, and value, one line's text or null for a blank one."""
+    each = F.array_sort(F.collect_list(F.struct("line", F.coalesce("value", F.lit("")).alias("value"))))
+    rows.groupBy("path").agg(F.array_join(F.transform(each, lambda x: x["value"]), "\n").alias("content")).write.parquet(path)
+
+
+def packed_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """As lines, of logs that were packed."""
+    return _numbered(spark.read.schema("path string, content string").parquet(*([path] if isinstance(path, str) else path)))
 
 
 def parsed(rows: DataFrame, policy: str = "tolerant") -> DataFrame:
