@@ -1,10 +1,11 @@
 """A search index that is written once and read by buckets.
 
-Three Parquet folders beside each other: the rows by id, postings (gram, id) of
-all different trigrams and postings (word, id) of all different words. Postings
-lie in folders by a hash of the gram, or of a word's first letter, sorted, so that
-a search reads the folders and row groups of what it asks for. Rows that come
-later are appended.
+Three Parquet folders beside each other: the rows by id, postings (gram, ids) of
+all different trigrams and postings (word, id) of all different words. A row of
+grams holds the ids of the rows with it among some that lay side by side, so that
+there are far fewer than letters in the texts. Postings lie in folders by a hash
+of the gram, or of a word's first letter, sorted, so that a search reads the
+folders and row groups of what it asks for. Rows that come later are appended.
 
 A search takes the rarest of a query's trigrams, intersects their postings, adds
 rows by words where the query may be the head of words, and looks at the texts
@@ -14,14 +15,17 @@ of those candidates alone.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import batches_of
 from .search import MARKED, PLAIN, checked, find, registry_search, words_plain
 
 BUCKETS, WORD_BUCKETS = 64, 32
@@ -29,6 +33,10 @@ BUCKETS, WORD_BUCKETS = 64, 32
 RAREST = 3
 #: Candidates whose ids are sent with the scan of the rows; more are joined.
 LISTED = 10_000
+#: Trigrams that a task turns into postings at once, and rows that it is handed at once.
+LETTERS, HANDED = 1_000_000, 200
+#: Parts into which the postings of a bucket are dealt, by a hash of the key.
+PARTS = 8
 #: Bytes of a row group of the rows, so that few texts are read besides a candidate's.
 ROW_GROUP = 1 << 20
 
@@ -47,10 +55,47 @@ def grams(query: str) -> list[str]:
     return sorted({q[i : i + 3] for i in range(len(q) - 2)})
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _grams(texts: pd.Series) -> pd.Series:
-    """The different trigrams of a row's texts; the built-in functions have no window of characters that is linear."""
-    return pd.Series([list({t[i : i + 3] for t in row for i in range(len(t) - 2)}) for row in texts])
+def _codes(text: str) -> np.ndarray:
+    """The different trigrams of a text as sorted numbers of three times 21 bits."""
+    c = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+    return np.unique(c[:-2] << 42 | c[1:-1] << 21 | c[2:])
+
+
+@F.pandas_udf(T.StringType())
+def _gram(codes: pd.Series) -> pd.Series:
+    return codes.map(lambda n: chr(n >> 42) + chr(n >> 21 & 0x1FFFFF) + chr(n & 0x1FFFFF))
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, texts) to (code, ids): for each trigram the ids of rows that have it, among so many that their trigrams fill LETTERS.
+
+    What is held is bounded by LETTERS and one row's texts, whatever a batch has.
+    """
+
+    def told(codes: list[np.ndarray], ids: list[pa.Array]) -> pa.RecordBatch:
+        every = np.concatenate(codes)
+        row = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
+        order = np.argsort(every, kind="stable")
+        every = every[order]
+        first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(every)].astype(np.int32)), pa.concat_arrays(ids).take(pa.array(row[order])))
+        return pa.RecordBatch.from_arrays([pa.array(every[first]), lists], ["code", "ids"])
+
+    codes: list[np.ndarray] = []
+    ids: list[pa.Array] = []
+    held = 0
+    for batch in batches:
+        for at in range(batch.num_rows):
+            texts = [_codes(t) for t in batch.column("texts")[at].as_py() if len(t) > 2]
+            if texts:
+                codes.append(np.unique(np.concatenate(texts)) if len(texts) > 1 else texts[0])
+                ids.append(batch.column("id").slice(at, 1))
+                held += len(codes[-1])
+            if held > LETTERS:
+                yield told(codes, ids)
+                codes, ids, held = [], [], 0
+    if codes:
+        yield told(codes, ids)
 
 
 def _bucket(text: Column, buckets: int) -> Column:
@@ -77,15 +122,17 @@ class Index:
         kept = rows.select(self.id_col, *self.columns)
         kept.repartitionByRange(self.id_col).sortWithinPartitions(self.id_col).write.mode(mode).option("parquet.block.size", ROW_GROUP).parquet(f"{self.path}/rows")
         some = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in self.columns]
-        self._postings(kept.select(F.explode(_grams(F.array(*map(_folded, some)))).alias("gram"), self.id_col), "gram", F.col("gram"), BUCKETS, "grams", mode)
+        kind = kept.schema[self.id_col].dataType.simpleString()
+        with batches_of(self.spark, HANDED):
+            grams = kept.select(F.col(self.id_col).alias("id"), F.array(*map(_folded, some)).alias("texts")).mapInArrow(_grams, f"code long, ids array<{kind}>")
+            self._postings(grams.select(_gram("code").alias("gram"), "ids"), "gram", F.col("gram"), BUCKETS, "grams", mode)
         all_words = reduce(F.array_union, [F.split(F.trim(words_plain(c)), " ") for c in some])
         words = kept.select(F.explode(all_words).alias("word"), self.id_col).where("word <> ''")
         self._postings(words, "word", F.substr("word", F.lit(1), F.lit(1)), WORD_BUCKETS, "words", mode)
 
     def _postings(self, rows: DataFrame, key: str, by: Column, buckets: int, folder: str, mode: str) -> None:
-        """By ranges of bucket, key and id, so that a gram of all texts is spread over files and each file is sorted."""
-        order = ["bucket", key, self.id_col]
-        placed = rows.withColumn("bucket", _bucket(by, buckets)).repartitionByRange(*order).sortWithinPartitions(*order)
+        """Dealt by bucket and parts of it, so that what gives the postings is computed once, with no sample before; each file is sorted by key."""
+        placed = rows.withColumn("bucket", _bucket(by, buckets)).repartition("bucket", F.pmod(F.xxhash64(key, rows.columns[1]), F.lit(PARTS))).sortWithinPartitions("bucket", key)
         placed.write.mode(mode).partitionBy("bucket").parquet(f"{self.path}/{folder}")
 
     def build(self, rows: DataFrame) -> Index:
@@ -105,24 +152,26 @@ class Index:
     def _all(self, folder: str, key: str) -> DataFrame:
         """The postings; a schema is given, as an index of no rows has no files."""
         kind = self.rows().schema[self.id_col].dataType.simpleString()
-        return self.spark.read.schema(f"{key} string, `{self.id_col}` {kind}, bucket int").parquet(f"{self.path}/{folder}")
+        held = f"ids array<{kind}>" if folder == "grams" else f"`{self.id_col}` {kind}"
+        return self.spark.read.schema(f"{key} string, {held}, bucket int").parquet(f"{self.path}/{folder}")
 
     def _of(self, folder: str, key: str, buckets: set[int], test: Column) -> DataFrame:
-        return self._all(folder, key).where(F.col("bucket").isin(sorted(buckets)) & test).select(key, self.id_col)
+        return self._all(folder, key).where(F.col("bucket").isin(sorted(buckets)) & test)
 
     def gram_counts(self) -> DataFrame:
         """(gram, n): in how many rows each trigram is."""
-        return self._all("grams", "gram").groupBy("gram").agg(F.count("*").alias("n"))
+        return self._all("grams", "gram").groupBy("gram").agg(F.sum(F.size("ids")).cast("long").alias("n"))
 
     def by_grams(self, query: str) -> DataFrame:
         """Ids of rows that hold the rarest trigrams of a query."""
         asked = grams(query)
         found = self._of("grams", "gram", {_bucket_of(g, BUCKETS) for g in asked}, F.col("gram").isin(asked))
-        often = {r["gram"]: r["n"] for r in found.groupBy("gram").agg(F.count("*").alias("n")).collect()}  # a row for each trigram of the query at most
+        often = {r["gram"]: r["n"] for r in found.groupBy("gram").agg(F.sum(F.size("ids")).alias("n")).collect()}  # a row for each trigram of the query at most
         rarest = sorted(asked, key=lambda g: often.get(g, 0))[:RAREST]
         if not all(g in often for g in rarest):
             return self.rows().select(self.id_col).limit(0)
         some = self._of("grams", "gram", {_bucket_of(g, BUCKETS) for g in rarest}, F.col("gram").isin(rarest))
+        some = some.select("gram", F.explode("ids").alias(self.id_col))
         return some.groupBy(self.id_col).agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(rarest)).select(self.id_col)
 
     def by_words(self, query: str) -> DataFrame:
@@ -145,7 +194,8 @@ class Index:
         """Rows whose column holds a query of two characters or more (see search.find)."""
         query = checked(query)
         rows = self.rows() if len(query) < 3 else self.texts(self.by_grams(query))
-        return rows.where(find(F.col(column), query) > 0)
+        # A test that a null passes through, so that ids alone are what the scan is asked for.
+        return rows.where(F.coalesce(find(F.col(column), query), F.lit(0)) > 0)
 
     def registry(self, query: str, columns: tuple[str, ...], narrow: tuple[str, ...]) -> DataFrame:
         """As search.registry_search; only a query under three characters has all rows looked at."""
