@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..session import cut_lineage
+from ..session import batches_of, cut_lineage
 from ..sources.jsonl import text_at
 from . import graph
 
@@ -28,8 +28,8 @@ STATES = ("composerData:", "bubbleId:")
 
 #: Bits of the filter that windows pass before they are rows: at most 16 MB, whatever the number of digests.
 LEAST_BITS, MOST_BITS = 16, 27
-#: Windows tried at once in a task.
-STRIDE = 1 << 20
+#: Windows tried at once in a task, and rows that it is handed at once: what passes the filter is a share of their bytes.
+STRIDE, HANDED = 1 << 20, 256
 BLANKS = " \t\r\n"
 
 
@@ -116,8 +116,9 @@ def live(store: DataFrame) -> DataFrame:
     """(id, depth): blobs that a pointer or state names, directly or through other blobs."""
     blobs = named(store, BLOB)
     raw = store.join(blobs.select("key", F.col("id").alias("_id")), "key").select(F.col("_id").alias("key"), F.col("value").alias("raw"))
-    edges = cut_lineage(windows_among(raw, blobs).select(F.col("key").alias("parent"), "id").distinct())
-    roots = windows_among(_readings(store).select("key", "raw"), blobs).select("id").distinct()
+    with batches_of(store.sparkSession, HANDED):
+        edges = cut_lineage(windows_among(raw, blobs).select(F.col("key").alias("parent"), "id").distinct())
+        roots = cut_lineage(windows_among(_readings(store).select("key", "raw"), blobs).select("id").distinct())
     return graph.descendants(edges, roots)
 
 
