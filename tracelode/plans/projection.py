@@ -103,13 +103,13 @@ def _counters(spark, d):
     since = W.partitionBy("user_id", "day", "fresh").orderBy("event_id")
     e = e.withColumns({"high": F.sum(F.when(F.col("way") < 7, F.col("used"))).over(since), "calls": F.sum(F.when(F.col("way") < 7, 1)).over(since)})
     at = lambda seconds: F.date_format(F.col("second") + F.expr(f"interval {seconds} seconds"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    times = {seconds: at(seconds) for seconds in (0, 1, 9)}
     none, way = F.lit(None), F.col("way")
 
     def line(nth, when, kind, seconds=0, session=none, turn=none, model=none, response=none, total=(none, none), last=(none, none), has_last=False):
-        counts = {f"{p}_{c}": (given[k] if k < 2 else F.when(given[0].isNotNull(), 0)) for p, given in (("total", total), ("last", last)) for k, c in enumerate(folds.COUNTERS)}
-        texts = {"session": session, "turn": turn, "model": model, "response": response}
-        fields = [F.lit(nth).alias("nth"), F.lit(kind).alias("kind"), at(seconds).alias("at"), F.lit(has_last).alias("has_last"), *[v.cast("string").alias(n) for n, v in texts.items()], *[v.cast("long").alias(n) for n, v in counts.items()]]
-        return F.when(when, F.struct(*fields))
+        # The three counts that aren't given are 0 where the others are.
+        counts = {f"{p}_{c}": (given[k] if k < 2 else none if given[0] is none else F.when(given[0].isNotNull(), 0)) for p, given in (("total", total), ("last", last)) for k, c in enumerate(folds.COUNTERS)}
+        return when, {"nth": F.lit(nth), "kind": F.lit(kind), "at": times[seconds], "has_last": F.lit(has_last), "session": session, "turn": turn, "model": model, "response": response, **counts}
 
     used, total, name = (F.col("used"), F.lit(1)), (F.col("high"), F.col("calls")), F.concat(F.lit("r"), "event_id")
     less = lambda pair: (pair[0] - 1, pair[1])
@@ -130,8 +130,20 @@ def _counters(spark, d):
         line(7, way == 7, "response", seconds=1, response=name, last=used),
         line(8, way == 8, "compaction", response=name, last=used),
     ]
-    rows = e.select(F.col("user_id").cast("string").alias("path"), "event_id", F.explode(F.array_compact(F.array(*lines))).alias("l"))
-    return folds.counter_fold(rows.select("path", (F.col("event_id") * 10 + F.col("l.nth")).alias("line_no"), "l.*"))
+    # An event is told apart by the numbers of its lines first, and what a line holds is computed for it alone.
+    here = F.array_compact(F.array(*[F.when(when, k) for k, (when, _) in enumerate(lines)]))
+    rows = e.withColumn("k", F.explode(here))
+
+    def field(name: str, kind: str):
+        held = {}
+        for k, (_, fields) in enumerate(lines):
+            if fields[name] is not none:
+                held.setdefault(id(fields[name]), (fields[name], []))[1].append(k)  # values that lines share are computed in one place
+        return F.coalesce(*[F.when(F.col("k").isin(ks), value) for value, ks in held.values()], none).cast(kind).alias(name)
+
+    types = {"nth": "long", "has_last": "boolean", **{f"{p}_{c}": "long" for p in ("total", "last") for c in folds.COUNTERS}}
+    told = rows.select(F.col("user_id").cast("string").alias("path"), "event_id", *[field(n, types.get(n, "string")) for n in lines[0][1]])
+    return folds.counter_fold(told.withColumn("line_no", F.col("event_id") * 10 + F.col("nth")).drop("event_id", "nth"))
 
 
 def _restarts(spark, d):
