@@ -71,3 +71,14 @@ def test_columns_of_any_name_stay(spark):
     rows = [(1, "a b c d e f", 7, 8, 9, "r", 1), (2, "a b c d e f", 7, 8, 9, "r", 2), (3, "quite another one here now", None, None, None, None, None)]
     kept = S.keep_one(spark.createDataFrame(rows, "doc_id long, text string, _copy_of_text int, _gone_id int, _gone_copy int, root string, fp int"))
     assert kept.columns == names and sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]
+
+
+def test_one_of_texts_with_near_fingerprints_stays(spark):
+    """Most words of a pair are one line again and again, so fingerprints are equal and shares of different shingles low."""
+    line = "one two three four five six seven "
+    rows = [(1, line * 200 + " ".join(f"a{i}" for i in range(40))), (2, line * 200 + " ".join(f"b{i}" for i in range(40))), (3, " ".join(f"c{i}" for i in range(40))), (4, " ".join(f"d{i}" for i in range(40))), (5, None), (6, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    names = {r.doc_id: r.component_id for r in S.near_duplicates(docs).collect()}
+    assert names == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 5}
+    assert dict(S.near_copies(docs).collect())[2] == 2
+    assert sorted(r.doc_id for r in S.keep_one(docs).collect()) == [1, 3, 4, 5]

@@ -370,11 +370,27 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(common * (SIMILAR[0] + SIMILAR[1]) >= total * SIMILAR[0]).select("a", "b")
 
 
-def _roots(rows: DataFrame, ids: list[str]) -> DataFrame:
-    """(*ids, copy, root) for every row of (*ids, text): a digest of its text, and the component of its set of shingles."""
+def _mark_links(prints: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b), a > b, that connect the points (fp) of texts whose fingerprints (mark) are within radius bits."""
+    marks = stash(prints.select("fp", "mark").distinct(), "marks")
+    # A fingerprint stands by its least point; texts with one set of shingles may have several, as repeats count.
+    one = stash(marks.groupBy("mark").agg(F.min("fp").alias("least")), "one")
+    same = marks.join(one, "mark").where("fp <> least").select("fp", "least")
+    of = lambda side, name: one.select(F.col("mark").alias(side), F.col("least").alias(name))
+    near = ball_links(one.select(F.col("mark").alias("fp")), radius).join(of("a", "x"), "a").join(of("b", "y"), "b").where("x <> y").select("x", "y")
+    return stash(same.union(near).select(F.greatest("fp", "least").alias("a"), F.least("fp", "least").alias("b")).distinct(), "near")
+
+
+def _roots(rows: DataFrame, ids: list[str], radius: int | None = None) -> DataFrame:
+    """(*ids, copy, root) for every row of (*ids, text): a digest of its text, and the component of its set of shingles.
+
+    With a radius, fingerprints within so many bits are links as well.
+    """
     spark = rows.sparkSession
+    mark = [] if radius is None else [simhash("text").alias("mark")]
     with batches_of(spark, TEXTS):
-        prints = stash(rows.select(*ids, F.xxhash64("text").alias("copy"), _points(_common(rows))("text").alias("point")).select(*ids, "copy", "point.*"), "prints")
+        prints = stash(rows.select(*ids, F.xxhash64("text").alias("copy"), _points(_common(rows))("text").alias("point"), *mark).select(*ids, "copy", "point.*", *["mark"] * len(mark)), "prints")
+    marked = None if radius is None else _mark_links(prints, radius)
     # Copies first, so that a group of any size is one row of the join for texts.
     distinct = stash(prints.groupBy("fp").agg(F.min(F.struct("copy", "size", "first", "counts")).alias("one")).select("fp", "one.*"), "distinct")
     named = stash(prints.select(*ids, "copy", "fp"), "named")
@@ -400,7 +416,8 @@ def _roots(rows: DataFrame, ids: list[str]) -> DataFrame:
         return links[-1]
 
     pairs = stash(_possible(met.where("not many").select("a", "b"), distinct), "pairs")
-    roots = stash(components(alike(pairs)), "roots")
+    linked = alike(pairs)
+    roots = stash(components(linked if marked is None else linked.unionByName(marked)), "roots")
     for turn in [*range(ROUNDS), None]:
         ends = reduce(DataFrame.unionByName, links).select(F.explode(F.array("a", "b")).alias("fp"))
         known = roots.withColumnRenamed("node", "fp").join(ends.groupBy("fp").agg(F.count("*").alias("degree")), "fp", "full")
@@ -432,14 +449,16 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without near copies (see near_copies): of each component the row with the least id stays.
+    """docs without near copies: of each component the row with the least id stays.
 
-    Columns and their order stay. A null id comes after all others, and among
+    Two texts are linked if their fingerprints are within RADIUS bits, as near_duplicates
+    has it, and also at four fifths of common shingles (see near_copies), as short texts
+    so near may have fingerprints further apart. Columns and their order stay. A null id comes after all others, and among
     equal ids the text with the least digest stays. Rows alike in id and text
     are one row, whatever their other columns hold.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    found = _roots(docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")), ["id"])
+    found = _roots(docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")), ["id"], RADIUS)
     row = F.struct(F.col("id").isNull().alias("last"), "id", "copy")
     ranked = found.groupBy("root").agg(F.min(row).alias("stays"))
     kept = stash(ranked.select("root", F.col("stays.id").alias("kept_id"), F.col("stays.copy").alias("kept_copy")), "kept")
