@@ -3,6 +3,7 @@ from math import comb
 
 import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
 from tracelode.llm import minhash as S
 
@@ -107,6 +108,47 @@ def test_a_large_family_and_a_shared_passage(spark):
     assert sum(r[2] == 100 for r in found) > 200
 
 
+def test_a_family_of_edited_copies_is_not_written_out_in_pairs(spark, monkeypatch):
+    """Most of its pairs are too near for bands to tell and too far to be links."""
+    rng, made, add = random.Random(14), [], S._Search.add
+
+    def counted(self, pairs):
+        made.append(pairs.count())
+        return add(self, pairs)
+
+    monkeypatch.setattr(S._Search, "add", counted)
+    base = words(rng, 150)
+    docs = [(i, " ".join(edited(rng, base, rng.choice([2, 3, 4, 5, 6])))) for i in range(600)]
+    found = check(spark, docs)
+    assert len({r[2] for r in found}) > 200
+    assert made[-1] < len(docs) and sum(made) < 70 * len(docs)
+
+
+def test_differences_from_a_family_lose_no_link(spark, monkeypatch):
+    """Everything as one family, without bands: near copies of several texts, of other lengths, in chains, and unlike texts."""
+    rng = random.Random(15)
+
+    def run(self):
+        self.settle(self.distinct.select(F.lit(0).cast("long").alias("key"), "node", "n"))
+        return self.roots
+
+    monkeypatch.setattr(S._Search, "run", run)
+    docs = []
+    for size, copies in ((90, 60), (40, 20), (12, 15), (4, 6)):
+        base = words(rng, size)
+        for _ in range(copies):
+            text = edited(rng, base, rng.randrange(1 + size // 15))
+            docs.append((len(docs), " ".join(text[: rng.choice([size, size, size * 9 // 10, size * 8 // 10])])))
+    chain = words(rng, 60)
+    for _ in range(30):
+        chain = edited(rng, chain, 1)
+        docs.append((len(docs), " ".join(chain)))
+    docs += [(len(docs) + i, " ".join(words(rng, 20))) for i in range(10)]
+    found = check(spark, docs)
+    assert 20 < len({r[2] for r in found}) < len(docs) - 20
+    assert {r[2] for r in check(spark, [d for d in docs if d[0] < 60])} != set(range(60))
+
+
 def test_empty_table_and_texts_without_words(spark):
     assert check(spark, []) == []
     assert [r[1:] for r in check(spark, [(1, None), (2, "")])] == [(0, 1, True), (0, 2, True)]

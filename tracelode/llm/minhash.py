@@ -9,8 +9,12 @@ on the full sets, so every link stands by exact counts.
 
 No group is compared pair by pair because it shares a band. Up to FEW sets are; of
 a larger group each is compared with one of them, then with the one that has
-the most links, and where members are still in different components, those go
-through finer bands, which only nearly equal sets share.
+the most links. Members that are still in different components are known by how
+they differ from the shingles that most of their family have. Two sets differ
+from each other exactly where these differences do, so those with few are linked
+with the one that has the fewest, and any other link needs a difference in common
+that is rare enough: a prefix join over differences, which near copies of one text
+that aren't near enough to each other hardly ever share.
 """
 
 from __future__ import annotations
@@ -32,8 +36,10 @@ from .simhash import shingle_set
 SHINGLE, SIMILAR = 4, (80, 100)
 #: Bands and minima of a band; two sets at the threshold miss all bands once in 2e7.
 BANDS, ROWS = 32, 4
-#: The same of the finer bands, for groups that the first ones leave apart: once in 8e7. Of sets of similarity 0.5 one pair in sixteen shares one of them.
-FINE_BANDS, FINE_ROWS = 256, 12
+#: Sets of n and m shingles are similar if EACH times the size of their symmetric difference is ROOM * (n + m) at most.
+EACH, ROOM = SIMILAR[1] + SIMILAR[0], SIMILAR[1] - SIMILAR[0]
+#: Parities of a set's values; two sets differ in as many of them as in values at most.
+SLOTS = 1024
 #: Minima compared at once, and the posterior probability of reaching the threshold below which a pair is dropped.
 BATCH, MISS = 32, 1e-9
 #: Sets with a band that are compared pair by pair.
@@ -124,9 +130,10 @@ def _bands(sigs: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
-def _fine_bands(sets: pd.Series) -> pd.Series:
-    minima = [signature(np.asarray(s, np.int64).view(np.uint64), FINE_BANDS * FINE_ROWS) for s in sets]
-    return pd.Series(list(_band_keys(np.array(minima), FINE_ROWS)) if minima else [], dtype=object)
+def _parities(sets: pd.Series) -> pd.Series:
+    """For each of SLOTS, as bits of longs, whether an odd number of the set's values falls into it."""
+    odd = [np.bincount(np.asarray(s, np.int64).view(np.uint64) % np.uint64(SLOTS), minlength=SLOTS).astype(np.uint8) & 1 for s in sets]
+    return pd.Series([np.packbits(o).view(np.int64) for o in odd], dtype=object)
 
 
 def _outlasts(bounds: list[tuple[int, int]]):
@@ -244,6 +251,52 @@ class _Search:
         sized = sets.select("node", F.size("set").alias("n")).join(own, "node", "left").fillna(0, ["own"])
         return stash(sized.where((F.col("n") - F.col("own")) * SIMILAR[1] >= F.col("n") * SIMILAR[0]).select("node"), "may")
 
+    def differences(self, left: DataFrame) -> DataFrame:
+        """(key, node, n, far, apart, odd) of the nodes of left (key, node, n): key is the family, apart what a set and the shingles that over half of its family have don't share.
+
+        A family is what shares keys, over others too. far is EACH times the size
+        of apart less ROOM * n: of sets x and y with k elements of apart in
+        common the symmetric difference has as many as both have, less 2 * k,
+        so they are similar if x.far + y.far is 2 * EACH * k at most.
+        """
+        first = left.groupBy("key").agg(F.min("node").alias("b"))
+        family = stash(components(left.select("key", F.col("node").alias("a")).join(first, "key").select("a", "b").distinct()), "family")
+        sets = self.sets_of(family.select("node")).join(family.withColumnRenamed("root", "key"), "node")
+        sets = stash(sets.select("key", "node", "set"), "families")
+        held = sets.select("key", F.explode("set").alias("s")).groupBy("key", "s").agg(F.count("*").alias("held"))
+        members = stash(sets.groupBy("key").agg(F.count("*").alias("members")), "members")
+        most = among(held, members, "key", "inner").where("2 * held > members").groupBy("key").agg(F.collect_list("s").alias("most"))
+        both = sets.join(most, "key", "left").withColumn("most", F.coalesce("most", F.array().cast("array<long>")))
+        apart = both.select("key", "node", F.size("set").alias("n"), F.array_union(F.array_except("set", "most"), F.array_except("most", "set")).alias("apart"))
+        with batches_of(apart.sparkSession, TEXTS):
+            return stash(apart.withColumn("far", F.size("apart").cast("long") * EACH - F.col("n").cast("long") * ROOM).withColumn("odd", _parities("apart")), "differences")
+
+    def settle(self, left: DataFrame) -> None:
+        """Link what there is left to link within the groups of left (key, node, n).
+
+        Sets x and y with x.far + y.far of 0 or less are similar, and so is each
+        of them to the least far one of their family. All others have to have
+        k >= (x.far + y.far) / (2 * EACH) differences in common, so the rarest
+        one of these has k - 1 more behind it in either's list, by frequency.
+        Parities then rule out nearly all pairs that are too far apart.
+        """
+        found = self.differences(left)
+        rows = stash(self.rooted(found.select("key", "node", "n", "far")), "rows")
+        least = stash(rows.groupBy("key").agg(F.min(F.struct("far", "node", "root")).alias("least")), "least")
+        near = among(rows, least, "key", "inner").where("far + least.far <= 0 and root <> least.root")
+        self.add(near.select(F.greatest("node", "least.node").alias("a"), F.least("node", "least.node").alias("b")))
+        rows = self.apart(found.select("key", "node", "n"))
+        each = stash(among(found, rows.select("node"), "node").select("key", "node", F.explode("apart").alias("s")), "each")
+        shared = each.join(each.groupBy("key", "s").agg(F.count("*").alias("sets")).where("sets > 1"), ["key", "s"])
+        lists = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("sets", "s"))).alias("list"))
+        lists = rows.join(found.select("node", "far", "odd"), "node").join(lists, "node").select("key", "node", "n", "root", "far", "odd", F.size("list").alias("size"), F.posexplode("list").alias("at", "one"))
+        places = stash(lists.select("key", F.col("one.s").alias("s"), "node", "n", "root", "far", "odd", (F.col("size") - F.col("at")).alias("behind")), "places")
+        names = {"node": "b", "n": "m", "root": "of", "far": "less", "odd": "others", "behind": "rest"}
+        met = places.join(places.where(F.col("far") <= EACH * F.col("behind")).withColumnsRenamed(names), ["key", "s"]).where("root <> of and far + less > 0 and (far > less or (far = less and node > b))")
+        differ = F.aggregate(F.zip_with("odd", "others", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+        met = met.where((F.col("far") + F.col("less") <= 2 * EACH * F.least("behind", "rest")) & (differ * EACH <= (F.col("n") + F.col("m")) * ROOM))
+        self.add(met.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")))
+
     def run(self) -> DataFrame | None:
         """(node, root) of every node with a link, None without any."""
         coarse = self.distinct.select("node", "n", F.explode(_bands("sig")).alias("key")).withColumn("root", F.col("node")).withColumn("rank", F.xxhash64("node", "key"))
@@ -251,13 +304,7 @@ class _Search:
         if not left.isEmpty():
             left = stash(self.apart(among(left.select("key", "node", "n"), self.may_link(left), "node")), "left")
         if not left.isEmpty():
-            sets = self.sets_of(stash(left.select("node").distinct(), "asked"))
-            with batches_of(sets.sparkSession, TEXTS):
-                fine = stash(sets.select("node", F.size("set").alias("n"), F.explode(_fine_bands("set")).alias("key")), "fine")
-            left = self.meet(self.rooted(fine))
-        if not left.isEmpty():
-            other = left.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("of"))
-            self.add(left.join(other, "key").where("node > b and root <> of").where(_sized("n", "m")).select(F.col("node").alias("a"), "b"))
+            self.settle(left)
         return self.roots
 
 
