@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tracelode.llm import packing, secrets, toxicity
@@ -116,3 +117,20 @@ def test_stages_keep_the_columns_and_take_empty_tables(spark, fixture):
         assert out.columns == docs.columns, name
         assert out.count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs.where("false"), fixture).count() == 0
+
+
+def test_stages_hand_few_whole_texts_to_a_worker_at_once(spark, tmp_path, monkeypatch):
+    docs = spark.range(1_300).select(F.col("id").alias("doc_id"), F.lit("a text").alias("text")).coalesce(1)
+    for table in ("labels", "benchmark"):
+        docs.limit(0).write.parquet(f"{tmp_path}/{table}.parquet")
+
+    def sizes(frames):
+        for frame in frames:
+            yield frame.assign(text=str(len(frame)))
+
+    whole = lambda docs, *rest: docs.mapInPandas(sizes, docs.schema)
+    monkeypatch.setattr(corpus_pipeline.toxicity, "drop_toxic", whole)
+    monkeypatch.setattr(corpus_pipeline.decontam, "drop_leaking", whole)
+    monkeypatch.setattr(corpus_pipeline.secrets, "redact", whole)
+    for stage in (corpus_pipeline.no_toxic, corpus_pipeline.no_benchmarks, corpus_pipeline.no_secrets):
+        assert {r.text for r in stage(spark, docs, str(tmp_path)).select("text").distinct().collect()} == {"500", "300"}

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Keys of one or two longs that are sent to every task at most.
 BROADCAST_ROWS = 500_000
+#: Whole texts in a batch of a Python worker.
+TEXTS = 500
 
 
 def shared_folder(spark: SparkSession) -> str:

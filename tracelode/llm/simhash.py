@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import among, batches_of, documents, forget, stash
+from .common import TEXTS, among, batches_of, documents, forget, stash
 from .components import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -52,8 +52,6 @@ FEW = 16
 ROUNDS, HUBS = 2, 2
 #: Pairs given on at once.
 CHUNK = 200_000
-#: Texts in a batch where shingles are made of them.
-TEXTS = 500
 
 
 def shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
