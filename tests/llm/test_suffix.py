@@ -106,3 +106,21 @@ def test_bytes_in_repeated_passages(spark):
             count[d[k : k + 256]] = count.get(d[k : k + 256], 0) + 1
     want = {i: len({b for k in range(len(d) - 255) if count[d[k : k + 256]] > 1 for b in range(k, k + 256)}) for i, d in data.items()}
     assert got == {i: (0, n) for i, n in want.items()} and want[1] >= 300 and want[5] == 0
+
+
+def test_removal_is_the_same_beside_a_search_for_passages(spark):
+    docs = spark.createDataFrame([(i // 2, t) for i, t in enumerate(corpus(4))], "doc_id long, text string")
+    both, alone = S.without_repeats(docs, depth=48, gram=16, passage=32).collect(), S.without_repeats(docs, depth=48, gram=16).collect()
+    assert sorted((r[:4] for r in both), key=str) == sorted((r[:4] for r in alone), key=str)
+    assert any(r.spans for r in both) and any(r.n_passage and not r.spans for r in both)
+
+
+def test_query_tells_passages_of_over_fifty_words_below_its_depth(spark, tmp_path):
+    rng = random.Random(11)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    passage = text(52)
+    rows = [(1, f"{text(90)} {passage} {text(20)}"), (2, f"{passage} {text(70)}"), (3, text(150)), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_removed, r.n_passage) for r in S.op2_suffix(spark, str(tmp_path)).collect()}
+    assert got[3] == got[4] == (0, 0)
+    assert all(got[i][0] == 0 and got[i][1] >= len(passage) for i in (1, 2))

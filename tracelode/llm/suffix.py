@@ -32,10 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, forget, stash
+from .common import among, documents, forget, stash
 from .windows import anchors, digits
 
 DEPTH, GRAM = 400, 128
+#: Bytes of a passage that the query counts where it repeats, some forty words.
+PASSAGE = 256
 #: Different runs of one gram that a task may sort; 20,000 runs are 11 MB.
 MOST = 20_000
 #: Bytes of runs that a task sorts together.
@@ -288,18 +290,24 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = _keyed(docs, id_col, text_col)
     key = ["k1", "k2"]
-    gone = _repeats(rows, depth, gram, most)
-    texts = rows.select("id", *key, _squeezed("text").alias("data")).join(gone, key, "left")
+    texts = rows.select("id", *key, _squeezed("text").alias("data"))
     if passage:
-        texts = texts.join(_repeats(rows, passage, gram, most).withColumnRenamed("windows", "passages"), key, "left")
+        passages = _repeats(rows, passage, gram, most)
+        texts = texts.join(passages.withColumnRenamed("windows", "passages"), key, "left")
+        if passage < depth:
+            # A repeated string holds that many repeated passages, so texts with fewer have none of its length.
+            signed = F.transform("windows", lambda x, i: F.when(i % 2 == 1, x + 1).otherwise(-x))
+            enough = F.aggregate(signed, F.lit(0).cast("long"), lambda a, x: a + x) > depth - passage
+            rows = among(rows, passages.where(enough).select(*key), key)
     else:
         texts = texts.withColumn("passages", F.lit(None).cast("array<long>"))
+    texts = texts.join(_repeats(rows, depth, gram, most), key, "left")
     kind = docs.schema[id_col].dataType.simpleString()
     found = texts.select("id", "data", "windows", "passages").mapInPandas(_without(depth, passage or 0), f"id {kind}, n_bytes long, spans array<long>, kept binary, n_passage long")
     return found.withColumnRenamed("id", id_col)
 
 
 def op2_suffix(spark, sf_dir: str) -> DataFrame:
-    found = without_repeats(documents(spark, sf_dir))
+    found = without_repeats(documents(spark, sf_dir), passage=PASSAGE)
     removed = found["n_bytes"] - F.octet_length("kept").cast("long")
-    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), (F.size("spans") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), (F.size("spans") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_passage")
